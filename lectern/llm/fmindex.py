@@ -53,6 +53,7 @@ class FMIndex:
     """An index of ``text``: symbols from 1 to ``most``, with 0 between runs; no match crosses a 0."""
 
     def __init__(self, text: np.ndarray, most: int):
+        text = np.append(text, 0)  # the last symbol precedes no suffix; so that it is none of the alphabet
         self.n = len(text)
         order = self._suffix_order(text)
         before = np.where(order > 0, text[order - 1], 0)
