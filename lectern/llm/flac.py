@@ -23,8 +23,8 @@ from lectern.llm.words import rounds
 BLOCK = 1024
 ORDER = 4
 PRECISION = 12
-#: Payload bytes coded in one round.
-ROUND_BYTES = 2_000_000
+#: Payload bytes coded, and stream bytes read, in one round: the first fits a cache, the second keeps many frames side by side.
+CODE_BYTES, ROUND_BYTES = 600_000, 3_000_000
 #: Payloads are padded with zeros to a positive multiple of this.
 UNIT = 64
 
@@ -89,7 +89,7 @@ def _utf8(n: int) -> bytes:
 def _predictors(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Quantised LPC coefficients [frame, ORDER] and shift by Levinson-Durbin on each frame, and whether they are usable."""
     f = x.astype(np.float64)
-    r = np.stack([(f[:, : f.shape[1] - k] * f[:, k:]).sum(1) for k in range(ORDER + 1)], 1)
+    r = np.stack([np.einsum("ij,ij->i", f[:, : f.shape[1] - k], f[:, k:]) for k in range(ORDER + 1)], 1)
     a, error = np.zeros((len(x), ORDER)), r[:, 0] * (1 + 1e-9) + 1e-9
     for i in range(ORDER):
         k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / error
@@ -99,23 +99,25 @@ def _predictors(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
         error = np.maximum(error * (1 - k * k), 1e-9)
     top = np.maximum(np.abs(a).max(1), 1e-9)
     shift = np.clip(PRECISION - 2 - np.floor(np.log2(top)).astype(np.int64), 0, 15)
-    coef = np.rint(a * (1 << shift)[:, None]).astype(np.int64)
+    coef = np.rint(a * (1 << shift)[:, None]).astype(np.int32)
     return coef, shift, (np.abs(coef).max(1) < 1 << (PRECISION - 1)) & (size > 2 * ORDER)
 
 
-def _rice(zz: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of folded residuals the best Rice parameter of each, and its bits."""
-    n = valid.sum(1)
-    best, best_k = None, None
+def _rice(zz: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best Rice parameter for each row of folded residuals, of which ``n`` count and the others are 0."""
+    best, best_k, folded = None, np.zeros(len(zz), np.int64), zz.copy()
     for k in range(15):
-        cost = n * (k + 1) + np.where(valid, zz >> k, 0).sum(1)
-        if best is None:
-            best, best_k = cost, np.zeros(len(zz), np.int64)
-        better = cost < best
-        best, best_k = np.where(better, cost, best), np.where(better, k, best_k)
-        if k > 2 and not better.any():
-            break
-    return best_k, best
+        cost = n * (k + 1) + folded.sum(1, dtype=np.int64)
+        if best is not None:
+            better = cost < best
+            best_k[better] = k
+            if not better.any() and k > 4:
+                break
+            best = np.minimum(cost, best)
+        else:
+            best = cost
+        folded >>= 1
+    return best_k
 
 
 def encode(payloads: list[bytes], width: int = 8) -> list[bytes]:
@@ -132,21 +134,26 @@ def encode(payloads: list[bytes], width: int = 8) -> list[bytes]:
     size = np.minimum(lengths[doc] - number * BLOCK, BLOCK)
     column = np.arange(BLOCK)
     valid = column < size[:, None]
-    x = np.zeros((len(doc), BLOCK), np.int64)
+    x = np.zeros((len(doc), BLOCK), np.int32)
     if len(doc):
         x[valid] = np.concatenate(samples)
+    short = np.flatnonzero(size < BLOCK)
     # residuals of each predictor; the first samples (warm-up) don't count
     coef, shift, usable = _predictors(x, size)
     order, residual, cost = np.zeros(len(doc), np.int64), x.copy(), None
     lpc = np.zeros(len(doc), bool)
     for o, c in [*((k, FIXED[k]) for k in range(3)), (ORDER, None)]:
-        guess = np.zeros_like(x)
-        for j in range(o):
-            guess[:, o:] += (coef[:, j, None] if c is None else c[j]) * x[:, o - 1 - j : BLOCK - 1 - j]
-        if c is None:
-            guess >>= shift[:, None]
-        left = x - guess
-        total = np.where(valid & (column >= o), np.abs(left), 0).sum(1) + (128 if c is None else 0)
+        left = x.copy()
+        if o:
+            guess = (coef[:, :1] if c is None else c[0]) * x[:, o - 1 : BLOCK - 1]
+            for j in range(1, o):
+                guess += (coef[:, j, None] if c is None else c[j]) * x[:, o - 1 - j : BLOCK - 1 - j]
+            if c is None:
+                guess >>= shift[:, None].astype(np.int32)
+            left[:, o:] -= guess
+            left[:, :o] = 0
+            left[short] *= valid[short]
+        total = np.abs(left).sum(1, dtype=np.int64) + (128 if c is None else 0)
         better = (total < cost) & (size > o) if cost is not None else np.ones(len(doc), bool)
         if c is None:
             better &= usable
@@ -154,19 +161,20 @@ def encode(payloads: list[bytes], width: int = 8) -> list[bytes]:
         order[better], lpc[better] = o, c is None
         residual[better] = left[better]
     coded = valid & (column >= order[:, None])
-    zz = np.where(residual >= 0, 2 * residual, -2 * residual - 1)
+    zz = (residual << 1) ^ (residual >> 31)
     # four Rice partitions in full frames, one in others
     parted = np.where(size == BLOCK, 2, 0)
     quarter = BLOCK // 4
-    whole_k, _ = _rice(np.where(coded, zz, 0), coded)
-    k = np.repeat(whole_k[:, None], 4, 1)
-    for q in range(4):
-        part = slice(q * quarter, (q + 1) * quarter)
-        best, _ = _rice(np.where(coded[:, part], zz[:, part], 0), coded[:, part])
-        k[:, q] = np.where(parted == 2, best, k[:, q])
-    k_at = np.repeat(k, quarter, 1)
-    starts = coded & ((column == order[:, None]) | ((parted == 2)[:, None] & (column % quarter == 0)))
-    code_bits = np.where(coded, (zz >> k_at) + 1 + k_at + 4 * starts, 0)
+    k = np.zeros((len(doc), 4), np.int64)
+    k[short] = _rice(zz[short], size[short] - order[short])[:, None]
+    full = np.flatnonzero(size == BLOCK)
+    counts = np.full((len(full), 4), quarter) - np.outer(order[full], [1, 0, 0, 0])
+    k[full] = _rice(zz[full].reshape(-1, quarter), counts.ravel()).reshape(-1, 4)
+    k_at = np.repeat(k.astype(np.int32), quarter, 1)
+    starts = coded & (column == order[:, None])
+    starts[full, quarter::quarter] = True
+    code_bits = ((zz >> k_at) + 1 + k_at) * coded
+    code_bits[starts] += 4
 
     heads = []
     for n, s in zip(number.tolist(), size.tolist(), strict=True):
@@ -178,7 +186,7 @@ def encode(payloads: list[bytes], width: int = 8) -> list[bytes]:
     head_at = np.cumsum(head_size) - head_size
     head_crc = crc8(head_bytes, head_at, head_size)
     fixed_bits = 8 + order * width + np.where(lpc, 4 + 5 + ORDER * PRECISION, 0) + 6
-    body_bits = fixed_bits + code_bits.sum(1)
+    body_bits = fixed_bits + code_bits.sum(1, dtype=np.int64)
     frame_bytes = head_size + 1 + (body_bits + 7) // 8 + 2
     begin = np.cumsum(frame_bytes) - frame_bytes
 
@@ -207,10 +215,16 @@ def encode(payloads: list[bytes], width: int = 8) -> list[bytes]:
     cursor = cursor + np.where(lpc, 9 + ORDER * PRECISION, 0)
     put(cursor, parted, 6)  # two bits of method 0, then the partition order
     cursor = cursor + 6
-    ends = cursor[:, None] + np.cumsum(code_bits, 1)
-    put((ends - code_bits)[starts], k_at[starts], 4)
-    put(ends[coded] - k_at[coded] - 1, (1 << k_at[coded]) | (zz[coded] & ((1 << k_at[coded]) - 1)), k_at[coded] + 1)
-    packed = bits.pack_at(int(frame_bytes.sum()) * 8, np.concatenate(at), np.concatenate(values), np.concatenate(widths))
+    length, low, folded = code_bits[coded], k_at[coded], zz[coded]
+    per_frame = size - order
+    ends = np.cumsum(length, dtype=np.int64)
+    ends += np.repeat(cursor - (np.cumsum(per_frame) > 0) * np.concatenate([[0], ends])[np.cumsum(per_frame) - per_frame], per_frame)
+    opening = starts[coded]
+    put((ends - length)[opening], low[opening], 4)
+    one = np.int32(1) << low
+    put(ends - low - 1, one | (folded & (one - 1)), low + 1)
+    places = np.concatenate(at)
+    packed = bits.pack_at(int(frame_bytes.sum()) * 8, places, np.concatenate(values), np.concatenate(widths))
     check = crc16(packed, begin, frame_bytes - 2)
     packed[begin + frame_bytes - 2], packed[begin + frame_bytes - 1] = check >> 8, check & 0xFF
     raw = packed.tobytes()
@@ -460,7 +474,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo, hi, raw in rounds(batch["text"].tolist(), ROUND_BYTES):
+            for lo, hi, raw in rounds(batch["text"].tolist(), CODE_BYTES):
                 payloads = [padded(t) for t in raw]
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo:hi].astype("Int64").to_numpy(object, na_value=None), "n_bytes": [len(t) for t in raw], "payload_bytes": [len(p) for p in payloads], "media": encode(payloads)})
 
