@@ -275,4 +275,4 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
 def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words within all documents, found by FM-index."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")

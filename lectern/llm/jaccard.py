@@ -313,6 +313,14 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
     return rows.join(ids, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: that of the least doc_id, once. Null doc_ids stay."""
+    found = near_duplicates(docs.select("doc_id", "text"), n_words, percent)
+    firsts = written(found.filter("doc_id = component_id").select("doc_id").distinct(), "firsts")
+    kept = docs.filter("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose sets of 4-word shingles link at 85 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"), n_words=4, percent=85)

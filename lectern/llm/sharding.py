@@ -27,8 +27,8 @@ WEIGHTS, TAIL_WEIGHTS, TAIL = (1.0, 0.05, 0.05), (1.0, 0.0005, 0.0005), 0.4
 DIGEST = ["doc_id", "size", "tokens", "text_crc32", "text_hash"]
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Per row, without its text: size (UTF-8 bytes plus 8), tokens (words), text_crc32, text_hash (null for null texts)."""
+def digests(docs: DataFrame, *keep: str) -> DataFrame:
+    """Per row, without its text, and with the columns ``keep``: size (UTF-8 bytes plus 8), tokens (words), text_crc32, text_hash (null for null texts)."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
@@ -36,6 +36,7 @@ def digests(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(WORDS)).cast("long").alias("tokens"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash"),
+        *keep,
     )
 
 
