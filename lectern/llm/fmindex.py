@@ -235,38 +235,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     )
 
 
+def _cutter(held):
+    """A function of texts that cuts out the words of hits; null where nothing else was left."""
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series) -> pd.Series:
+        values, done = text.tolist(), []
+        for lo, hi, raw in rounds(values, SHARD_BYTES):
+            words = Words(raw, ALNUM)
+            hits = _shard_hits(held.value, np.arange(hi - lo), [None] * (hi - lo), raw)
+            for i, (spans, n) in enumerate(zip(hits["spans"], hits["n_words"], strict=True)):
+                if not spans:
+                    done.append(values[lo + i])
+                elif sum(s["end"] - s["begin"] for s in spans) == n:
+                    done.append(None)
+                else:
+                    at, from_, kept = int(words.first[i]), 0, []
+                    for s in spans:
+                        kept.append(raw[i][from_ : int(words.begin[at + s["begin"]] - words.at[i])])
+                        from_ = int(words.end[at + s["end"] - 1] - words.at[i])
+                    done.append(b"".join([*kept, raw[i][from_:]]).decode("utf-8", "replace"))
+        return pd.Series(done, dtype=object)
+
+    return cut
+
+
 def without_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` with hit words cut out of their texts; a document that then has no word left goes. n_chars follows the text.
 
-    Texts without hits stay as they are, also those that never had words. Columns of any name are kept.
+    Texts without hits stay as they are, also those that never had words. Of a benchmark beyond PART_BYTES each part
+    is cut from what the ones before it left.
     """
     sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", (text_bytes() + 64).alias("bytes"))
     parts = max(1, -(-(sized.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // PART_BYTES))
     out = docs
-    for part in range(parts):  # hits don't depend on each other, but for windows that a cut would join: see the test
+    for part in range(parts):
         some = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sized
         phrases = Phrases([(r["item_id"], r["text"]) for r in some.select("item_id", "text").collect()], width)
-        held = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        @F.pandas_udf("string")
-        def cut(text: pd.Series, held=held) -> pd.Series:
-            values, done = text.tolist(), []
-            for lo, hi, raw in rounds(values, SHARD_BYTES):
-                words = Words(raw, ALNUM)
-                hits = _shard_hits(held.value, np.arange(hi - lo), [None] * (hi - lo), raw)
-                for i, (spans, n) in enumerate(zip(hits["spans"], hits["n_words"], strict=True)):
-                    if not spans:
-                        done.append(values[lo + i])
-                    elif sum(s["end"] - s["begin"] for s in spans) == n:
-                        done.append(None)
-                    else:
-                        at, from_, kept = int(words.first[i]), 0, []
-                        for s in spans:
-                            kept.append(raw[i][from_ : int(words.begin[at + s["begin"]] - words.at[i])])
-                            from_ = int(words.end[at + s["end"] - 1] - words.at[i])
-                        done.append(b"".join([*kept, raw[i][from_:]]).decode("utf-8", "replace"))
-            return pd.Series(done, dtype=object)
-
+        cut = _cutter(docs.sparkSession.sparkContext.broadcast(phrases))
         out = out.withColumn("_had", F.col("text").isNotNull()).withColumn("text", cut("text")).filter("text is not null or not _had").drop("_had")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

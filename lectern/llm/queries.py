@@ -59,9 +59,9 @@ ORACLE_SQL = {
         q as (select distinct item, unnest(case when len(w) = 0 then [] when len(w) < 10 then [w]
               else list_transform(range(1, len(w) - 8), lambda k: w[k:k + 9]) end) as q from i),
         l as (select distinct len(q) as n from q),
-        p as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as at, w from d, l where len(w) >= n),
-        h as (select doc_id, at, n, item from (select doc_id, at, n, w[at:at + n - 1] as g from p) join q on g = q),
-        k as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(at, at + n)) as x from h) group by doc_id),
+        p as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as pos, w from d, l where len(w) >= n),
+        h as (select doc_id, pos, n, item from (select doc_id, pos, n, w[pos:pos + n - 1] as g from p) join q on g = q),
+        k as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(pos, pos + n)) as x from h) group by doc_id),
         t as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as items from h group by doc_id)
         select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
                sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
