@@ -26,8 +26,9 @@ from lectern.llm.words import NOT_BLANK, Words, mixed, rounds
 
 #: Text bytes of a chunk (documents whose n-grams travel together) and n-grams of a bucket (those whose frequencies one task counts).
 CHUNK_BYTES, BUCKET_GRAMS = 12_000_000, 2_000_000
-#: Bits of an n-gram's hash, and of a document's parity bitmap.
-GRAM_BITS, MAP_LONGS = 48, 16
+#: Bits of an n-gram's hash below those that name its bucket (more while there are few buckets: see ``gram_bits``), and
+#: longs of a document's parity bitmap. The hash grows with the number of buckets, so collisions stay as rare at any size.
+LOW_BITS, LEAST_BITS, MAP_LONGS = 33, 40, 16
 #: Verifying a candidate costs as much as reading so many prefix tokens; the longest multiple match that is tried.
 VERIFY_COST, MOST_MATCHES = 20, 8
 CENTRES = 6
@@ -41,6 +42,11 @@ FOUND = (
 )
 
 
+def gram_bits(bits: int) -> int:
+    """Bits of an n-gram's hash where ``bits`` of them name its bucket."""
+    return max(LEAST_BITS, LOW_BITS + bits)
+
+
 def _planes(x: np.ndarray, n: int) -> bytes:
     """The low ``n`` bytes of each value, byte by byte: sorted values then compress well."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
@@ -90,15 +96,17 @@ def gram_table(docs: DataFrame, n_words: int, bits: int) -> DataFrame:
         ids, sizes, classes, docs_, grams, held = [], [], [], [], [], 0
 
         def flush():
-            d, g = np.concatenate(docs_), np.concatenate(grams) >> np.uint64(64 - GRAM_BITS)
+            low = gram_bits(bits) - bits
+            d, g = np.concatenate(docs_), np.concatenate(grams) >> np.uint64(64 - low - bits)
             order = np.argsort(g, kind="stable")
             d, g = d[order], g[order]
-            edges = np.searchsorted(g >> np.uint64(GRAM_BITS - bits), np.arange((1 << bits) + 1)) if bits else [0, len(g)]
+            edges = np.searchsorted(g >> np.uint64(low), np.arange((1 << bits) + 1)) if bits else [0, len(g)]
+            g = g & np.uint64((1 << low) - 1)
             rows = [(chunk, -1, ids, sizes, classes, b"", b"", b"")]
             for k in range(1 << bits):
                 lo, hi = edges[k], edges[k + 1]
                 if hi > lo:
-                    rows.append((chunk, k, None, None, None, d[lo:hi].astype("<u2").tobytes(), _planes(g[lo:hi], 6), b""))
+                    rows.append((chunk, k, None, None, None, d[lo:hi].astype("<u2").tobytes(), _planes(g[lo:hi], 5), b""))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in GRAMS.split(", ")])
 
         for batch in batches:
@@ -124,7 +132,7 @@ def gram_table(docs: DataFrame, n_words: int, bits: int) -> DataFrame:
 
 def _frequencies(bucket: pd.DataFrame) -> pd.DataFrame:
     """Back to each chunk: the bucket's n-grams that more than one document has, with how many have it."""
-    gram = np.concatenate([_unplaned(x, 6) for x in bucket["grams"]])
+    gram = np.concatenate([_unplaned(x, 5) for x in bucket["grams"]])
     doc = np.concatenate([np.frombuffer(x, "<u2") for x in bucket["docs"]])
     row = np.repeat(np.arange(len(bucket)), [len(x) // 2 for x in bucket["docs"]])
     order = np.argsort(gram, kind="stable")
@@ -137,11 +145,11 @@ def _frequencies(bucket: pd.DataFrame) -> pd.DataFrame:
     for k, chunk in enumerate(bucket["chunk"]):
         some = keep[edges[k] : edges[k + 1]]
         if len(some):
-            rows.append((chunk, int(bucket["bucket"].iloc[0]), None, None, None, doc[some].astype("<u2").tobytes(), _planes(gram[some], 6), np.minimum(df[some], 65_535).astype("<u2").tobytes()))
+            rows.append((chunk, int(bucket["bucket"].iloc[0]), None, None, None, doc[some].astype("<u2").tobytes(), _planes(gram[some], 5), np.minimum(df[some], 65_535).astype("<u2").tobytes()))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in GRAMS.split(", ")])
 
 
-def _prefixes(percent: int):
+def _prefixes(percent: int, bits: int):
     """Of each chunk the documents that may have a partner, with their prefixes: what ``applyInPandas`` runs on a chunk's rows."""
 
     def survivors(chunk: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +160,8 @@ def _prefixes(percent: int):
             return pd.DataFrame([], columns=columns)
         sizes, classes = np.asarray(head["sizes"].iloc[0], np.int64), head["classes"].iloc[0]
         doc = np.concatenate([np.frombuffer(x, "<u2") for x in rest["docs"]]).astype(np.int64)
-        gram = np.concatenate([_unplaned(x, 6) for x in rest["grams"]])
+        high = np.uint64(gram_bits(bits) - bits)
+        gram = np.concatenate([_unplaned(x, 5) | (np.uint64(b) << high) for x, b in zip(rest["grams"], rest["bucket"], strict=True)])
         df = np.concatenate([np.frombuffer(x, "<u2") for x in rest["df"]]).astype(np.int64)
         order = np.lexsort((gram, df, doc))
         doc, gram, df = doc[order], gram[order], df[order]
@@ -178,7 +187,7 @@ def _prefixes(percent: int):
                 (
                     classes[i], n, alone, need,
                     np.packbits(parity.astype(np.uint8)).view(">i8").astype(np.int64).tolist(),
-                    _planes(np.sort(tokens), 6),
+                    _planes(np.sort(tokens), 8),
                     tokens[: max(0, index + need - alone)].astype(np.int64).tolist(),
                     tokens[: max(0, probe + need - alone)].astype(np.int64).tolist(),
                     [int(mixed(tokens + np.uint64(k << 50)).argmin()) for k in range(CENTRES)],
@@ -216,7 +225,7 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     def links(a_n: pd.Series, a: pd.Series, b_n: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for n, x, m, y in zip(a_n, a, b_n, b, strict=True):
-            common = len(np.intersect1d(_unplaned(x, 6), _unplaned(y, 6), assume_unique=True))
+            common = len(np.intersect1d(_unplaned(x, 8), _unplaned(y, 8), assume_unique=True))
             out.append(100 * common >= percent * (n + m - common))
         return pd.Series(out, dtype=bool)
 
@@ -257,7 +266,7 @@ def linked_classes(docs: DataFrame, n_words: int = 5, percent: int = 80) -> tupl
         F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").cast("long").alias("n_shingles"), F.col("d.classes").alias("class")
     )
     counted = bodies.groupBy("bucket").applyInPandas(_frequencies, GRAMS)
-    found = heads.unionByName(counted).groupBy("chunk").applyInPandas(_prefixes(percent), FOUND)
+    found = heads.unionByName(counted).groupBy("chunk").applyInPandas(_prefixes(percent, bits), FOUND)
     found = written(found.dropDuplicates(["class"]), "survivors")
 
     stats = found.select("class", "n", "alone", "need", "parity", "mins")
