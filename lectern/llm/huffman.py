@@ -140,63 +140,80 @@ class Coder:
         return out
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs over all documents, with one end id each. A row an id at most comes to the driver."""
+def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(doc_id, ids): each text's ids and the end id as little-endian bytes, 16-bit where the vocabulary allows."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = TextEncoder.of(path)
-        total, n = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64), 0
+        kind = _kind(encoder.tokenizer.get_vocab_size())
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            total += encoder.counts(batch["text"])
-            n += len(batch)
-        total[end_id] += n
+            for lo in range(0, len(batch), 512):
+                some = batch.iloc[lo : lo + 512]
+                ids = [np.frombuffer(encoder.ids(t), "<u4").astype(kind).tobytes() + end for t in some["text"]]
+                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(object, na_value=None), "ids": ids, "wide": kind == "<u4"})
+
+    return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, ids binary, wide boolean")
+
+
+def _kind(vocabulary_size: int) -> str:
+    return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
+
+
+def id_counts(ids: DataFrame) -> np.ndarray:
+    """How often each id occurs over all documents. A row an id at most comes to the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for wide, rows in batch.groupby("wide")["ids"]:
+                new = np.bincount(np.frombuffer(b"".join(rows), "<u4" if wide else "<u2"))
+                total = np.pad(total, (0, max(0, len(new) - len(total))))
+                total[: len(new)] += new
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
-    rows = docs.select("text").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max([end_id, *(r["id"] for r in rows)]) + 1, np.int64)
+    rows = ids.select("ids", "wide").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
     return out
 
 
-def encode_documents(docs: DataFrame, path: str, lengths: np.ndarray, cuts: list[int], end_id: int) -> DataFrame:
-    """Each document's ids, end id included, as codes; ``part`` is the range of its doc_id among ``cuts``."""
-    spark = docs.sparkSession
-    lengths_b = spark.sparkContext.broadcast(lengths)  # a byte an id of the vocabulary
+def encode_documents(ids: DataFrame, lengths: np.ndarray, cuts: list[int]) -> DataFrame:
+    """Each document's ids as codes; ``part`` is the range of its doc_id among ``cuts``."""
+    lengths_b = ids.sparkSession.sparkContext.broadcast(lengths)  # a byte an id of the vocabulary
     edges = np.array(cuts, np.int64)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, coder = TextEncoder.of(path), Coder(lengths_b.value)
-        end = np.array([end_id], "<u4").tobytes()
+        coder = Coder(lengths_b.value)
 
-        def flush(keys, raw):
-            done = coder.encode([np.frombuffer(x, "<u4") for x in raw])
-            key = pd.array(keys, dtype="Int64")
+        def flush(keys, docs):
+            done = coder.encode(docs)
             return pd.DataFrame(
                 {
                     "part": [0 if k is None else int(np.searchsorted(edges, k)) for k in keys],
-                    "doc_id": key,
-                    "n_ids": [len(x) // 4 for x in raw],
-                    "ids_crc32": [zlib.crc32(x) for x in raw],
+                    "doc_id": pd.array(keys, dtype="Int64"),
+                    "n_ids": [len(x) for x in docs],
+                    "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in docs],
                     "payload": [x for x, _ in done],
                     "offsets": [x for _, x in done],
                 }
             )
 
         for batch in batches:
-            keys, raw, held = [], [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            keys, docs, held = [], [], 0
+            for doc_id, raw, wide in zip(batch["doc_id"], batch["ids"], batch["wide"], strict=True):
                 keys.append(None if pd.isna(doc_id) else int(doc_id))
-                raw.append(encoder.ids(text) + end)
-                held += len(raw[-1]) // 4
+                docs.append(np.frombuffer(raw, "<u4" if wide else "<u2"))
+                held += len(docs[-1])
                 if held >= ROUND_IDS:
-                    yield flush(keys, raw)
-                    keys, raw, held = [], [], 0
+                    yield flush(keys, docs)
+                    keys, docs, held = [], [], 0
             if keys:
-                yield flush(keys, raw)
+                yield flush(keys, docs)
 
-    return docs.select("doc_id", "text").mapInPandas(encode, CODED)
+    return ids.mapInPandas(encode, CODED)
 
 
 def file_blocks(coded: DataFrame, partitions: int) -> DataFrame:
@@ -272,9 +289,10 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, rows_pe
     null doc_id sorts first; rows that repeat are each written. A table without rows gives no block.
     """
     path = path or vocabulary()
-    lengths = code_lengths(id_counts(docs, path, end_id))
-    cuts = key_cuts(docs, "doc_id", rows_per_part)
-    blocks = file_blocks(encode_documents(docs, path, lengths, cuts, end_id), len(cuts) + 1)
+    ids = written(tokenized(docs, path, end_id), "ids")
+    lengths = code_lengths(id_counts(ids))
+    cuts = key_cuts(ids, "doc_id", rows_per_part)
+    blocks = file_blocks(encode_documents(ids, lengths, cuts), len(cuts) + 1)
     return written(blocks, "token-ids", compression="none"), lengths
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-
 import numpy as np
 import public_tokenizers
 
@@ -12,21 +10,40 @@ import public_tokenizers
 #: so a text's ids are the ids of the parts, one after another.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE = re.compile(r"\s\s")
+#: A Latin word, marks behind it, and perhaps the first word of the next line: the pre-tokenizer parts these, so each is
+#: encoded once however they are combined.
+_PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%&$|]+)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#%&$|]*))?")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Encoded(dict):
+    """Ids, as little-endian unsigned 32-bit bytes, of strings; a missing one is encoded."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = out = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
 class _Kept(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of pieces; a missing one is encoded."""
+    """Ids of pieces with ``lead`` before them, put together from their parts where these are simple."""
 
-    def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead = tokenizer, lead
+    def __init__(self, parts: _Encoded, lead: str):
+        self.parts, self.lead = parts, lead
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
-        self[piece] = out = np.array(ids, "<u4").tobytes()
+        simple = _PARTS.fullmatch(piece)
+        if simple is None:
+            out = self.parts[self.lead + piece]
+        else:
+            word, *rest = simple.groups()
+            out = self.parts[self.lead + word] + b"".join([self.parts[x] for x in rest if x])
+        self[piece] = out
         return out
 
 
@@ -35,11 +52,12 @@ class TextEncoder:
 
     _made: dict[str, TextEncoder] = {}
 
-    def __init__(self, path: str, most_kept: int = 500_000):
+    def __init__(self, path: str, most_kept: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.next, self.most_kept = _Kept(self.tokenizer, ""), _Kept(self.tokenizer, " "), most_kept
+        self.parts, self.most_kept = _Encoded(self.tokenizer), most_kept
+        self.first, self.next = _Kept(self.parts, ""), _Kept(self.parts, " ")
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -56,8 +74,8 @@ class TextEncoder:
         return text.split(" ")
 
     def _trim(self) -> None:
-        for kept in (self.first, self.next):
-            if len(kept) > self.most_kept:
+        for kept, most in ((self.first, self.most_kept), (self.next, self.most_kept), (self.parts, 2 * self.most_kept)):
+            if len(kept) > most:
                 kept.clear()
 
     def ids(self, text: str | None) -> bytes:
@@ -67,22 +85,3 @@ class TextEncoder:
         self._trim()
         first, *rest = self._pieces(text)
         return self.first[first] + b"".join(map(self.next.__getitem__, rest))
-
-    def counts(self, texts) -> np.ndarray:
-        """How often each id occurs in ``texts`` (length: the vocabulary), each different piece being encoded once."""
-        firsts, rests = Counter(), Counter()
-        for text in texts:
-            if text:
-                first, *rest = self._pieces(text)
-                firsts[first] += 1
-                rests.update(rest)
-        total = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for seen, kept in ((firsts, self.first), (rests, self.next)):
-            if not seen:
-                continue
-            self._trim()
-            coded = [kept[x] for x in seen]
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x) // 4 for x in coded])
-            total += np.bincount(ids, weights=times, minlength=len(total)).astype(np.int64)
-        return total
