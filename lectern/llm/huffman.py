@@ -150,7 +150,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 some = batch.iloc[lo : lo + 512]
-                ids = [np.frombuffer(encoder.ids(t), "<u4").astype(kind).tobytes() + end for t in some["text"]]
+                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encoder.ids_of(some["text"].tolist())]
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(object, na_value=None), "ids": ids, "wide": kind == "<u4"})
 
     return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, ids binary, wide boolean")

@@ -35,8 +35,7 @@ def flat_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID, b
     path = path or vocabulary()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TextEncoder.of(path)
-        encoder.tokenizer.encode_special_tokens = True
+        encoder = TextEncoder.of(path, plain=True)
         file, block = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         held, ends = bytearray(), []  # ends: (bytes up to the end id, doc_id)
@@ -49,11 +48,13 @@ def flat_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID, b
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                held += np.frombuffer(encoder.ids(text), "<u4").astype("<u2").tobytes() + end
-                ends.append((len(held), None if pd.isna(doc_id) else int(doc_id)))
-                while len(held) >= 2 * block_ids:
-                    yield cut(2 * block_ids)
+            for lo in range(0, len(batch), 512):
+                some = batch.iloc[lo : lo + 512]
+                for doc_id, ids in zip(some["doc_id"], encoder.ids_of(some["text"].tolist()), strict=True):
+                    held += np.frombuffer(ids, "<u4").astype("<u2").tobytes() + end
+                    ends.append((len(held), None if pd.isna(doc_id) else int(doc_id)))
+                    while len(held) >= 2 * block_ids:
+                        yield cut(2 * block_ids)
         if held:
             yield cut(len(held))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
-import numpy as np
+from array import array
+from operator import itemgetter
+
 import public_tokenizers
 
 #: A blank between two non-blanks. The byte-level pre-tokenizer always begins a new piece at such a blank,
@@ -19,52 +22,29 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Encoded(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of strings; a missing one is encoded."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = out = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-
-class _Kept(dict):
-    """Ids of pieces with ``lead`` before them, put together from their parts where these are simple."""
-
-    def __init__(self, parts: _Encoded, lead: str):
-        self.parts, self.lead = parts, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        simple = _PARTS.fullmatch(piece)
-        if simple is None:
-            out = self.parts[self.lead + piece]
-        else:
-            word, *rest = simple.groups()
-            out = self.parts[self.lead + word] + b"".join([self.parts[x] for x in rest if x])
-        self[piece] = out
-        return out
-
-
 class TextEncoder:
-    """Encodes whole texts with one tokenizer file; keeps the ids of at most ``most_kept`` pieces."""
+    """Encodes whole texts with one tokenizer file; keeps the ids of some ``most_kept`` pieces.
+
+    ``plain`` reads the strings of special tokens as ordinary text.
+    """
 
-    _made: dict[str, TextEncoder] = {}
+    _made: dict[tuple[str, bool], TextEncoder] = {}
 
-    def __init__(self, path: str, most_kept: int = 300_000):
+    def __init__(self, path: str, plain: bool = False, most_kept: int = 400_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.most_kept = _Encoded(self.tokenizer), most_kept
-        self.first, self.next = _Kept(self.parts, ""), _Kept(self.parts, " ")
+        self.tokenizer.encode_special_tokens = plain
+        self.most_kept = most_kept
+        self.parts, self.first, self.next = {}, {}, {}
 
     @classmethod
-    def of(cls, path: str) -> TextEncoder:
-        """One encoder a worker process and file."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, plain: bool = False) -> TextEncoder:
+        """One encoder a worker process, file and reading of special tokens."""
+        if (path, plain) not in cls._made:
+            cls._made[path, plain] = cls(path, plain)
+        return cls._made[path, plain]
 
     def _pieces(self, text: str) -> list[str]:
         # The end-of-text string is one special token wherever it stands, also across a blank's edge: cut around
@@ -73,15 +53,43 @@ class TextEncoder:
             return _CUT.split(text)
         return text.split(" ")
 
-    def _trim(self) -> None:
+    def _learn(self, kept: dict[str, bytes], lead: str, pieces: set[str]) -> None:
+        """Keep the ids of ``pieces`` with ``lead`` before them, put together from their parts where these are simple."""
+        parts = {}
+        for piece in pieces:
+            simple = _PARTS.fullmatch(piece)
+            if simple is None:
+                parts[piece] = (lead + piece,)
+            else:
+                word, *rest = simple.groups()
+                parts[piece] = (lead + word, *filter(None, rest))
+        fresh = list({x for some in parts.values() for x in some}.difference(self.parts))
+        for x, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.parts[x] = array("I", got.ids).tobytes()
+        for piece, some in parts.items():
+            kept[piece] = self.parts[some[0]] if len(some) == 1 else b"".join([self.parts[x] for x in some])
+
+    def ids_of(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text the ids as little-endian unsigned 32-bit bytes; none for null and empty texts.
+
+        Pieces that aren't kept are encoded together, so ``texts`` should be some megabytes at most.
+        """
         for kept, most in ((self.first, self.most_kept), (self.next, self.most_kept), (self.parts, 2 * self.most_kept)):
             if len(kept) > most:
                 kept.clear()
+        cut = [self._pieces(t) if t else [] for t in texts]
+        self._learn(self.first, "", {p[0] for p in cut if p}.difference(self.first))
+        self._learn(self.next, " ", set().union(*[p[1:] for p in cut]).difference(self.next))
+        out = []
+        for p in cut:
+            ids = self.first[p[0]] if p else b""
+            if len(p) == 2:
+                ids += self.next[p[1]]
+            elif len(p) > 2:
+                ids += b"".join(itemgetter(*p[1:])(self.next))
+            out.append(ids)
+        return out
 
     def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit bytes; none for null and empty texts."""
-        if not text:
-            return b""
-        self._trim()
-        first, *rest = self._pieces(text)
-        return self.first[first] + b"".join(map(self.next.__getitem__, rest))
+        """The ids of one text."""
+        return self.ids_of([text])[0]
