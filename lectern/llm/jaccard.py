@@ -97,11 +97,14 @@ def gram_table(docs: DataFrame, n_words: int, bits: int) -> DataFrame:
 
         def flush():
             low = gram_bits(bits) - bits
-            d, g = np.concatenate(docs_), np.concatenate(grams) >> np.uint64(64 - low - bits)
+            d, g = np.concatenate(docs_), np.concatenate(grams)
+            docs_.clear()
+            grams.clear()
+            g >>= np.uint64(64 - low - bits)
             order = np.argsort(g, kind="stable")
             d, g = d[order], g[order]
             edges = np.searchsorted(g >> np.uint64(low), np.arange((1 << bits) + 1)) if bits else [0, len(g)]
-            g = g & np.uint64((1 << low) - 1)
+            g &= np.uint64((1 << low) - 1)
             rows = [(chunk, -1, ids, sizes, classes, b"", b"", b"")]
             for k in range(1 << bits):
                 lo, hi = edges[k], edges[k + 1]
@@ -118,7 +121,7 @@ def gram_table(docs: DataFrame, n_words: int, bits: int) -> DataFrame:
                     yield flush()
                     chunk += 1
                     ids, sizes, classes, docs_, grams, held = [], [], [], [], [], 0
-                docs_.append(doc + len(ids))
+                docs_.append((doc + len(ids)).astype(np.uint16))
                 grams.append(gram)
                 ids += [None if pd.isna(k) else int(k) for k in keys[lo:hi]]
                 sizes += n.tolist()
@@ -134,11 +137,15 @@ def _frequencies(bucket: pd.DataFrame) -> pd.DataFrame:
     """Back to each chunk: the bucket's n-grams that more than one document has, with how many have it."""
     gram = np.concatenate([_unplaned(x, 5) for x in bucket["grams"]])
     doc = np.concatenate([np.frombuffer(x, "<u2") for x in bucket["docs"]])
-    row = np.repeat(np.arange(len(bucket)), [len(x) // 2 for x in bucket["docs"]])
+    row = np.repeat(np.arange(len(bucket), dtype=np.int32), [len(x) // 2 for x in bucket["docs"]])
     order = np.argsort(gram, kind="stable")
-    run = np.concatenate([[0], np.cumsum(np.diff(gram[order]) != 0)]) if len(gram) else np.zeros(0, np.int64)
-    df = np.empty(len(gram), np.int64)
-    df[order] = np.bincount(run)[run] if len(run) else 0
+    in_order = gram[order]
+    starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    del in_order
+    times = np.diff(starts, append=len(gram)).astype(np.int32)
+    df = np.empty(len(gram), np.int32)
+    df[order] = np.repeat(times, times)
+    del order
     keep = np.flatnonzero(df > 1)
     edges = np.searchsorted(row[keep], np.arange(len(bucket) + 1))
     rows = []
@@ -159,10 +166,10 @@ def _prefixes(percent: int, bits: int):
         if not len(head) or not len(rest):
             return pd.DataFrame([], columns=columns)
         sizes, classes = np.asarray(head["sizes"].iloc[0], np.int64), head["classes"].iloc[0]
-        doc = np.concatenate([np.frombuffer(x, "<u2") for x in rest["docs"]]).astype(np.int64)
+        doc = np.concatenate([np.frombuffer(x, "<u2") for x in rest["docs"]])
         high = np.uint64(gram_bits(bits) - bits)
         gram = np.concatenate([_unplaned(x, 5) | (np.uint64(b) << high) for x, b in zip(rest["grams"], rest["bucket"], strict=True)])
-        df = np.concatenate([np.frombuffer(x, "<u2") for x in rest["df"]]).astype(np.int64)
+        df = np.concatenate([np.frombuffer(x, "<u2") for x in rest["df"]])
         order = np.lexsort((gram, df, doc))
         doc, gram, df = doc[order], gram[order], df[order]
         edges = np.searchsorted(doc, np.arange(len(sizes) + 1))
@@ -175,7 +182,7 @@ def _prefixes(percent: int, bits: int):
                 continue
             done.add(classes[i])
             index = n - -(-2 * percent * n // (100 + percent))
-            cost = np.concatenate([[0], np.cumsum(df[lo:hi] - 1)])
+            cost = np.concatenate([[0], np.cumsum(df[lo:hi].astype(np.int64) - 1)])
             best, need = None, 1
             for m in range(1, min(MOST_MATCHES, n - index, n - probe) + 1):
                 work = cost[min(max(probe + m - alone, 0), hi - lo)] * (1 + VERIFY_COST / m)
