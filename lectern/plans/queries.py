@@ -12,6 +12,7 @@ from lectern.functions import scheduling as S
 from lectern.functions import text as T
 from lectern.functions import vectors as V
 from lectern.operators import analytics as A
+from lectern.operators import books as B
 from lectern.operators import ordered as O
 from lectern.operators import relational as R
 from lectern.operators import retrieval as H
@@ -626,3 +627,42 @@ def sliding_limit(spark, d):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     n = F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy(micros).rangeBetween(-3_600_000_000, 0))
     return table(spark, d, "events").select("event_id", "user_id", n.alias("n")).filter("n > 1")
+
+
+# Books
+
+
+@query("""with w as (select lang = 'fr' as t, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as word from documents),
+  k as (select word, count(*) as n from w where not t group by 1 having count(*) >= 3), o as (select distinct word from w where t and contains(word, 'f') and word not in (select word from k)),
+  p as (select word, unnest(range(1, length(word) + 1)) as i from o), m as (select distinct word, word[1:i - 1] || g || word[i + 1:] as repaired from p, (values ('fi'), ('fl'), ('ff'), ('ffi'), ('ffl')) x(g) where word[i:i] = 'f'),
+  r as (select m.word, m.repaired, k.n, row_number() over (partition by m.word order by k.n desc, m.repaired desc) as r, lead(k.n) over (partition by m.word order by k.n desc, m.repaired desc) as second from m join k on m.repaired = k.word)
+  select word, repaired from r where r = 1 and (second is null or n >= 3 * second)""")
+def ligature_map(spark, d):
+    """French documents as the damaged book, all others as the ones that know."""
+    docs = table(spark, d, "documents")
+    return B.ligature_map(B.word_counts(docs.filter("lang = 'fr'")), B.word_counts(docs.filter("lang <> 'fr'")))
+
+
+@query("""with w as (select conv_id as book, turn, role, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')[1:80], lambda x: x <> '')) as w from conversations),
+  p as (select a.book, a.turn as old_id, b.turn as new_id, a.role is not distinct from (case when b.turn % 2 = 1 then b.role end) as same, len(a.w) = 0 as bare,
+      round(case when len(a.w) + len(b.w) = 0 then 0.0::double else len(list_intersect(a.w, b.w))::double / len(list_distinct(list_concat(a.w, b.w))) end, 12) as alike
+    from w a join w b on a.book = b.book and abs(a.turn - b.turn) <= 1),
+  r as (select *, count(*) over (partition by book, old_id) as n, row_number() over (partition by book, old_id order by same desc, case when same then new_id end, alike desc, new_id desc) as r from p)
+  select book, old_id, new_id from r where r = 1 and (same or alike >= 0.4 or (bare and n = 1))""")
+def figure_matches(spark, d):
+    """Turns as figures of two editions; every second one of the new edition has lost its label."""
+    c = table(spark, d, "conversations")
+    old = c.select(F.col("conv_id").alias("book"), F.col("turn").alias("id"), F.col("turn").alias("page"), F.col("role").alias("label"), F.col("text").alias("caption"))
+    return B.matched_figures(old, old.withColumn("label", F.when(F.col("page") % 2 == 1, F.col("label"))))
+
+
+@query("""with m as (select *, lvl - min(lvl) over (partition by book) as level, count(*) over (partition by book) as c from (select user_id as book, event_id as page, event_id % 4 as lvl, 'c' || event_id as title from events where event_type = 'signup')),
+  r as (select book, page, level, title from m where c >= 3 union all select user_id, event_id, null, null from events where event_type <> 'signup'),
+  s as (select *, last_value(case when level = 0 then title end ignore nulls) over x as o, last_value(case when level = 0 then '' when level = 1 then title end ignore nulls) over x as i from r
+    window x as (partition by book order by page, level nulls last, title rows between unbounded preceding and current row))
+  select book, page, nullif(concat_ws(' > ', o, nullif(i, '')), '') as chapter from s where level is null""")
+def outline_chapters(spark, d):
+    """Signups as bookmarks of four depths, a user's other events as pages."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("book"), F.col("event_id").alias("page"), "event_type")
+    marks = e.filter("event_type = 'signup'").select("book", "page", (F.col("page") % 4).cast("int").alias("depth"), F.concat(F.lit("c"), "page").alias("title"))
+    return B.outline_chapters(e.filter("event_type <> 'signup'").select("book", "page"), marks)

@@ -8,6 +8,7 @@ import pytest
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
+from lectern.operators import books as B
 from lectern.operators import ordered as O
 from lectern.operators import relational as R
 from lectern.plans.queries import ORACLE_SQL, QUERIES
@@ -94,3 +95,25 @@ def test_stream_equals_batch(spark, tmp_path):
     q = G.weekly_counts(stream).writeStream.outputMode("complete").format("memory").queryName("weeks").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("weeks").collect())) == sorted(map(tuple, G.weekly_counts(events).collect()))
+
+
+def test_ligatures_come_back_in_their_case(spark):
+    known = spark.createDataFrame([("difficult", 9), ("fluid", 5), ("affect", 4), ("afflect", 3)], "word string, n long")
+    texts = spark.createDataFrame([(1, "A Difcult fuid: afect, DIFCULT."), (2, None), (3, "")], "id int, text string")
+    mapping = B.ligature_map(B.word_counts(texts), known)
+    assert {tuple(r) for r in mapping.collect()} == {("difcult", "difficult"), ("fuid", "fluid")}  # afect: two repairs, neither three times the other
+    assert {r["id"]: r["text"] for r in B.repaired_texts(texts, mapping, "id").collect()} == {1: "A Difficult fluid: afect, DIFFICULT.", 2: None, 3: ""}
+
+
+def test_figures_match_by_label_caption_or_alone(spark):
+    s = "book int, id int, page int, label string, caption string"
+    old = spark.createDataFrame([(1, 1, 5, "1.1", None), (1, 2, 9, "1.2", "the cell wall"), (1, 3, 20, "1.3", ""), (1, 4, None, "1.1", "x"), (1, 5, 30, "1.4", "far off")], s)
+    new = spark.createDataFrame([(1, 11, 6, "1.1", "z"), (1, 12, 6, "1.1", "z"), (1, 13, 8, "2", "cell wall"), (1, 14, 21, "3", "q"), (1, 15, 32, "1.4", "far off"), (1, 16, None, "1.1", "x")], s)
+    assert {tuple(r) for r in B.matched_figures(old, new).collect()} == {(1, 1, 11), (1, 2, 13), (1, 3, 14)}
+
+
+def test_chapters_follow_open_bookmarks(spark):
+    marks = spark.createDataFrame([(1, 2, 1, "Part I"), (1, 3, 2, "Ch 1"), (1, 4, 3, "deep"), (1, 6, 1, "Part II"), (1, 8, 2, "Index"), (2, 1, 1, "only")], "book int, page int, depth int, title string")
+    pages = spark.createDataFrame([(1, p) for p in range(1, 9)] + [(2, 1)], "book int, page int")
+    got = {(r["book"], r["page"]): r["chapter"] for r in B.outline_chapters(pages, marks, "(?i)^index$").collect()}
+    assert got == {(1, 1): None, (1, 2): "Part I", (1, 3): "Part I > Ch 1", (1, 4): "Part I > Ch 1", (1, 5): "Part I > Ch 1", (1, 6): "Part II", (1, 7): "Part II", (1, 8): None, (2, 1): None}
