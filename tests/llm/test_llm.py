@@ -65,6 +65,14 @@ def test_shards_are_gapless_and_even(docs, none):
     assert load.max() / load.min() < 1.01
 
 
+def test_shards_stay_even_with_one_text_in_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "copy " * 100 if i % 3 == 0 else f"t{i} " + "word " * int(rng.integers(50, 150)), None, None, None) for i in range(9000)]
+    placed = sharding.assign(sharding.digests(spark.createDataFrame(rows, SCHEMA)), 8, groups_per_block=40).groupBy("shard").sum("size").collect()
+    load = [r[1] for r in placed]
+    assert len(load) == 8 and max(load) / min(load) < 1.02
+
+
 def test_mix_meets_targets(docs, none):
     out = mixing.mix(docs.drop("size").withColumn("size", mixing.word_count())).collect()
     by, target = Counter(), {}
