@@ -20,7 +20,7 @@ from lectern.llm.common import table, text_bytes, written
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Groups that one task packs.
 GROUPS_PER_BLOCK = 8192
-#: A group above this part of a shard is split.
+#: A group above a whole shard is split into pieces of about this part of one.
 SPLIT = 16
 #: A group above 1 / SPLIT of a block's part of a shard is packed before the blocks, which can't make up for it; but none
 #: below 1 / HEAVY of a shard, so these are fewer than HEAVY * n_shards, with fewer than SPLIT * n_shards more by splitting.
@@ -84,7 +84,7 @@ def _heavy(rows: DataFrame, groups: DataFrame, totals: np.ndarray, n_shards: int
     if not found:
         return None, load
     spark = rows.sparkSession
-    pieces = {r["group_key"]: -int(-r["b"] * SPLIT // share) if r["b"] * SPLIT > share else 1 for r in found}
+    pieces = {r["group_key"]: -int(-r["b"] * SPLIT // share) if r["b"] > share else 1 for r in found}
     sizes = {(r["group_key"], 0): (r["b"], r["t"], r["r"]) for r in found if pieces[r["group_key"]] == 1}
     split = spark.createDataFrame([(k, n) for k, n in pieces.items() if n > 1], "group_key long, pieces int")
     cut = rows.join(F.broadcast(split), "group_key").groupBy("group_key", _piece().alias("piece"))
@@ -106,15 +106,15 @@ def _piece() -> Column:
 def assign(rows: DataFrame, n_shards: int = 24, groups_per_block: int = GROUPS_PER_BLOCK) -> DataFrame:
     """``rows`` (with the columns of ``digests``) with shard and slot (gapless from 0 in each shard).
 
-    Rows of a group too large for a shard are salted into pieces of bounded size by doc_id. Null texts are a group of
-    their own of size 8 each. Rows that repeat are each placed. An empty table gives no rows.
+    Rows of equal texts share a shard, unless they have more bytes than an even shard: then they are salted into pieces of
+    bounded size by doc_id. Null texts are a group of their own of size 8 each. Rows that repeat are each placed. An empty table gives no rows.
     """
     rows = rows.withColumn("group_key", F.xxhash64(F.coalesce("text_hash", F.lit(-1)), "size"))
     groups = written(rows.groupBy("group_key").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r")), "groups")
     all_ = groups.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("r").alias("r"), F.count(F.lit(1)).alias("n")).first()
     n, totals = all_["r"] or 0, np.array([all_["b"] or 0, all_["t"] or 0, all_["r"] or 0], np.float64)
     n_blocks = max(1, -(-all_["n"] // groups_per_block))
-    heavy, load = _heavy(rows, groups, totals, n_shards, min(HEAVY, SPLIT * n_blocks))
+    heavy, load = _heavy(rows, groups, totals, n_shards, min(HEAVY, SPLIT * n_blocks) if n_blocks > 1 else 1)
     rest = left_over(load, totals)
     light, placed = rows, None
     if heavy is not None:

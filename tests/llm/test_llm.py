@@ -73,6 +73,22 @@ def test_shards_stay_even_with_one_text_in_a_third_of_all_rows(spark):
     assert len(load) == 8 and max(load) / min(load) < 1.02
 
 
+@pytest.mark.parametrize("groups_per_block", [20, 8192])
+def test_equal_texts_share_a_shard_that_holds_them(spark, groups_per_block):
+    texts = ["half a shard " * 20] * 30 + ["more than a shard " * 30] * 200 + [f"pair {i // 2} " + "word " * 40 for i in range(600)] + [None] * 9
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    placed = sharding.assign(sharding.digests(spark.createDataFrame(rows, SCHEMA)), 8, groups_per_block).collect()
+    share, shards = sum(r["size"] for r in placed) / 8, {}
+    for r in placed:
+        shards.setdefault(texts[r["doc_id"]], []).append(r["shard"])
+    assert len(placed) == len(rows) and len(set(shards[texts[30]])) > 1
+    assert all(len(set(s)) == 1 for t, s in shards.items() if len(s) * (len(t or "") + 8) <= share)
+    load = Counter()
+    for r in placed:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) / min(load.values()) < 1.05
+
+
 def test_mix_meets_targets(docs, none):
     out = mixing.mix(docs.drop("size").withColumn("size", mixing.word_count())).collect()
     by, target = Counter(), {}
