@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import table, text_bytes
+from lectern.llm.common import table, text_bytes, written
 from lectern.llm.words import ALNUM, Words, rounds
 
 WINDOW = 10
@@ -172,15 +172,19 @@ def _shard_hits(phrases: Phrases, rows, keys, raw: list[bytes]) -> pd.DataFrame:
     )
 
 
+def _parts(benchmark: DataFrame) -> tuple[int, DataFrame]:
+    """The number of parts that a benchmark is searched in, and its rows (item_id, text)."""
+    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", (text_bytes() + 64).alias("bytes"))
+    return max(1, -(-(sized.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // PART_BYTES)), sized.drop("bytes")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """Per row of ``docs`` (row, doc_id, text): row, doc_id, n_words, spans of hit words, items (item_ids with occurring windows).
 
     Null texts have no words. Items without words have no windows; an item without id marks words but isn't listed;
     rows of one item_id are one item. A benchmark beyond PART_BYTES is searched in parts of that size.
     """
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", (text_bytes() + 64).alias("bytes"))
-    total = sized.agg(F.sum("bytes").alias("b")).first()["b"] or 0
-    parts = max(1, -(-total // PART_BYTES))
+    parts, sized = _parts(benchmark)
     found = []
     for part in range(parts):
         some = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sized
@@ -235,6 +239,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     )
 
 
+def _cut(text, raw: bytes, words: Words, i: int, spans: list[tuple[int, int]]):
+    """``text``, the ``i``-th of ``words``, without the words of ``spans``; null where no other word was there."""
+    if not spans:
+        return text
+    if sum(e - b for b, e in spans) == words.first[i + 1] - words.first[i]:
+        return None
+    at, from_, kept = int(words.first[i]), 0, []
+    for b, e in spans:
+        kept.append(raw[from_ : int(words.begin[at + b] - words.at[i])])
+        from_ = int(words.end[at + e - 1] - words.at[i])
+    return b"".join([*kept, raw[from_:]]).decode("utf-8", "replace")
+
+
 def _cutter(held):
     """A function of texts that cuts out the words of hits; null where nothing else was left."""
 
@@ -242,38 +259,40 @@ def _cutter(held):
     def cut(text: pd.Series) -> pd.Series:
         values, done = text.tolist(), []
         for lo, hi, raw in rounds(values, SHARD_BYTES):
-            words = Words(raw, ALNUM)
             hits = _shard_hits(held.value, np.arange(hi - lo), [None] * (hi - lo), raw)
-            for i, (spans, n) in enumerate(zip(hits["spans"], hits["n_words"], strict=True)):
-                if not spans:
-                    done.append(values[lo + i])
-                elif sum(s["end"] - s["begin"] for s in spans) == n:
-                    done.append(None)
-                else:
-                    at, from_, kept = int(words.first[i]), 0, []
-                    for s in spans:
-                        kept.append(raw[i][from_ : int(words.begin[at + s["begin"]] - words.at[i])])
-                        from_ = int(words.end[at + s["end"] - 1] - words.at[i])
-                    done.append(b"".join([*kept, raw[i][from_:]]).decode("utf-8", "replace"))
+            words = Words(raw, ALNUM)
+            done += [_cut(values[lo + i], raw[i], words, i, [(s["begin"], s["end"]) for s in spans]) for i, spans in enumerate(hits["spans"])]
         return pd.Series(done, dtype=object)
 
     return cut
 
 
+def _cut_at(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    """Texts without the words of the spans given; null where nothing else was left."""
+    values, done = text.tolist(), []
+    at = [[] if b is None else list(zip(map(int, b), map(int, e), strict=True)) for b, e in zip(begins, ends, strict=True)]
+    for lo, hi, raw in rounds(values, SHARD_BYTES):
+        words = Words(raw, ALNUM)
+        done += [_cut(values[lo + i], raw[i], words, i, at[lo + i]) for i in range(hi - lo)]
+    return pd.Series(done, dtype=object)
+
+
 def without_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` with hit words cut out of their texts; a document that then has no word left goes. n_chars follows the text.
 
-    Texts without hits stay as they are, also those that never had words. Of a benchmark beyond PART_BYTES each part
-    is cut from what the ones before it left.
+    Texts without hits stay as they are, also those that never had words. A benchmark within PART_BYTES is searched and
+    cut in one pass; with a larger one the spans of all parts, found in the text as it was, are merged and cut at once.
     """
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", (text_bytes() + 64).alias("bytes"))
-    parts = max(1, -(-(sized.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // PART_BYTES))
-    out = docs
-    for part in range(parts):
-        some = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sized
-        phrases = Phrases([(r["item_id"], r["text"]) for r in some.select("item_id", "text").collect()], width)
-        cut = _cutter(docs.sparkSession.sparkContext.broadcast(phrases))
-        out = out.withColumn("_had", F.col("text").isNotNull()).withColumn("text", cut("text")).filter("text is not null or not _had").drop("_had")
+    parts, sized = _parts(benchmark)
+    had = docs.withColumn("_had", F.col("text").isNotNull())
+    if parts == 1:
+        phrases = Phrases([(r["item_id"], r["text"]) for r in sized.select("item_id", "text").collect()], width)
+        out = had.withColumn("text", _cutter(docs.sparkSession.sparkContext.broadcast(phrases))("text"))
+    else:
+        rows = written(numbered(had), "numbered")  # so that each part's search reads the same row numbers
+        spans = find_hits(rows, benchmark, width).filter(F.size("spans") > 0).select("row", F.col("spans.begin").alias("_begins"), F.col("spans.end").alias("_ends"))
+        out = rows.join(spans, "row", "left").withColumn("text", F.pandas_udf(_cut_at, "string")("text", "_begins", "_ends")).select(*had.columns)
+    out = out.filter("text is not null or not _had").drop("_had")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -196,6 +196,20 @@ def test_decontamination(spark, docs, none):
     assert fmindex.contamination(none, bench).count() == 0
 
 
+def test_a_benchmark_in_parts_cuts_as_one(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), "Xx, " + "; ".join(words[5:40]) + " yy", "clean " + " ".join(words[:9]), " ".join(words[10:30]), "", None]
+    # w4..w8 and w42..w49 become neighbours only when all between them is cut out: no window of the document
+    items = [" ".join(words[9:20]), " ".join(words[14:27]), " ".join(words[24:36]), " ".join(words[30:42]), " ".join(words[4:9] + words[42:50])]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)] + [(1, texts[1], 7)], "doc_id long, text string, n_chars int")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    one = sorted(map(str, fmindex.without_hits(docs, bench).collect()))
+    monkeypatch.setattr(fmindex, "PART_BYTES", 40)
+    many = fmindex.without_hits(docs, bench)
+    assert sorted(map(str, many.collect())) == one and many.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in many.collect()}[0].split() == words[:9] + words[42:]
+
+
 def test_fm_index_against_search():
     rng = np.random.default_rng(5)
     text = rng.integers(0, 4, 3000)
