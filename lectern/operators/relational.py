@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,3 +74,35 @@ def positional_zip(left: DataFrame, right: DataFrame, page: str, left_order: str
         return df.withColumn("_n", F.row_number().over(Window.partitionBy(page).orderBy(order))).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(page)))
 
     return numbered(left, left_order).join(numbered(right, right_order), [page, "_n", "_all"]).drop("_n", "_all")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the folder of ``spark.checkpoint.dir`` (a temporary one where the session has none), read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of an undirected graph's edges (a, b): nodes of a connected component share a root.
+
+    Each node moves to the neighbour of least hash until no edge is left; new hashes each round shrink chains too.
+    """
+    edges = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
+    roots, turn = None, 0
+    while not edges.isEmpty():
+        turn += 1
+        ranked = edges.select("a", *[F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v")).alias(f"r{c}") for c in ("a", "b")])
+        moves = written(ranked.groupBy(F.col("a").alias("from")).agg(F.least(F.min("ra"), F.min("rb"))["v"].alias("to")), "moves")
+        if roots is None:
+            roots = moves.select(F.col("from").alias("node"), F.col("to").alias("root"))
+        else:
+            roots = written(roots.join(moves, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        a, b = moves.select(F.col("from").alias("a"), F.col("to").alias("x")), moves.select(F.col("from").alias("b"), F.col("to").alias("y"))
+        edges = written(edges.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct(), "edges")
+    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -437,10 +437,13 @@ def adaptive_match(spark, d):
 
 @query()
 def complete_linkage(spark, d):
-    e = table(spark, d, "embeddings")
-    labels = e.select("vec_id", "label")
-    pairs = V.similar_pairs(e, 0.3).join(labels.select(F.col("vec_id").alias("a"), F.col("label").alias("component")), "a").join(labels.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b")
-    return V.complete_linkage(pairs.filter("component = lb").select("component", "a", "b", F.round("cosine", 9).alias("weight")))
+    """Complete linkage of all vectors, whatever their labels: each connected component of the links is one task.
+
+    Only the threshold bounds a component: on sf0.1 all 2,000 vectors are one, with its 14,922 links in one task.
+    """
+    pairs = R.written(V.similar_pairs(table(spark, d, "embeddings"), 0.3).select("a", "b", F.round("cosine", 9).alias("weight")), "links")
+    roots = R.components(pairs).select(F.col("node").alias("a"), F.col("root").alias("component"))
+    return V.complete_linkage(pairs.join(roots, "a"))
 
 
 # Retrieval

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import decimal
+import random
 
 import duckdb
 import pytest
@@ -58,6 +59,36 @@ def test_complete_linkage_does_not_chain(spark):
     assert {tuple(r) for r in V.complete_linkage(edges).collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
+def brute_linkage(rows, least, most=8):
+    links = sorted((-round(sum(x * y for x, y in zip(u, v, strict=True)), 9), a, b) for a, _, u in rows for b, _, v in rows if a < b and sum(x * y for x, y in zip(u, v, strict=True)) >= least)
+    joined, team = {(a, b) for _, a, b in links}, {m: {m} for _, *ends in links for m in ends}
+    for _, a, b in links:
+        x, y = team[a], team[b]
+        if x is not y and len(x) + len(y) <= most and all((min(p, q), max(p, q)) in joined for p in x for q in y):
+            for m in (both := x | y):
+                team[m] = both
+    return {(m, min(t)) for m, t in team.items()}
+
+
+def test_complete_linkage_crosses_labels(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):  # six directions, three labels: links within and across labels
+        v = [rng.gauss(0, 0.45) + (3 if k == i % 6 else 0) * 0.4 for k in range(12)]
+        size = sum(x * x for x in v) ** 0.5
+        rows.append((i, i % 3 if i % 2 else 7, [x / size for x in v]))
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {tuple(r) for r in QUERIES["complete_linkage"](spark, str(tmp_path)).collect()}
+    label = {i: k for i, k, _ in rows}
+    assert got == brute_linkage(rows, 0.3) and any(label[m] != label[g] for m, g in got)
+
+
+def test_components_of_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(50, 50), (61, 60)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in R.components(edges).collect()}
+    assert len({roots[i] for i in range(21)}) == 1 and len({roots[i] for i in range(21, 41)}) == 1 and len(set(roots.values())) == 3
+
+
 def test_similar_pairs_do_not_depend_on_blocks(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     one, many = (V.similar_pairs(e, 0.4, block_rows=n).select("a", "b").collect() for n in (10_000, 60))
