@@ -487,13 +487,15 @@ def keyword_strict_or(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    """Benchmark texts as queries: keyword hits and a second list by exact quotation, fused, pooled, reranked, diversified by source."""
+    """Benchmark texts as queries: keyword hits and exact quotations, each list from all documents and its best 30, fused, pooled, reranked, diversified by source."""
     docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
     hits = _search(spark, d).select("query_id", F.col("doc_id").alias("parent"), "rank")
     lists = hits.select("query_id", F.lit("keyword").alias("list"), "parent", "rank")
     body = docs.select(F.col("doc_id").alias("parent"), F.col("source").alias("book"), "text")
     q = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    quoted = hits.join(body, "parent").join(q, "query_id").filter(T.is_quoted(F.col("text"), F.col("query"))).select("query_id", F.lit("quote").alias("list"), "parent", F.row_number().over(Window.partitionBy("query_id").orderBy("parent")).alias("rank"))
+    # a quotation ranks by its share of the document
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("length", "parent"))
+    quoted = _quoted(docs, bench).select(F.col("item_id").alias("query_id"), F.lit("quote").alias("list"), F.col("doc_id").alias("parent"), "length").withColumn("rank", place).filter("rank <= 30").drop("length")
     pool = H.candidate_pool(lists.unionByName(quoted)).join(body, "parent").join(q, "query_id")
     return O.diverse(H.reranked(pool).select("query_id", "book", "rank", "score", "parent"), 5)
 
@@ -544,17 +546,22 @@ def index_density(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(T.index_density(F.col("text")), 6).alias("density"))
 
 
-@query(r"""select doc_id, item_id from (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents) join (select item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as q from benchmark) on contains(t, q) where length(q) >= 12""")
-def quote_verified(spark, d):
+def _quoted(docs, bench):
+    """(doc_id, item_id, length): documents that have the item's text, white space and case aside, and their length."""
     # candidates share the quote's rarest word; a quote is then looked for in those texts alone
-    q = table(spark, d, "benchmark").select("item_id", T.collapsed(F.col("text")).alias("q")).filter(F.length("q") >= 12)
-    docs = table(spark, d, "documents").select("doc_id", T.collapsed(F.col("text")).alias("t"))
+    q = bench.select("item_id", T.collapsed(F.col("text")).alias("q")).filter(F.length("q") >= 12)
+    docs = docs.select("doc_id", T.collapsed(F.col("text")).alias("t"))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
     inner = q.select("item_id", F.explode(F.array_distinct(F.slice(F.split("q", " "), 2, F.greatest(F.size(F.split("q", " ")) - 2, F.lit(1))))).alias("w"))
     df = words.join(F.broadcast(inner.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     rare = inner.join(df, "w", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
     pairs = words.join(F.broadcast(rare), "w").select("doc_id", "item_id")
-    return pairs.join(docs, "doc_id").join(F.broadcast(q), "item_id").filter(F.contains("t", F.col("q"))).select("doc_id", "item_id")
+    return pairs.join(docs, "doc_id").join(F.broadcast(q), "item_id").filter(F.contains("t", F.col("q"))).select("doc_id", "item_id", F.length("t").alias("length"))
+
+
+@query(r"""select doc_id, item_id from (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents) join (select item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as q from benchmark) on contains(t, q) where length(q) >= 12""")
+def quote_verified(spark, d):
+    return _quoted(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
 
 
 @query("""with s as (select l_orderkey as o, list_distinct(list(l_suppkey % 20)) as a, list_distinct(list(l_partkey % 20)) as b from lineitem group by 1) select o, round(len(list_intersect(a, b))::double / least(len(a), len(b)), 6) as overlap from s""")

@@ -89,6 +89,16 @@ def test_components_of_chains(spark):
     assert len({roots[i] for i in range(21)}) == 1 and len({roots[i] for i in range(21, 41)}) == 1 and len(set(roots.values())) == 3
 
 
+def test_hybrid_search_finds_quotes_beyond_the_keyword_list(spark, tmp_path):
+    quote = "renal tubular acidosis lowers serum bicarbonate while chloride rises"
+    mixed = " ".join(reversed(quote.split()))
+    rows = [(0, "filler " * 3000 + quote, "s0")] + [(i, mixed, f"s{i % 3 + 1}") for i in range(1, 41)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, quote)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert 0 not in {r["doc_id"] for r in QUERIES["keyword_strict_or"](spark, str(tmp_path)).collect()}
+    assert "s0" in {r["book"] for r in QUERIES["hybrid_search"](spark, str(tmp_path)).collect()}
+
+
 def test_similar_pairs_do_not_depend_on_blocks(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     one, many = (V.similar_pairs(e, 0.4, block_rows=n).select("a", "b").collect() for n in (10_000, 60))
