@@ -546,17 +546,29 @@ def index_density(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(T.index_density(F.col("text")), 6).alias("density"))
 
 
+#: Characters of short quotes that are broadcast at once.
+QUOTE_BLOCK = 1_000_000
+
+
 def _quoted(docs, bench):
     """(doc_id, item_id, length): documents that have the item's text, white space and case aside, and their length."""
     # candidates share the quote's rarest word; a quote is then looked for in those texts alone
-    q = bench.select("item_id", T.collapsed(F.col("text")).alias("q")).filter(F.length("q") >= 12)
+    every = bench.select("item_id", T.collapsed(F.col("text")).alias("q")).filter(F.length("q") >= 12)
+    whole = F.size(F.split("q", " ")) > 2  # its inner words are whole words of a document, too
+    q, short = every.filter(whole), every.filter(~whole)
     docs = docs.select("doc_id", T.collapsed(F.col("text")).alias("t"))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    inner = q.select("item_id", F.explode(F.array_distinct(F.slice(F.split("q", " "), 2, F.greatest(F.size(F.split("q", " ")) - 2, F.lit(1))))).alias("w"))
+    inner = q.select("item_id", F.explode(F.array_distinct(F.slice(F.split("q", " "), 2, F.size(F.split("q", " ")) - 2))).alias("w"))
     df = words.join(F.broadcast(inner.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     rare = inner.join(df, "w", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
     pairs = words.join(F.broadcast(rare), "w").select("doc_id", "item_id")
-    return pairs.join(docs, "doc_id").join(F.broadcast(q), "item_id").filter(F.contains("t", F.col("q"))).select("doc_id", "item_id", F.length("t").alias("length"))
+    found = pairs.join(docs, "doc_id").join(F.broadcast(q), "item_id").filter(F.contains("t", F.col("q"))).select("doc_id", "item_id", F.length("t").alias("length"))
+    # quotes of one or two words are looked for in all texts, in blocks of bounded size
+    blocks = -(-(short.agg(F.sum(F.length("q") + 64).alias("n")).first()["n"] or 0) // QUOTE_BLOCK)
+    for k in range(blocks):
+        some = F.broadcast(short.filter(F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks)) == k))
+        found = found.unionByName(docs.join(some, F.contains("t", F.col("q"))).select("doc_id", "item_id", F.length("t").alias("length")))
+    return found
 
 
 @query(r"""select doc_id, item_id from (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents) join (select item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as q from benchmark) on contains(t, q) where length(q) >= 12""")

@@ -99,6 +99,20 @@ def test_hybrid_search_finds_quotes_beyond_the_keyword_list(spark, tmp_path):
     assert "s0" in {r["book"] for r in QUERIES["hybrid_search"](spark, str(tmp_path)).collect()}
 
 
+def test_short_quotes_are_found(spark, tmp_path, monkeypatch):
+    texts = ["an alpha  RESPIRATORYLY end", "x respiratoryalpha respiratory", "prerespiratorypost", "alpha beta respiratory", "the long alpha respiratory quote", None, ""]
+    quotes = ["alpha respiratory", "respiratory", "Respiratoryly", "long alpha respiratory", "respiratoryp", "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLE_SQL["quote_verified"]).fetchall())
+    assert len(want) == 6 and sorted(map(tuple, QUERIES["quote_verified"](spark, str(tmp_path)).collect())) == want
+    monkeypatch.setattr("lectern.plans.queries.QUOTE_BLOCK", 100)
+    assert sorted(map(tuple, QUERIES["quote_verified"](spark, str(tmp_path)).collect())) == want
+
+
 def test_similar_pairs_do_not_depend_on_blocks(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     one, many = (V.similar_pairs(e, 0.4, block_rows=n).select("a", "b").collect() for n in (10_000, 60))
