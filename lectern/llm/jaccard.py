@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm.common import table, written
 from lectern.llm.words import NOT_BLANK, Words, mixed, rounds
@@ -330,11 +331,21 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80) -> Dat
 
 
 def one_of_each_group(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that of the least doc_id, once. Null doc_ids stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), n_words, percent)
-    firsts = written(found.filter("doc_id = component_id").select("doc_id").distinct(), "firsts")
-    kept = docs.filter("doc_id is not null").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each group of near duplicates: that of the least doc_id (null comes last), then of the least hash.
+
+    Rows are told apart by doc_id and text, not by doc_id alone; of rows equal in both, the least hash of the other
+    columns decides. A row without words is near to nothing and stays.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    rows, roots = linked_classes(keyed.select(F.col("_key").alias("doc_id"), "text"), n_words, percent)
+    rows = written(rows.select(F.col("doc_id").alias("_key"), (F.col("n_shingles") > 0).alias("worded"), "class").distinct(), "rows")
+    of = rows.filter("worded").join(roots, F.col("class") == F.col("node"), "left").select("_key", F.coalesce("root", "class").alias("root"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))["_key"]
+    firsts = keyed.select("_key", "doc_id").distinct().join(of, "_key").groupBy("root").agg(least.alias("_key"))
+    stay = written(firsts.select("_key", F.lit(True).alias("_once")).unionByName(rows.filter("not worded").select("_key", F.lit(False).alias("_once"))), "firsts")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*others) if others else F.lit(0)))
+    return keyed.join(stay, "_key").withColumn("_turn", turn).filter("_turn = 1 or not _once").select(*docs.columns)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

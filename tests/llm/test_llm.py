@@ -154,6 +154,37 @@ def test_jaccard_against_all_pairs(spark, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_one_of_each_group_against_all_pairs(spark, none):
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(8):
+        base = [f"f{family}w{x}" for x in range(40)]
+        for k in range(4):
+            text = list(base)
+            text[int(rng.integers(0, 40))] = f"v{k}"
+            rows.append((None if k == 3 else int(rng.integers(0, 9)), " ".join(text), "en", f"s{k}", None))
+    rows += [(1, "only here and nowhere else in the table", "en", "a", None), (1, "a quite different text of the same number", "en", "b", None)]
+    rows += [(None, "no number but a text of its own", "en", "a", None), (3, "", "en", "a", None), (3, None, "en", "b", None), (3, "", "en", "c", None)]
+    rows += [rows[-6]] * 2 + [(*rows[-5][:3], "z", None)]
+    component = brute_components([(i, *r[1:]) for i, r in enumerate(rows)], 5, 80)
+    groups = {}
+    for r, (i, n, c) in zip(rows, component, strict=True):
+        groups.setdefault(c if n else -1 - i, []).append(r)
+    got = [tuple(r) for r in jaccard.one_of_each_group(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(groups)
+    for g in groups.values():
+        ids = [r[0] for r in g if r[0] is not None]
+        assert sum(r in g and r[0] == min(ids, default=None) for r in set(got)) == len(set(g) & set(got)) >= 1
+    assert jaccard.one_of_each_group(none).count() == 0
+
+
+def test_keep_quality_against_single_scores(spark):
+    all_docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    score = {r["doc_id"]: r["score"] for r in quality.scored(all_docs, quality.train(all_docs, labels)).collect()}
+    kept = corpus_pipeline.keep_quality(spark, all_docs, SF)
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, x in score.items() if x >= 0.7} and kept.columns == all_docs.columns
+
+
 def test_token_files(docs, none):
     got = sorted(huffman.read_ids(*huffman.write_ids(docs, rows_per_part=2)).collect(), key=lambda r: r["start"])
     encoder, at = TextEncoder.of(vocabulary()), 0
