@@ -1,17 +1,20 @@
 """License scans by ordered signature rules, with DataFrame functions alone.
 
-Text is normalised to its words with single blanks. A document without any rule's keyword is done after that; others
-try just the rules whose keyword they hold. Every match of a rule's expression is an interval; an interval that lies
-within one of higher priority, or of equal priority and greater length, is suppressed.
+Text is normalised to its words with single blanks. A document without a part of any rule's keyword is done after that;
+others try just the rules whose keyword they hold. Every match of a rule's expression is an interval; an interval that
+lies within one of higher priority, or of equal priority and greater length, is suppressed. Rules are those written out
+in ``license_rules``, and several for each name of a family.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.llm.common import table
+from lectern.llm.license_rules import RULES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted, with their labels.
@@ -76,26 +79,6 @@ FORMS = [
     (20, "N version v?[0-9]+(?: [0-9]+)*(?: or (?:any )?later(?: version)?)?", 0.8),
     (10, "N", 0.6),
 ]
-#: Rules for whole phrases of license texts and file headers: (label, keyword, priority, expression, confidence).
-PHRASES = [
-    ("mit", "permission is hereby granted", 50, "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
-    ("isc", "permission to use copy modify", 50, "permission to use copy modify and or distribute this software for any purpose with or without fee", 1.0),
-    ("bsd", "redistribution and use", 50, "redistribution and use in source and binary forms with or without modification are permitted", 1.0),
-    ("gpl", "free software foundation", 45, "under the terms of the gnu general public licen[cs]e as published by the free software foundation", 1.0),
-    ("lgpl", "free software foundation", 45, "under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation", 1.0),
-    ("zlib", "as is without any express", 45, "this software is provided as is without any express or implied warranty", 0.8),
-    ("apache", "unless required by applicable law", 45, "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e", 1.0),
-    ("mpl", "source code form", 45, "this source code form is subject to the terms of the mozilla public licen[cs]e", 1.0),
-    ("cc-by", "creativecommons org", 35, "creativecommons org licen[cs]es by [0-9]", 0.9),
-    ("cc-by-sa", "creativecommons org", 35, "creativecommons org licen[cs]es by sa", 0.9),
-    ("cc-by-nc", "creativecommons org", 35, "creativecommons org licen[cs]es by nc(?! sa| nd)", 0.9),
-    ("gpl", "gnu org", 35, "www gnu org licen[cs]es gpl", 0.9),
-    ("apache", "apache org", 35, "apache org licen[cs]es licen[cs]e 2 0", 0.9),
-    ("mit", "opensource org", 35, "opensource org licen[cs]es mit", 0.9),
-    ("unlicense", "unencumbered software", 50, "this is free and unencumbered software released into the public domain", 1.0),
-]
-
-
 def _keyword(name: str) -> str:
     """A run of plain words of ``name`` that each of its matches holds."""
     plain = name.split("(?")[0].replace("licen[cs]e", "licen").split("[")[0]
@@ -110,10 +93,30 @@ def rules() -> list[tuple[int, str, str, int, str, float]]:
         for name in names:
             for priority, form, sure in FORMS:
                 out.append((label, _keyword(name), priority, form.replace("N", name), sure))
-    out += PHRASES
+    out += [(label, keyword, priority, expression, sure) for label, priority, keyword, expression, sure in RULES]
     return [(i, *r) for i, r in enumerate(out)]
 
 
+#: Words too common to tell a license by; and the words that a keyword stands for where its matches go on within the word.
+COMMON = frozenset("a and any are be by can for from general have in is it may not of on or public the this to under use used version with you your".split())
+LONGER = {"gplv": ("gplv2", "gplv3"), "lgplv": ("lgplv2", "lgplv3"), "agplv": ("agplv3",)}
+
+
+def gates() -> dict[str, dict[str, list[dict]]]:
+    """All rules by a word that each of their matches has, and by keyword with the blank before it: a match begins at a word.
+
+    A text that has none of the words has no detection. The last word of a keyword may go on, so another one is taken.
+    """
+    levels = {p: i for i, p in enumerate(sorted({r[3] for r in rules()}))}
+    out: dict[str, dict[str, list[dict]]] = {}
+    for rule, label, keyword, priority, expression, confidence in rules():
+        told = {"rule": rule, "label": label, "priority": priority, "level": levels[priority], "pattern": f"(?<= )(?:{expression})(?= )", "confidence": confidence}
+        words = keyword.split()[:-1]
+        for word in LONGER.get(keyword, (keyword,)) if not words else (max(words, key=lambda w: (w not in COMMON, len(w))),):
+            out.setdefault(word, {}).setdefault(f" {keyword}", []).append(told)
+    return out
+
+
 def normalised(text: Column) -> Column:
     """Lower-cased in A-Z, words with single blanks between and around them. A text without words is one blank."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,112 +124,122 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.ltrim(F.rtrim(spaced)), F.lit(" "))
 
 
-def _n_words(norm: Column) -> Column:
-    return F.when(norm == "  ", F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) - 1).cast("long")
+def _base_places(norm: Column, words: Column) -> Column:
+    """An array of the word numbers where each phrase of BASE begins, as struct(label, at)."""
+
+    def places(phrase: str, label: str) -> Column:
+        first, *rest = phrase.split()
+
+        def here(word: Column, i: Column) -> Column:
+            stands = word == first
+            for k, other in enumerate(rest, 1):
+                stands = stands & (F.get(words, i + k) == other)
+            return F.when(stands, F.struct(F.lit(label).alias("label"), (i - 1).cast("long").alias("at")))  # the first of ``words`` is empty
+
+        return F.when(F.contains(norm, F.lit(f" {phrase} ")), F.array_compact(F.transform(words, here))).otherwise(F.array().cast(PLACES))
+
+    return F.concat(*[places(phrase, label) for phrase, label in BASE.items()])
+
+
+PLACES = "array<struct<label:string,at:bigint>>"
+KNOWN = (
+    "array<struct<word:string,keywords:array<struct<keyword:string,"
+    "rules:array<struct<rule:int,label:string,priority:int,level:int,pattern:string,confidence:double>>>>>>"
+)
+FOUND = "array<struct<first:int,end:int,priority:int,level:int,rule:int,label:string,confidence:double>>"
+
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _starts(norm: Column, phrase: str) -> Column:
-    """Word numbers where ``phrase`` begins in normalised text, ascending: words before a place are blanks before it, less one.
 
-    The text is cut at the phrase; blanks of neighbours are doubled first so that adjoining places both count.
+def _found(norm: Column, held: Column) -> Column:
+    """All matches of all rules whose gate is among the words ``held`` and whose keyword the text holds, in order of place, the longest and highest first."""
+    # one literal, which is read once when the query is planned
+    known = F.from_json(F.lit(json.dumps([{"word": w, "keywords": [{"keyword": k, "rules": some} for k, some in ks.items()]} for w, ks in gates().items()])), KNOWN)
+
+    def matches(rule: Column) -> Column:
+        # marks go around each match; cut at blanks, a match then begins at a word with one mark and ends at one with the other
+        marked = F.split(F.regexp_replace(norm, rule["pattern"], F.lit("\x01$0\x02")), F.lit(" "), -1)
+        spot = lambda mark, edge: lambda words: F.array_compact(F.transform(words, lambda w, i: F.when(edge(w, F.lit(mark)), i)))
+        pairs = _let(marked, lambda words: F.arrays_zip(spot("\x01", F.startswith)(words).alias("b"), spot("\x02", F.endswith)(words).alias("e")))
+        return F.transform(
+            pairs,
+            lambda p: F.struct((p["b"] - 1).alias("first"), p["e"].alias("end"), (-rule["priority"]).alias("low"), rule["rule"].alias("rule"), rule["level"].alias("level"), rule["label"].alias("label"), rule["confidence"].alias("confidence")),
+        )
+
+    near = F.flatten(F.transform(F.filter(known, lambda g: F.array_contains(held, g["word"])), lambda g: g["keywords"]))
+    hits = F.flatten(F.transform(F.filter(near, lambda k: F.contains(norm, k["keyword"])), lambda k: k["rules"]))
+    every = F.transform(F.flatten(F.transform(hits, matches)), lambda m: F.struct(m["first"], (-m["end"]).alias("back"), m["low"], m["rule"], m["level"], m["label"], m["confidence"]))
+    return F.transform(F.array_sort(every), lambda m: F.struct(m["first"], (-m["back"]).alias("end"), (-m["low"]).alias("priority"), m["level"], m["rule"], m["label"], m["confidence"])).cast(FOUND)
+
+
+#: Matches that are walked together: what a walk keeps is copied step by step, so a text of very many matches goes by stretches.
+STRETCH = 256
+
+
+def _kept(found: Column) -> Column:
+    """``found``, which is in order, without matches that lie inside one of higher priority, or of equal priority and longer, or equal and of an earlier rule.
+
+    One walk with the furthest end so far of matches of each priority and above.
+    """
+    none, levels = F.array().cast(FOUND), len({r[3] for r in rules()})
+
+    def step(state: Column, match: Column) -> Column:
+        reach = F.transform(state["reach"], lambda r, level: F.when(level <= match["level"], F.greatest(r, match["end"])).otherwise(r))
+        inside = F.get(state["reach"], match["level"]) >= match["end"]
+        return F.struct(reach.alias("reach"), F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(match))).alias("kept"))
+
+    def stretch(state: Column, some: Column) -> Column:
+        begun = F.struct(state["reach"].alias("reach"), none.alias("kept"))
+        return _let(F.aggregate(some, begun, step), lambda s: F.struct(s["reach"].alias("reach"), F.concat(state["kept"], F.array(s["kept"])).alias("kept")))
+
+    cut = lambda every: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(every) - 1) / STRETCH), F.lit(0)).cast("int")), lambda k: F.slice(every, k * STRETCH + 1, F.lit(STRETCH)))
+    begun = F.struct(F.array_repeat(F.lit(-1), levels).alias("reach"), F.array(none).alias("kept"))
+    return _let(found, lambda every: F.flatten(F.aggregate(cut(every), begun, stretch)["kept"]))
+
+
+def with_detections(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, base (places of BASE) and kept (detections that aren't suppressed).
+
+    All is computed from the row alone, in one pass and without a join, so it doesn't matter how the rows are dealt out.
     """
-    doubled = F.replace(norm, F.lit(" "), F.lit("  "))
-    needle = " " + "  ".join(phrase.split()) + " "
-    pieces = F.split(doubled, needle)
-    words = len(phrase.split())
-    # blanks in a piece are two for each inner border, and the ends of the phrase took one each
-    blanks = lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
-    # state: words so far up to the place, and the places found
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("found"), F.lit(0).alias("i"))
-    step = lambda s, p: F.struct(
-        (s["at"] + ((blanks(p) - F.when(s["i"] == 0, 1).otherwise(0)) / 2).cast("long") + F.lit(words)).alias("at"),
-        F.concat(s["found"], F.array(s["at"] + ((blanks(p) - F.when(s["i"] == 0, 1).otherwise(0)) / 2).cast("long"))).alias("found"),
-        F.lit(1).alias("i"),
+    rows = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    rows = rows.select("*", F.split("norm", " ", -1).alias("words"))
+    every = F.array(*map(F.lit, sorted({*gates(), *(p.split()[0] for p in BASE)})))
+    rows = rows.select("*", F.array_intersect("words", every).alias("held"))
+    norm, words, held = F.col("norm"), F.col("words"), F.col("held")
+    return rows.select(
+        "doc_id",
+        F.when(norm == "  ", F.lit(0)).otherwise(F.size(words) - 2).cast("long").alias("n_words"),
+        F.when(F.size(held) > 0, _base_places(norm, words)).otherwise(F.array().cast(PLACES)).alias("base"),
+        F.when(F.size(held) > 0, _kept(_found(norm, held))).otherwise(F.array().cast(FOUND)).alias("kept"),
     )
-    whole = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step)
-    return F.when(F.contains(norm, F.lit(f" {phrase} ")), whole["found"]).otherwise(F.array().cast("array<bigint>"))
 
 
 def detections(docs: DataFrame) -> DataFrame:
-    """Every match that isn't suppressed: row, rule, label, priority, confidence, first (word) and end, from columns row and norm."""
-    spark = docs.sparkSession
-    columns = "rule int, label string, keyword string, priority int, expression string, confidence double"
-    listed = rules()
-    table_ = F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(r[2]).alias("keyword")) for r in listed])
-    some = docs.filter(_any_keyword("norm", listed)).select("row", "norm", F.explode(F.filter(table_, lambda r: F.contains(F.col("norm"), r["keyword"])))).select("row", "norm", "col.rule")
-    known = spark.createDataFrame(listed, columns).drop("keyword")
-    some = some.join(F.broadcast(known), "rule")  # a row a rule
-    pattern = F.concat(F.lit("(?<= )(?:"), "expression", F.lit(")(?= )"))
-    some = some.withColumn("matches", F.regexp_extract_all("norm", pattern, F.lit(0))).filter(F.size("matches") > 0)
-    # split() cuts at the same matches: what lies before each of them gives its place
-    pieces = F.slice(F.split("norm", pattern), 1, F.size("matches"))
-    pairs = F.arrays_zip(pieces.alias("piece"), F.col("matches").alias("match"))
-    blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    walk = F.aggregate(
-        pairs,
-        F.struct(F.lit(-1).cast("int").alias("at"), F.array().cast("array<struct<first:int,end:int>>").alias("found")),
-        lambda s, p: F.struct(
-            (s["at"] + blanks(p["piece"]) + blanks(p["match"])).alias("at"),
-            F.concat(s["found"], F.array(F.struct((s["at"] + blanks(p["piece"])).alias("first"), (s["at"] + blanks(p["piece"]) + blanks(p["match"]) + 1).alias("end")))).alias("found"),
-        ),
-    )
-    found = some.select("row", "rule", "label", "priority", "confidence", F.explode(walk["found"]).alias("at")).select("row", "rule", "label", "priority", "confidence", "at.first", "at.end")
-    return suppressed(found)
-
-
-def suppressed(found: DataFrame) -> DataFrame:
-    """``found`` without intervals inside one of higher priority, or of equal priority and longer, or equal and of an earlier rule."""
-    levels = sorted({r[3] for r in rules()})
-    order = Window.partitionBy("row").orderBy("first", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("row", "first", "end")
-    out = found.withColumn("top", F.max("priority").over(same))
-    covered = F.lit(False)
-    for level in levels:
-        reach = F.max(F.when(F.col("priority") >= level, F.col("end"))).over(order)
-        covered = covered | ((F.col("priority") == level) & F.coalesce(reach >= F.col("end"), F.lit(False)))
-    return out.withColumn("covered", covered | (F.col("priority") < F.col("top"))).filter(~F.col("covered")).drop("top", "covered")
-
-
-def _any_keyword(column: str, listed) -> Column:
-    """Whether the text holds any keyword: shortest ones first, those that hold a shorter one left out."""
-    words: list[str] = []
-    for k in sorted({r[2] for r in listed}, key=len):
-        if not any(w in k for w in words):
-            words.append(k)
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(F.col(column), F.lit(w))
-    return out
+    """Every detection that isn't suppressed, a row each: doc_id, first (word, from 0), end, priority, rule, label, confidence."""
+    return with_detections(docs).select("doc_id", F.explode("kept").alias("d")).select("doc_id", "d.*")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; others are ignored): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is the highest confidence of a detection that isn't suppressed, 0 without any. Null and empty texts have no
-    words and no labels; rows that repeat each get a row.
+    words and no labels; rows that repeat each get a row; an empty table gives none.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", normalised(F.col("text")).alias("norm"))
-    base = F.when(
-        F.contains("norm", F.lit(" gnu general public license ")) | F.contains("norm", F.lit(" apache license ")) | F.contains("norm", F.lit(" cc by ")) | F.contains("norm", F.lit(" mit license ")),
-        F.struct(*[_starts(F.col("norm"), p).alias(label) for p, label in BASE.items()]),
-    )
-    head = rows.select("row", "doc_id", _n_words(F.col("norm")).alias("n_words"), base.alias("base"))
-    places = F.array_sort(F.flatten(F.array(*[F.col(f"base.`{label}`") for label in BASE.values()])))
-    names = F.array_compact(F.array(*[F.when(F.size(F.col(f"base.`{label}`")) > 0, F.lit(label)) for label in BASE.values()]))
-    none = F.array().cast("array<string>")
-    head = head.select("row", "doc_id", "n_words", F.coalesce(places, F.array().cast("array<bigint>")).alias("places"), F.coalesce(F.when(F.col("base").isNotNull(), names), none).alias("base_names"))
-    # A document's row and its detections meet without its text.
-    found = detections(rows).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("confidence").alias("score"))
-    out = head.join(found, "row", "left")
-    return out.select(
+    at = F.transform("base", lambda p: p["at"])
+    base = F.array_distinct(F.transform("base", lambda p: p["label"]))
+    return with_detections(docs).select(
         "doc_id",
         "n_words",
-        F.size("places").cast("long").alias("n_base"),
-        F.array_min("places").alias("first_word"),
-        F.array_max("places").alias("last_word"),
-        F.array_join(F.array_sort("base_names"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base_names", F.coalesce("found", none))), ",").alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, F.transform("kept", lambda d: d["label"]))), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("kept", lambda d: d["confidence"])), F.lit(0.0)).alias("score"),
     )
 
 
