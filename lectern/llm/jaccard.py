@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import table, written
+from lectern.llm.common import small_batches, table, written
 from lectern.llm.words import NOT_BLANK, Words, mixed, rounds
 
 #: Text bytes of a chunk (documents whose n-grams travel together) and n-grams of a bucket (those whose frequencies one task counts).
@@ -266,6 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, n_words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): per row of ``docs`` doc_id, n_shingles and class (equal sets share one); per linked class its component's root."""
+    small_batches(docs.sparkSession)
     volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(0, int(volume / 6 / BUCKET_GRAMS).bit_length())
     grams = written(gram_table(docs, n_words, bits), "grams")

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import is_held_out, labelled_sample, small_batches, table
 from lectern.llm.words import NOT_BLANK, Words, rounds
 
 #: At most so many labelled documents of each label are learned from, chosen by a hash of doc_id.
@@ -43,8 +43,7 @@ def line_features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     n_bytes = (end - begin).astype(np.float64)
 
     def share(member: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(member[data])])
-        return (sums[end] - sums[begin]) / np.maximum(n_bytes, 1)
+        return np.add.reduceat(member[data], begin, dtype=np.int64) / np.maximum(n_bytes, 1)
 
     upper, letter, digit, stop, symbol = map(share, (_UPPER, _LETTER, _DIGIT, _STOP, _SYMBOL))
     line = np.searchsorted(begin, words.begin, side="right") - 1
@@ -171,18 +170,11 @@ def fit(features: np.ndarray, n_bytes: np.ndarray, first: np.ndarray, labels: np
     return model
 
 
-def is_held_out(doc_id="doc_id"):
-    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
-
-
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> LineModel:
     """The model from at most ``most`` documents of each label, none of them held out. Without both labels every text scores as good."""
+    small_batches(docs.sparkSession)
     known = labels.filter("quality in (0, 1)").filter(~is_held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = None
-    for q in (0, 1):
-        some = known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = some if chosen is None else chosen.unionByName(some)
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Line
                     }
                 )
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(collect, "quality int, lines binary, sizes binary").toPandas()
+    sample = labelled_sample(docs, labels, "quality", most).mapInPandas(collect, "quality int, lines binary, sizes binary").toPandas()
     if sample["quality"].nunique() < 2:
         n = 3 * N_OWN + 1
         return LineModel(np.zeros(n), np.zeros((2, 2)), np.zeros(n), np.ones(n), 1.0, 5.0)
@@ -207,21 +199,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Line
     return fit(x, np.concatenate(n_bytes), first, sample["quality"].to_numpy(np.float64), counts[1] / (counts[0] + counts[1]))
 
 
-def scored(docs: DataFrame, model: LineModel) -> DataFrame:
-    """``docs`` with score (0 to 1). Null and empty texts score as one empty line; rows that repeat score alike."""
+def score_of(model: LineModel, docs: DataFrame) -> Column:
+    """A column of the scores (0 to 1) of ``docs.text``. Null and empty texts score as one empty line."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(np.concatenate([held.value.scores(*line_features(raw)) for _, _, raw in rounds(text.tolist())] or [np.zeros(0)]))
 
-    return docs.withColumn("score", score("text"))
+    return score(F.col("text"))
+
+
+def scored(docs: DataFrame, model: LineModel) -> DataFrame:
+    """``docs`` with score (0 to 1), which replaces a column of that name. Rows that repeat score alike."""
+    return docs.withColumn("score", score_of(model, docs))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that score below ``threshold``."""
-    names = docs.columns
-    return scored(docs, train(docs, labels)).filter(F.col("score") >= threshold).select(*names)
+    """``docs``, all columns as they are, without the rows whose text scores below ``threshold``.
+
+    Null and empty texts are judged as one empty line; each of several equal rows is kept or goes alike; no rows give none.
+    """
+    return docs.filter(score_of(train(docs, labels), docs) >= threshold)
 
 
 def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

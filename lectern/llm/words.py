@@ -15,7 +15,9 @@ ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.Generator(np.random.Philox(key=[1, 7])).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Bytes that are hashed at once: arrays of eight bytes for each byte of text then stay in a cache, however long a text is.
+_STEP = 1 << 16
+_UP, _DOWN = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(_STEP - 1, np.uint64(b))])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -25,15 +27,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(way: str, n: int) -> np.ndarray:
-    if len(_powers[way]) < n:
-        step = _BASE if way == "up" else pow(_BASE, -1, 1 << 64)
-        row = np.full(n, np.uint64(step))
-        row[0] = 1
-        _powers[way] = np.multiply.accumulate(row)
-    return _powers[way][:n]
-
-
 class Words:
     """Words of ``texts`` (UTF-8), lower-cased in A-Z: ``doc``, ``begin``, ``end`` (byte bounds in ``data``) and ``hash`` of each.
 
@@ -49,8 +42,22 @@ class Words:
         self.begin, self.end = edges[0::2], edges[1::2]
         self.first = np.concatenate([np.searchsorted(self.begin, self.at), [len(self.begin)]])
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[self.data] * _power("up", len(self.data)), dtype=np.uint64)])
-        self.hash = mixed((sums[self.end] - sums[self.begin]) * _power("down", len(self.data))[self.begin] + _ROOT)
+        self.hash = mixed(self._polynomials(edges) + _ROOT)
+
+    def _polynomials(self, edges: np.ndarray) -> np.ndarray:
+        """Of each word the sum of its bytes' values times powers of a base, from power 0 at its first byte on; by steps of _STEP bytes."""
+        before, down = np.empty(len(edges), np.uint64), np.empty(len(edges), np.uint64)
+        cuts = np.searchsorted(edges, np.arange(0, len(self.data) + _STEP, _STEP))
+        so_far, up, back = 0, 1, 1  # sum of earlier steps, and the base's power at this one and its inverse, modulo 2 ** 64
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            values = _TABLE[self.data[k * _STEP : (k + 1) * _STEP]] * _UP[: len(self.data) - k * _STEP]
+            sums = np.cumsum(values, dtype=np.uint64)
+            at = edges[lo:hi] - k * _STEP
+            before[lo:hi] = (sums[at] - values[at]) * np.uint64(up) + np.uint64(so_far)
+            down[lo:hi] = _DOWN[at] * np.uint64(back)
+            so_far = (so_far + up * int(sums[-1])) % (1 << 64)
+            up, back = up * pow(_BASE, _STEP, 1 << 64) % (1 << 64), back * pow(_BASE, -_STEP, 1 << 64) % (1 << 64)
+        return (before[1::2] - before[0::2]) * down[0::2]
 
     def runs(self, n: int) -> np.ndarray:
         """The hash of the ``n`` words from each word on; the last n - 1 words of all have none."""
@@ -63,7 +70,7 @@ class Words:
         return out
 
 
-def rounds(values, n_bytes: int = 2_000_000) -> Iterator[tuple[int, int, list[bytes]]]:
+def rounds(values, n_bytes: int = 500_000) -> Iterator[tuple[int, int, list[bytes]]]:
     """Cut a column of texts into runs (from, to, UTF-8 texts) of about ``n_bytes``; null is empty. A longer text is a run of its own."""
     held, size, begin = [], 0, 0
     for i, text in enumerate(values):
