@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import table, text_bytes, written
+from lectern.llm.common import small_batches, table, text_bytes, written
 from lectern.llm.words import ALNUM, Words, rounds
 
 WINDOW = 10
@@ -185,6 +185,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> Dat
     rows of one item_id are one item. A benchmark beyond PART_BYTES is searched in parts of that size.
     """
     parts, sized = _parts(benchmark)
+    small_batches(docs.sparkSession)
     found = []
     for part in range(parts):
         some = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else sized
@@ -280,22 +281,25 @@ def _cut_at(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
 def without_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` with hit words cut out of their texts; a document that then has no word left goes. n_chars follows the text.
 
-    Texts without hits stay as they are, also those that never had words. A benchmark within PART_BYTES is searched and
-    cut in one pass; with a larger one the spans of all parts, found in the text as it was, are merged and cut at once.
+    Texts without hits stay as they are, also null ones and those that never had words; all other columns stay, whatever
+    their names; rows that repeat are each cut. A benchmark within PART_BYTES is searched and cut in one pass; with a
+    larger one the spans of all parts, found in the text as it was, are merged and cut at once.
     """
     parts, sized = _parts(benchmark)
-    had = docs.withColumn("_had", F.col("text").isNotNull())
+    small_batches(docs.sparkSession)
+    had = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
     if parts == 1:
         phrases = Phrases([(r["item_id"], r["text"]) for r in sized.select("item_id", "text").collect()], width)
-        out = had.withColumn("text", _cutter(docs.sparkSession.sparkContext.broadcast(phrases))("text"))
+        out = had.select("doc", _cutter(docs.sparkSession.sparkContext.broadcast(phrases))("text").alias("text"))
     else:
-        rows = written(numbered(had), "numbered")  # so that each part's search reads the same row numbers
-        spans = find_hits(rows, benchmark, width).filter(F.size("spans") > 0).select("row", F.col("spans.begin").alias("_begins"), F.col("spans.end").alias("_ends"))
-        out = rows.join(spans, "row", "left").withColumn("text", F.pandas_udf(_cut_at, "string")("text", "_begins", "_ends")).select(*had.columns)
-    out = out.filter("text is not null or not _had").drop("_had")
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+        rows = written(numbered(had.select("doc", "doc.doc_id", "text")), "numbered")  # so that each part's search reads the same row numbers
+        spans = find_hits(rows, benchmark, width).filter(F.size("spans") > 0).select("row", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
+        out = rows.join(spans, "row", "left").select("doc", F.pandas_udf(_cut_at, "string")("text", "begins", "ends").alias("text"))
+    out = out.filter("text is not null or doc.text is null")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ disjoint within an epoch without any exchange, and the shard is shuffled locally
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.llm.common import table, written
+from lectern.llm.common import small_batches, table, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 CYCLE = (3, 1, 2)
@@ -98,14 +99,15 @@ def mix(docs: DataFrame, n_shards: int = 24, seed: int = 11) -> DataFrame:
     their place in the source's permuted order. Sources, one row each, are planned on the driver. A null source is the
     last source; a document without words is never taken; rows that repeat are mixed as documents of their own.
     """
-    n = docs.count()
-    buckets = max(1, -(-n // ROWS_PER_BUCKET))
+    buckets = max(1, -(-docs.count() // ROWS_PER_BUCKET))
     names = docs.columns
+    # Rows that share a doc_id part by their other columns; rows without one by their number, where the caller wrote one.
+    apart = F.when(F.col("row.doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("row.doc_id", "row.size", F.lit(seed)))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     rows = rows.select(
         "row",
         F.coalesce(F.concat(F.lit("="), "row.source"), F.lit("")).alias("key"),
-        F.pmod(F.xxhash64("row.doc_id", F.lit(seed)), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(apart, F.lit(buckets)).cast("int").alias("bucket"),
         F.col("row.size").alias("words"),
     )
     sums = written(rows.groupBy("key", "bucket").agg(F.sum("words").alias("words")), "bucket-sums")
@@ -182,35 +184,42 @@ def mixed_texts(docs: DataFrame, n_shards: int = 24, seed: int = 11) -> DataFram
     """The mix itself: a row for each epoch in which words of a document are taken, with the columns of ``docs``.
 
     A document taken whole keeps its text as it is; else the text is cut to the words taken, in order. n_chars, where
-    there is one, follows the text. Rows are shuffled within hashed stretches of their first shard.
+    there is one, follows the text; all other columns, whatever their names, stay. Rows are shuffled within hashed
+    stretches of their first shard. A null text has no words, so its row is never taken; rows that repeat are each
+    mixed; no rows give none.
     """
     names = docs.columns
-    mixed = mix(docs.withColumn("size", word_count()) if "size" not in names else docs.drop("size").withColumn("size", word_count()), n_shards, seed)
-    rows = mixed.select(*[F.col(f"`{c}`") for c in names if c != "size"], "size", F.explode(F.array_distinct(F.transform("spans", lambda s: s["epoch"]))).alias("_epoch"), "spans")
-    own = F.filter("spans", lambda s: s["epoch"] == F.col("_epoch"))
-    rows = rows.withColumn("_own", F.array_sort(F.transform(own, lambda s: F.struct(s["begin"], s["end"], s["shard"], s["draw"]))))
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), word_count().alias("size"), "doc_id", "source")
+    # rows without a doc_id get a number, which is written so that it stays; the others are told apart as they are
+    unnamed = written(rows.filter("doc_id is null").withColumn("number", F.monotonically_increasing_id()), "unnamed")
+    rows = rows.filter("doc_id is not null").withColumn("number", F.lit(None).cast("long")).unionByName(unnamed)
+    stretches = max(1, -(-docs.count() // (n_shards * ROWS_PER_BUCKET)))
+    rows = mix(rows, n_shards, seed).filter(F.size("spans") > 0)
+    rows = rows.select("doc", "number", "size", F.explode(F.array_distinct(F.transform("spans", lambda s: s["epoch"]))).alias("epoch"), "spans")
+    own = F.filter("spans", lambda s: s["epoch"] == F.col("epoch"))
+    rows = rows.withColumn("own", F.array_sort(F.transform(own, lambda s: F.struct(s["begin"], s["end"], s["shard"], s["draw"]))))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, size: pd.Series, spans: pd.Series) -> pd.Series:
-        import re
-
         out = []
         for t, n, own in zip(text, size, spans, strict=True):
             if sum(s["end"] - s["begin"] for s in own) < n:
-                at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+                at = [m.span() for m in re.finditer(WORDS, t)]
                 t = " ".join(t[at[s["begin"]][0] : at[s["end"] - 1][1]] for s in own)
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    rows = rows.withColumn("text", cut("text", "size", "_own"))
-    shard = F.col("_own")[0]["shard"]
-    rows = rows.withColumn("_at", F.xxhash64(F.lit(seed), "doc_id", "_epoch"))
-    stretch = F.pmod(F.col("_at"), F.lit(16))
-    rows = rows.repartition(shard, stretch).sortWithinPartitions(shard, "_at")
-    return rows.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    shard, order = F.col("own")[0]["shard"], F.xxhash64(F.lit(seed), "doc.doc_id", "number", "epoch")
+    rows = rows.select("doc", cut("doc.text", "size", "own").alias("text"), shard.alias("shard"), order.alias("order"))
+    rows = rows.repartition("shard", F.pmod("order", F.lit(stretches))).sortWithinPartitions("shard", "order")
+    new = {"text": F.col("text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names])
 
 
 def op6_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: doc_id, size, source_size, target, taken, and the spans that each shard gets."""
-    docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size")), "word-counts")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "spans")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"), F.monotonically_increasing_id().alias("number"))
+    return mix(written(docs, "word-counts")).select("doc_id", "size", "source_size", "target", "taken", "spans")
