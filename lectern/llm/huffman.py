@@ -12,13 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.llm import bits
-from lectern.llm.common import key_cuts, table, written
-from lectern.llm.tokens import TextEncoder, vocabulary
+from lectern.llm.common import key_cuts, small_batches, table, written
+from lectern.llm.tokens import ROUND_BYTES, TextEncoder, vocabulary
+from lectern.llm.words import rounds
 
 #: Ids between two bit offsets of a document.
 STRIDE = 256
@@ -101,10 +104,8 @@ class Coder:
         where = np.repeat(begin - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
         self.symbol[where], self.step[where] = np.repeat(used, spans), np.repeat(self.lengths[used], spans)
 
-    def encode(self, docs: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
-        """Of each document the byte-aligned codes and a bit offset for every ``STRIDE``-th id."""
-        sizes = np.array([len(d) for d in docs], np.int64)
-        ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
+    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+        """Of each document, ``sizes`` of ``ids`` one after another, the byte-aligned codes and a bit offset for every ``STRIDE``-th id."""
         width = self.lengths[ids]
         if (width == 0).any():
             raise ValueError("an id has no code")
@@ -141,19 +142,36 @@ class Coder:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id as little-endian bytes, 16-bit where the vocabulary allows."""
+    """(doc_id, ids, wide): each text's ids and the end id as little-endian bytes, 16-bit where the vocabulary allows."""
+    small_batches(docs.sparkSession)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder.of(path)
         kind = _kind(encoder.tokenizer.get_vocab_size())
-        end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                some = batch.iloc[lo : lo + 512]
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encoder.ids_of(some["text"].tolist())]
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(object, na_value=None), "ids": ids, "wide": kind == "<u4"})
+            for lo, hi, raw in rounds(batch["text"].to_pylist(), ROUND_BYTES):
+                ids, sizes = encoder.flat_ids(raw, end_id)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.dtype(kind).itemsize
+                ids = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi].cast(pa.int64()), ids, pa.array(np.full(hi - lo, kind == "<u4"))], ["doc_id", "ids", "wide"])
 
-    return docs.select("doc_id", "text").mapInPandas(encode, "doc_id long, ids binary, wide boolean")
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary, wide boolean")
+
+
+def _flat(ids: pa.Array, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of a column of ``tokenized``, one row after another; how many each row has)."""
+    ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)
+    size = 4 if wide else 2
+    raw = np.frombuffer(ids.buffers()[2], "<u4" if wide else "<u2", (int(ends[-1]) - int(ends[0])) // size, int(ends[0])) if ids.buffers()[2] else np.zeros(0, np.uint16)
+    return raw, np.diff(ends).astype(np.int64) // size
+
+
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """The rows of a batch by whether their ids are wide; all rows of one vocabulary are alike."""
+    for wide in (False, True):
+        some = batch.filter(pc.equal(batch["wide"], wide))
+        if len(some):
+            yield wide, some
 
 
 def _kind(vocabulary_size: int) -> str:
@@ -163,17 +181,17 @@ def _kind(vocabulary_size: int) -> str:
 def id_counts(ids: DataFrame) -> np.ndarray:
     """How often each id occurs over all documents. A row an id at most comes to the driver."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for wide, rows in batch.groupby("wide")["ids"]:
-                new = np.bincount(np.frombuffer(b"".join(rows), "<u4" if wide else "<u2"))
+            for wide, some in _by_width(batch):
+                new = np.bincount(_flat(some["ids"], wide)[0])
                 total = np.pad(total, (0, max(0, len(new) - len(total))))
                 total[: len(new)] += new
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
 
-    rows = ids.select("ids", "wide").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = ids.select("ids", "wide").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max([0, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -185,35 +203,34 @@ def encode_documents(ids: DataFrame, lengths: np.ndarray, cuts: list[int]) -> Da
     lengths_b = ids.sparkSession.sparkContext.broadcast(lengths)  # a byte an id of the vocabulary
     edges = np.array(cuts, np.int64)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(lengths_b.value)
-
-        def flush(keys, docs):
-            done = coder.encode(docs)
-            return pd.DataFrame(
-                {
-                    "part": [0 if k is None else int(np.searchsorted(edges, k)) for k in keys],
-                    "doc_id": pd.array(keys, dtype="Int64"),
-                    "n_ids": [len(x) for x in docs],
-                    "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in docs],
-                    "payload": [x for x, _ in done],
-                    "offsets": [x for _, x in done],
-                }
-            )
-
         for batch in batches:
-            keys, docs, held = [], [], 0
-            for doc_id, raw, wide in zip(batch["doc_id"], batch["ids"], batch["wide"], strict=True):
-                keys.append(None if pd.isna(doc_id) else int(doc_id))
-                docs.append(np.frombuffer(raw, "<u4" if wide else "<u2"))
-                held += len(docs[-1])
-                if held >= ROUND_IDS:
-                    yield flush(keys, docs)
-                    keys, docs, held = [], [], 0
-            if keys:
-                yield flush(keys, docs)
-
-    return ids.mapInPandas(encode, CODED)
+            for wide, some in _by_width(batch):
+                ids, sizes = _flat(some["ids"], wide)
+                lo = 0
+                while lo < len(sizes):  # rounds of ROUND_IDS, a longer document on its own
+                    hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), ROUND_IDS, side="right")) + lo)
+                    n, ids, mine = sizes[lo:hi], ids[int(sizes[lo:hi].sum()) :], ids[: int(sizes[lo:hi].sum())]
+                    done = coder.encode(mine, n)
+                    raw, ends = memoryview(mine.astype("<u4").tobytes()), 4 * np.cumsum(n)
+                    keys = some["doc_id"][lo:hi]
+                    part = np.searchsorted(edges, np.asarray(keys.fill_null(0), np.int64))
+                    part[np.asarray(keys.is_null())] = 0
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(part, pa.int32()),
+                            keys,
+                            pa.array(n),
+                            pa.array([zlib.crc32(raw[e - 4 * k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)], pa.int64()),
+                            pa.array([x for x, _ in done], pa.binary()),
+                            pa.array([x for _, x in done], pa.list_(pa.int32())),
+                        ],
+                        [c.split()[0] for c in CODED.split(", ")],
+                    )
+                    lo = hi
+
+    return ids.mapInArrow(encode, CODED)
 
 
 def file_blocks(coded: DataFrame, partitions: int) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import table, written
-from lectern.llm.tokens import TextEncoder, vocabulary
+from lectern.llm.common import small_batches, table, written
+from lectern.llm.tokens import ROUND_BYTES, TextEncoder, vocabulary
+from lectern.llm.words import rounds
 
 #: Ids of a block; the last block of a file may be shorter.
 BLOCK_IDS = 1 << 17
@@ -33,11 +34,13 @@ def flat_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID, b
     end id within a text is encoded as ordinary text.
     """
     path = path or vocabulary()
+    small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = TextEncoder.of(path, plain=True)
         file, block = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2").tobytes()
+        if max(end_id, encoder.tokenizer.get_vocab_size() - 1) > 0xFFFF:
+            raise ValueError("the vocabulary doesn't fit flat files of 16-bit ids")
         held, ends = bytearray(), []  # ends: (bytes up to the end id, doc_id)
 
         def cut(size: int):
@@ -48,13 +51,13 @@ def flat_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID, b
             return row
 
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                some = batch.iloc[lo : lo + 512]
-                for doc_id, ids in zip(some["doc_id"], encoder.ids_of(some["text"].tolist()), strict=True):
-                    held += np.frombuffer(ids, "<u4").astype("<u2").tobytes() + end
-                    ends.append((len(held), None if pd.isna(doc_id) else int(doc_id)))
-                    while len(held) >= 2 * block_ids:
-                        yield cut(2 * block_ids)
+            for lo, hi, raw in rounds(batch["text"].tolist(), ROUND_BYTES):
+                ids, sizes = encoder.flat_ids(raw, end_id)
+                begin = len(held)
+                held += ids.astype("<u2").tobytes()
+                ends += [(begin + at, None if pd.isna(d) else int(d)) for at, d in zip((2 * np.cumsum(sizes)).tolist(), batch["doc_id"][lo:hi], strict=True)]
+                while len(held) >= 2 * block_ids:
+                    yield cut(2 * block_ids)
         if held:
             yield cut(len(held))
 
