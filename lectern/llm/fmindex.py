@@ -298,7 +298,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     out = out.filter("text is not null or doc.text is null")
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.coalesce(F.char_length("text"), "doc.n_chars").cast(docs.schema["n_chars"].dataType)
     return out.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -5,8 +5,9 @@ linked sets the smaller one's index prefix and the larger one's probe prefix sha
 share l. Each document takes the l that its tokens' frequencies make cheapest, and a pair must then share as many
 prefix tokens as the lesser of its two l before it is verified.
 
-Exact throughout: equal sets are one class; a token that one document alone has is never sent on; size, unique-token
-and parity-bitmap bounds drop only pairs that can't link; every link is verified on the sets. Large families of near
+Exact but for hashes: equal sets are one class by 128 bits; n-grams are told apart by hashes of 40 bits and more, which
+grow with the corpus. A token that one document alone has is never sent on; size, unique-token and parity-bitmap bounds
+drop only pairs that can't link; every link is verified on the sets of hashes. Large families of near
 copies don't expand into pairs: each member is first linked to a centre that shares a min-hash with it, and pairs
 already connected by their centre aren't formed.
 """
@@ -27,6 +28,8 @@ from lectern.llm.words import NOT_BLANK, Words, mixed, rounds
 
 #: Text bytes of a chunk (documents whose n-grams travel together) and n-grams of a bucket (those whose frequencies one task counts).
 CHUNK_BYTES, BUCKET_GRAMS = 12_000_000, 2_000_000
+#: Bits by which a chunk's n-grams are dealt to buckets at most; more bits deal what a bucket has of many chunks once more.
+FAN_BITS = 12
 #: Bits of an n-gram's hash below those that name its bucket (more while there are few buckets: see ``gram_bits``), and
 #: longs of a document's parity bitmap. The hash grows with the number of buckets, so collisions stay as rare at any size.
 LOW_BITS, LEAST_BITS, MAP_LONGS = 33, 40, 16
@@ -37,6 +40,7 @@ CENTRES = 6
 GRAMS = (
     "chunk long, bucket int, doc_ids array<long>, sizes array<int>, classes array<string>, docs binary, grams binary, df binary"
 )
+FINER = "bucket long, team int, members array<long>, places binary, docs binary, grams binary, df binary"
 FOUND = (
     "class string, n int, alone int, need int, parity array<long>, shared binary, index_tokens array<long>, "
     "probe_tokens array<long>, mins array<long>"
@@ -53,6 +57,10 @@ def _planes(x: np.ndarray, n: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
+def _bytes(bits: int) -> int:
+    return -(-bits // 8)
+
+
 def _unplaned(raw: bytes, n: int) -> np.ndarray:
     out = np.zeros((len(raw) // n, 8), np.uint8)
     out[:, :n] = np.frombuffer(raw, np.uint8).reshape(n, -1).T
@@ -89,15 +97,18 @@ def _classes(doc: np.ndarray, gram: np.ndarray, n_docs: int) -> tuple[np.ndarray
     return sizes, [f"{x:016x}{y:016x}" if n else "" for x, y, n in zip(a.tolist(), b.tolist(), sizes.tolist(), strict=True)]
 
 
-def gram_table(docs: DataFrame, n_words: int, bits: int) -> DataFrame:
-    """Per chunk of documents a row of names and sizes (bucket -1), and per bucket of hashes its n-grams with their documents' places."""
+def gram_table(docs: DataFrame, n_words: int, bits: int, all_bits: int) -> DataFrame:
+    """Per chunk of documents a row of names and sizes (bucket -1), and per bucket of hashes its n-grams with their documents' places.
+
+    ``bits`` of a hash name the bucket here, of the ``all_bits`` that name the one in which n-grams are counted.
+    """
+    low = gram_bits(all_bits) - bits
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk = TaskContext.get().partitionId() << 24
         ids, sizes, classes, docs_, grams, held = [], [], [], [], [], 0
 
         def flush():
-            low = gram_bits(bits) - bits
             d, g = np.concatenate(docs_), np.concatenate(grams)
             docs_.clear()
             grams.clear()
@@ -110,7 +121,7 @@ def gram_table(docs: DataFrame, n_words: int, bits: int) -> DataFrame:
             for k in range(1 << bits):
                 lo, hi = edges[k], edges[k + 1]
                 if hi > lo:
-                    rows.append((chunk, k, None, None, None, d[lo:hi].astype("<u2").tobytes(), _planes(g[lo:hi], 5), b""))
+                    rows.append((chunk, k, None, None, None, d[lo:hi].astype("<u2").tobytes(), _planes(g[lo:hi], _bytes(low)), b""))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in GRAMS.split(", ")])
 
         for batch in batches:
@@ -134,11 +145,10 @@ def gram_table(docs: DataFrame, n_words: int, bits: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(collect, GRAMS)
 
 
-def _frequencies(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Back to each chunk: the bucket's n-grams that more than one document has, with how many have it."""
-    gram = np.concatenate([_unplaned(x, 5) for x in bucket["grams"]])
-    doc = np.concatenate([np.frombuffer(x, "<u2") for x in bucket["docs"]])
-    row = np.repeat(np.arange(len(bucket), dtype=np.int32), [len(x) // 2 for x in bucket["docs"]])
+def _shared(grams: list[bytes], n_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, n-gram, how many documents have it) of those that more than one has, over the rows of a bucket; and where each row begins among them."""
+    sizes = [len(x) // n_bytes for x in grams]
+    gram = np.concatenate([_unplaned(x, n_bytes) for x in grams])
     order = np.argsort(gram, kind="stable")
     in_order = gram[order]
     starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]])) if len(gram) else np.zeros(0, np.int64)
@@ -148,16 +158,98 @@ def _frequencies(bucket: pd.DataFrame) -> pd.DataFrame:
     df[order] = np.repeat(times, times)
     del order
     keep = np.flatnonzero(df > 1)
-    edges = np.searchsorted(row[keep], np.arange(len(bucket) + 1))
-    rows = []
-    for k, chunk in enumerate(bucket["chunk"]):
-        some = keep[edges[k] : edges[k + 1]]
-        if len(some):
-            rows.append((chunk, int(bucket["bucket"].iloc[0]), None, None, None, doc[some].astype("<u2").tobytes(), _planes(gram[some], 5), np.minimum(df[some], 65_535).astype("<u2").tobytes()))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in GRAMS.split(", ")])
+    return keep, gram[keep], np.minimum(df[keep], 65_535), np.searchsorted(keep, np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def _frequencies(low: int):
+    """Back to each chunk: the bucket's n-grams that more than one document has, with how many have it."""
+
+    def count(bucket: pd.DataFrame) -> pd.DataFrame:
+        keep, gram, df, edges = _shared(list(bucket["grams"]), _bytes(low))
+        doc = np.concatenate([np.frombuffer(x, "<u2") for x in bucket["docs"]])
+        rows = []
+        for k, (chunk, name) in enumerate(zip(bucket["chunk"], bucket["bucket"], strict=True)):
+            lo, hi = edges[k], edges[k + 1]
+            if hi > lo:
+                rows.append((chunk, name, None, None, None, doc[keep[lo:hi]].tobytes(), _planes(gram[lo:hi], _bytes(low)), df[lo:hi].astype("<u2").tobytes()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in GRAMS.split(", ")])
+
+    return count
+
+
+def _spread(low: int, more: int):
+    """What a bucket has of a team of chunks, dealt to finer buckets by ``more`` bits of the ``low`` ones left, with the chunk of each n-gram."""
+
+    def spread(part: pd.DataFrame) -> pd.DataFrame:
+        members = part["chunk"].tolist()
+        gram = np.concatenate([_unplaned(x, _bytes(low)) for x in part["grams"]])
+        doc = np.concatenate([np.frombuffer(x, "<u2") for x in part["docs"]])
+        place = np.repeat(np.arange(len(members), dtype="<u2"), [len(x) // 2 for x in part["docs"]])
+        order = np.argsort(gram, kind="stable")
+        gram, doc, place = gram[order], doc[order], place[order]
+        edges = np.searchsorted(gram >> np.uint64(low - more), np.arange((1 << more) + 1))
+        gram &= np.uint64((1 << (low - more)) - 1)
+        name, team, rows = int(part["bucket"].iloc[0]) << more, int(part["team"].iloc[0]), []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi = edges[k], edges[k + 1]
+            rows.append((name | k, team, members, place[lo:hi].tobytes(), doc[lo:hi].tobytes(), _planes(gram[lo:hi], _bytes(low - more)), b""))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FINER.split(", ")])
+
+    return spread
+
+
+def _finer_frequencies(low: int):
+    """``_frequencies`` of a finer bucket: a row a team."""
+
+    def count(bucket: pd.DataFrame) -> pd.DataFrame:
+        keep, gram, df, edges = _shared(list(bucket["grams"]), _bytes(low))
+        doc = np.concatenate([np.frombuffer(x, "<u2") for x in bucket["docs"]])[keep]
+        place = np.concatenate([np.frombuffer(x, "<u2") for x in bucket["places"]])[keep]
+        rows = []
+        for k, (name, team, members) in enumerate(zip(bucket["bucket"], bucket["team"], bucket["members"], strict=True)):
+            lo, hi = edges[k], edges[k + 1]
+            if hi > lo:
+                rows.append((name, team, members, place[lo:hi].tobytes(), doc[lo:hi].tobytes(), _planes(gram[lo:hi], _bytes(low)), df[lo:hi].astype("<u2").tobytes()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in FINER.split(", ")])
+
+    return count
+
+
+def _gathered(low: int, more: int):
+    """The reverse of ``_spread``: a team's counted n-grams of all finer buckets of a bucket, a row a chunk again."""
+
+    def gather(part: pd.DataFrame) -> pd.DataFrame:
+        fine = low - more
+        gram = np.concatenate([_unplaned(x, _bytes(fine)) | (np.uint64(int(b) & ((1 << more) - 1)) << np.uint64(fine)) for x, b in zip(part["grams"], part["bucket"], strict=True)])
+        chunk = np.concatenate([np.asarray(m, np.int64)[np.frombuffer(p, "<u2")] for m, p in zip(part["members"], part["places"], strict=True)])
+        doc, df = (np.concatenate([np.frombuffer(x, "<u2") for x in part[c]]) for c in ("docs", "df"))
+        order = np.argsort(chunk, kind="stable")
+        names, starts = np.unique(chunk[order], return_index=True)
+        name, rows = int(part["bucket"].iloc[0]) >> more, []
+        for c, some in zip(names.tolist(), np.split(order, starts[1:]), strict=True):
+            rows.append((c, name, None, None, None, doc[some].tobytes(), _planes(gram[some], _bytes(low)), df[some].tobytes()))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in GRAMS.split(", ")])
+
+    return gather
+
+
+def counted_grams(grams: DataFrame, bits: int) -> DataFrame:
+    """The bodies of ``gram_table`` with each n-gram's frequency, without those that one document alone has.
+
+    Each chunk makes at most 2 ** FAN_BITS rows. Where that would leave buckets too large, what each has of a team of as
+    many chunks is dealt once more, and gathered by chunk again, so rows grow with the volume alone, not with its square.
+    """
+    bodies, first = grams.filter("bucket >= 0"), min(bits, FAN_BITS)
+    low, more = gram_bits(bits) - first, bits - first
+    if not more:
+        return bodies.groupBy("bucket").applyInPandas(_frequencies(low), GRAMS)
+    teams = max(1, grams.filter("bucket < 0").count() >> first)
+    fine = bodies.withColumn("team", F.pmod(F.xxhash64("chunk"), F.lit(teams)).cast("int")).groupBy("bucket", "team").applyInPandas(_spread(low, more), FINER)
+    fine = fine.groupBy("bucket").applyInPandas(_finer_frequencies(low - more), FINER)
+    return fine.groupBy(F.shiftright("bucket", more).alias("b"), "team").applyInPandas(_gathered(low, more), GRAMS)
 
 
-def _prefixes(percent: int, bits: int):
+def _prefixes(percent: int, bits: int, fan: int):
     """Of each chunk the documents that may have a partner, with their prefixes: what ``applyInPandas`` runs on a chunk's rows."""
 
     def survivors(chunk: pd.DataFrame) -> pd.DataFrame:
@@ -168,8 +260,8 @@ def _prefixes(percent: int, bits: int):
             return pd.DataFrame([], columns=columns)
         sizes, classes = np.asarray(head["sizes"].iloc[0], np.int64), head["classes"].iloc[0]
         doc = np.concatenate([np.frombuffer(x, "<u2") for x in rest["docs"]])
-        high = np.uint64(gram_bits(bits) - bits)
-        gram = np.concatenate([_unplaned(x, 5) | (np.uint64(b) << high) for x, b in zip(rest["grams"], rest["bucket"], strict=True)])
+        low = gram_bits(bits) - min(bits, fan)
+        gram = np.concatenate([_unplaned(x, _bytes(low)) | (np.uint64(b) << np.uint64(low)) for x, b in zip(rest["grams"], rest["bucket"], strict=True)])
         df = np.concatenate([np.frombuffer(x, "<u2") for x in rest["df"]])
         order = np.lexsort((gram, df, doc))
         doc, gram, df = doc[order], gram[order], df[order]
@@ -269,13 +361,12 @@ def linked_classes(docs: DataFrame, n_words: int = 5, percent: int = 80) -> tupl
     small_batches(docs.sparkSession)
     volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = max(0, int(volume / 6 / BUCKET_GRAMS).bit_length())
-    grams = written(gram_table(docs, n_words, bits), "grams")
-    heads, bodies = grams.filter("bucket < 0"), grams.filter("bucket >= 0")
+    grams = written(gram_table(docs, n_words, min(bits, FAN_BITS), bits), "grams")
+    heads = grams.filter("bucket < 0")
     rows = heads.select("chunk", F.explode(F.arrays_zip("doc_ids", "sizes", "classes")).alias("d")).select(
         F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").cast("long").alias("n_shingles"), F.col("d.classes").alias("class")
     )
-    counted = bodies.groupBy("bucket").applyInPandas(_frequencies, GRAMS)
-    found = heads.unionByName(counted).groupBy("chunk").applyInPandas(_prefixes(percent, bits), FOUND)
+    found = heads.unionByName(counted_grams(grams, bits)).groupBy("chunk").applyInPandas(_prefixes(percent, bits, FAN_BITS), FOUND)
     found = written(found.dropDuplicates(["class"]), "survivors")
 
     stats = found.select("class", "n", "alone", "need", "parity", "mins")
@@ -337,16 +428,17 @@ def one_of_each_group(docs: DataFrame, n_words: int = 5, percent: int = 80) -> D
     Rows are told apart by doc_id and text, not by doc_id alone; of rows equal in both, the least hash of the other
     columns decides. A row without words is near to nothing and stays.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    rows, roots = linked_classes(keyed.select(F.col("_key").alias("doc_id"), "text"), n_words, percent)
-    rows = written(rows.select(F.col("doc_id").alias("_key"), (F.col("n_shingles") > 0).alias("worded"), "class").distinct(), "rows")
-    of = rows.filter("worded").join(roots, F.col("class") == F.col("node"), "left").select("_key", F.coalesce("root", "class").alias("root"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))["_key"]
-    firsts = keyed.select("_key", "doc_id").distinct().join(of, "_key").groupBy("root").agg(least.alias("_key"))
-    stay = written(firsts.select("_key", F.lit(True).alias("_once")).unionByName(rows.filter("not worded").select("_key", F.lit(False).alias("_once"))), "firsts")
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*others) if others else F.lit(0)))
-    return keyed.join(stay, "_key").withColumn("_turn", turn).filter("_turn = 1 or not _once").select(*docs.columns)
+    names = docs.columns
+    others = [F.col(f"doc.`{c}`") for c in names if c not in ("doc_id", "text")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), "doc_id", "text", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("key"))
+    rows, roots = linked_classes(keyed.select(F.col("key").alias("doc_id"), "text"), n_words, percent)
+    rows = written(rows.select(F.col("doc_id").alias("key"), (F.col("n_shingles") > 0).alias("worded"), "class").distinct(), "rows")
+    of = rows.filter("worded").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"]
+    firsts = keyed.select("key", "doc_id").distinct().join(of, "key").groupBy("root").agg(least.alias("key"))
+    stay = written(firsts.select("key", F.lit(True).alias("once")).unionByName(rows.filter("not worded").select("key", F.lit(False).alias("once"))), "firsts")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(*others) if others else F.lit(0)))
+    return keyed.join(stay, "key").withColumn("turn", turn).filter("turn = 1 or not once").select("doc.*")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
