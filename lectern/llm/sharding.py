@@ -28,11 +28,13 @@ HEAVY = 1024
 #: How much each measure counts in the dot product, for the larger groups and for the smallest TAIL of them: bytes are
 #: the law, so the smallest groups, which alone can even them out, go by bytes.
 WEIGHTS, TAIL_WEIGHTS, TAIL = (1.0, 0.05, 0.05), (1.0, 0.0005, 0.0005), 0.4
-DIGEST = ["doc_id", "size", "tokens", "text_crc32", "text_hash"]
 
 
 def digests(docs: DataFrame, *keep: str) -> DataFrame:
-    """Per row, without its text, and with the columns ``keep``: size (UTF-8 bytes plus 8), tokens (words), text_crc32, text_hash (null for null texts)."""
+    """Per row, without its text, and with the columns ``keep``: size (UTF-8 bytes plus 8), tokens (words), text_crc32, text_hash (null for null texts), row.
+
+    Write them before they are used: ``row`` numbers the rows, so that rows without a doc_id, or with one in common, part.
+    """
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
@@ -40,6 +42,7 @@ def digests(docs: DataFrame, *keep: str) -> DataFrame:
         F.regexp_count(text, F.lit(WORDS)).cast("long").alias("tokens"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"),
         *keep,
     )
 
@@ -100,14 +103,14 @@ def _heavy(rows: DataFrame, groups: DataFrame, totals: np.ndarray, n_shards: int
 
 
 def _piece() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
+    return F.pmod(F.xxhash64("doc_id", "row"), F.col("pieces")).cast("int")
 
 
 def assign(rows: DataFrame, n_shards: int = 24, groups_per_block: int = GROUPS_PER_BLOCK) -> DataFrame:
     """``rows`` (with the columns of ``digests``) with shard and slot (gapless from 0 in each shard).
 
     Rows of equal texts share a shard, unless they have more bytes than an even shard: then they are salted into pieces of
-    bounded size by doc_id. Null texts are a group of their own of size 8 each. Rows that repeat are each placed. An empty table gives no rows.
+    bounded size by doc_id and row. Null texts are a group of their own of size 8 each. Rows that repeat are each placed. An empty table gives no rows.
     """
     rows = rows.withColumn("group_key", F.xxhash64(F.coalesce("text_hash", F.lit(-1)), "size"))
     groups = written(rows.groupBy("group_key").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r")), "groups")
@@ -139,11 +142,11 @@ def assign(rows: DataFrame, n_shards: int = 24, groups_per_block: int = GROUPS_P
 def slots(rows: DataFrame, n: int, n_shards: int) -> DataFrame:
     """Number the rows of each shard from 0, by hashed stretches of bounded size and a running sum over their counts."""
     stretches = max(1, -(-n // (n_shards * 4096)))
-    rows = rows.withColumn("stretch", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(stretches)).cast("int"))
+    rows = rows.withColumn("stretch", F.pmod(F.xxhash64("doc_id", "row", F.lit(3)), F.lit(stretches)).cast("int"))
     counts = rows.groupBy("shard", "stretch").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("shard", "stretch").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
+    inside = Window.partitionBy("shard", "stretch").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size", "row")
     rows = rows.withColumn("place", F.row_number().over(inside) - 1).join(base, ["shard", "stretch"])
     return rows.withColumn("slot", (F.col("base") + F.col("place")).cast("long")).drop("base", "place", "stretch")
 
@@ -151,9 +154,12 @@ def slots(rows: DataFrame, n: int, n_shards: int) -> DataFrame:
 def shard_files(docs: DataFrame, path: str, n_shards: int = 24) -> None:
     """Write ``docs`` (doc_id, text and any others) with shard and slot to ``path``, a folder a shard.
 
-    Rows meet their shard by doc_id and text, so rows that repeat may trade slots. A file holds a run of slots.
+    Rows meet their shard by doc_id and text, so rows that repeat may trade slots. A file holds a run of slots. Columns of
+    ``docs`` named shard or slot are an error, for a file can't have two of a name.
     """
-    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    names = docs.columns
+    if {"shard", "slot"} & {c.lower() for c in names}:
+        raise ValueError("rename the columns shard and slot before writing shards")
     placed = assign(written(digests(docs), "digests"), n_shards).select("doc_id", "text_hash", "shard", "slot")
     twin = Window.partitionBy("doc_id", "text_hash").orderBy("slot")
     placed = placed.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.row_number().over(twin).alias("k"), "shard", "slot")
