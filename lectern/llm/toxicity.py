@@ -1,7 +1,7 @@
 """Toxicity by classifier chains: each category's linear model also sees the probabilities of the categories before it.
 
-The last category is the label itself; those before it are weak labels, toxic documents with a seed word of the
-category. Models later in the chain are trained on out-of-fold predictions of earlier ones, as they won't know better
+The last category is the label itself. Those before it are kinds of toxic documents that the training rows show: toxic
+documents fall into clusters by the words that mark them, and each cluster is a category. Models later in the chain are trained on out-of-fold predictions of earlier ones, as they won't know better
 when they score.
 """
 
@@ -14,13 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
-from lectern.llm.quality import is_held_out
+from lectern.llm.common import is_held_out, labelled_sample, small_batches, table, written
 from lectern.llm.words import ALNUM, Words, mixed, rounds
 
-#: Seed words of the weak categories, in the order of the chain.
-SEEDS = {"insult": ("loser", "idiot", "moron", "clown", "scum"), "contempt": ("pathetic", "worthless", "disgusting", "stupid", "trash")}
-CATEGORIES = (*SEEDS, "toxic")
+#: Clusters of toxic documents, the larger first, and the label: the order of the chain.
+KINDS = 2
+CATEGORIES = (*(f"kind_{k}" for k in range(1, KINDS + 1)), "toxic")
 #: At most so many labelled documents of either label, and so many features, are learned from.
 MOST_LABELLED, MOST_FEATURES = 3000, 4000
 FOLDS, STEPS, RATE, PENALTY = 4, 300, 0.2, 1e-4
@@ -110,14 +109,41 @@ def fit_chain(doc: np.ndarray, column: np.ndarray, targets: np.ndarray, fold: np
     return Chain(chosen, models)
 
 
+def clusters(doc: np.ndarray, column: np.ndarray, toxic: np.ndarray, n_features: int, kinds: int = KINDS, turns: int = 25) -> np.ndarray:
+    """The cluster of each toxic text, larger ones first; -1 for the others. Spherical k-means on the features that toxic texts have more often.
+
+    It begins with the text nearest to the mean and goes on with the ones least near to those before, so it is repeatable.
+    """
+    out = np.full(len(toxic), -1)
+    rows = np.flatnonzero(toxic == 1)
+    if not len(rows):
+        return out
+    place = np.full(len(toxic), -1)
+    place[rows] = np.arange(len(rows))
+    pos = np.bincount(column[place[doc] >= 0], minlength=n_features)
+    neg = np.bincount(column[place[doc] < 0], minlength=n_features)
+    weight = np.maximum(0.0, np.log((pos + 0.5) / (len(rows) + 1)) - np.log((neg + 0.5) / (len(toxic) - len(rows) + 1)))
+    x = np.zeros((len(rows), n_features), np.float32)
+    inside = place[doc] >= 0
+    x[place[doc[inside]], column[inside]] = weight[column[inside]]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [x[int((x @ x.mean(0)).argmax())]]
+    while len(centres) < kinds:
+        centres.append(x[int((x @ np.stack(centres).T).max(1).argmin())])
+    centre = np.stack(centres)
+    for _ in range(turns):
+        own = (x @ centre.T).argmax(1)
+        sums = np.stack([x[own == k].sum(0) for k in range(kinds)])
+        centre = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    order = np.argsort(-np.bincount(own, minlength=kinds), kind="stable")
+    out[rows] = np.argsort(order)[own]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_features: int = MOST_FEATURES) -> Chain:
     """The chain from at most ``most`` documents of either label, none held out. Without both labels nothing is toxic."""
-    known = labels.filter("toxic in (0, 1)").filter(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = None
-    for label in (0, 1):
-        some = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    small_batches(docs.sparkSession)
+    sample = written(labelled_sample(docs, labels, "toxic", most), "sample")
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,32 +160,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_fe
     noise = F.sqrt((F.col("pos") + F.col("neg") + 1.0) / (sizes["pos"] + sizes["neg"]))
     best = df.filter("pos + neg >= 3").select("feature", (gap / noise).alias("weight")).orderBy(F.desc("weight"), "feature").limit(most_features)
     columns = np.sort(best.toPandas()["feature"].to_numpy(np.int64).astype(np.uint64))
-    seeds = {c: np.array([Words([w.encode()], ALNUM).hash[0] for w in words], np.uint64) for c, words in SEEDS.items()}
     held = docs.sparkSession.sparkContext.broadcast(columns)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo, hi, raw in rounds(batch["text"].tolist()):
-                words = Words(raw, ALNUM)
                 doc, column = _presence(raw, held.value)
                 edges = np.searchsorted(doc, np.arange(len(raw) + 1))
-                out = pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[lo:hi], "toxic": batch["toxic"].to_numpy()[lo:hi], "columns": [column[a:b] for a, b in zip(edges, edges[1:], strict=False)]})
-                for c, hashes in seeds.items():
-                    out[c] = np.bincount(words.doc[np.isin(words.hash, hashes)], minlength=len(raw)) > 0
-                yield out
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[lo:hi], "toxic": batch["toxic"].to_numpy()[lo:hi], "columns": [column[a:b] for a, b in zip(edges, edges[1:], strict=False)]})
 
-    got = sample.mapInPandas(rows, "doc_id long, toxic int, columns array<long>, " + ", ".join(f"{c} boolean" for c in SEEDS)).toPandas()
+    got = sample.mapInPandas(rows, "doc_id long, toxic int, columns array<long>").toPandas()
     got = got.sort_values(["doc_id", "toxic"], kind="stable").reset_index(drop=True)
     doc = np.repeat(np.arange(len(got)), got["columns"].map(len))
-    column = np.concatenate(got["columns"].tolist()).astype(np.int64)
+    column = np.concatenate([np.asarray(c, np.int64) for c in got["columns"]])
     toxic = got["toxic"].to_numpy(np.float64)
-    targets = np.stack([*(toxic * got[c].to_numpy(np.float64) for c in SEEDS), toxic], 1)
+    kind = clusters(doc, column, toxic, len(columns))
+    targets = np.stack([*((kind == k).astype(np.float64) for k in range(KINDS)), toxic], 1)
     fold = (mixed(got["doc_id"].to_numpy(np.int64).astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
     return fit_chain(doc, column, targets, fold, columns)
 
 
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` with a struct ``toxicity`` of a probability for each category. Null and empty texts have no features."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(chain)
 
     @F.pandas_udf(", ".join(f"{c} double" for c in CATEGORIES))
