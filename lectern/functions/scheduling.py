@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,23 +28,48 @@ def interval_days(stability: Column, retention: float = RETENTION) -> Column:
     return F.least(F.lit(LONGEST), F.greatest(F.lit(1), F.rint(days).cast("int")))
 
 
-def _clamped(d: Column) -> Column:
-    return F.least(F.lit(10.0), F.greatest(F.lit(1.0), d))
+class Columns:
+    """The arithmetic of a step on Spark columns."""
+
+    pow, exp, least, greatest = staticmethod(F.pow), staticmethod(F.exp), staticmethod(F.least), staticmethod(F.greatest)
+    number = staticmethod(F.lit)
+
+    @staticmethod
+    def by_grade(grade: Column, values: dict[int, object], other) -> Column:
+        out = F.lit(other) if not isinstance(other, Column) else other
+        for g, v in values.items():
+            out = F.when(grade == g, v).otherwise(out)
+        return out
+
+
+class Floats:
+    """The same arithmetic on plain numbers, for state that is kept outside columns."""
+
+    pow, exp, least, greatest = staticmethod(pow), staticmethod(math.exp), staticmethod(min), staticmethod(max)
+    number = staticmethod(float)
+
+    @staticmethod
+    def by_grade(grade: int, values: dict[int, object], other):
+        return values.get(grade, other)
 
 
-def first_step(grade: Column) -> tuple[Column, Column]:
+def _clamped(d, m):
+    return m.least(m.number(10.0), m.greatest(m.number(1.0), d))
+
+
+def first_step(grade, m=Columns):
     """(stability, difficulty) after the first review."""
-    return F.element_at(F.array(*[F.lit(w) for w in W[:4]]), grade), _clamped(W[4] - (grade - 3) * F.lit(W[5]))
+    return m.by_grade(grade, {g: m.number(w) for g, w in enumerate(W[:4], 1)}, m.number(W[2])), _clamped(W[4] - (grade - 3) * m.number(W[5]), m)
 
 
-def next_step(stability: Column, difficulty: Column, days: Column, grade: Column) -> tuple[Column, Column]:
+def next_step(stability, difficulty, days, grade, m=Columns):
     """(stability, difficulty) after a review graded ``days`` after the one before."""
-    r = retrievability(days, stability)
-    harder = _clamped(W[7] * F.lit(W[4]) + (1 - W[7]) * (difficulty - W[6] * (grade - 3)))
-    forgot = F.least(stability, W[11] * F.pow(difficulty, F.lit(-W[12])) * (F.pow(stability + 1, F.lit(W[13])) - 1) * F.exp(W[14] * (1 - r)))
-    bonus = F.when(grade == 2, W[15]).when(grade == 4, W[16]).otherwise(1.0)
-    gain = F.exp(F.lit(W[8])) * (11 - difficulty) * F.pow(stability, F.lit(-W[9])) * (F.exp(W[10] * (1 - r)) - 1) * bonus
-    return F.greatest(F.lit(0.1), F.when(grade == 1, forgot).otherwise(stability * (gain + 1))), harder
+    r = m.pow(1 + FACTOR * m.greatest(m.number(0.0), days) / m.greatest(stability, m.number(0.01)), m.number(DECAY))
+    harder = _clamped(W[7] * m.number(W[4]) + (1 - W[7]) * (difficulty - W[6] * (grade - 3)), m)
+    forgot = m.least(stability, W[11] * m.pow(difficulty, m.number(-W[12])) * (m.pow(stability + 1, m.number(W[13])) - 1) * m.exp(W[14] * (1 - r)))
+    bonus = m.by_grade(grade, {2: m.number(W[15]), 4: m.number(W[16])}, m.number(1.0))
+    gain = m.exp(m.number(W[8])) * (11 - difficulty) * m.pow(stability, m.number(-W[9])) * (m.exp(W[10] * (1 - r)) - 1) * bonus
+    return m.greatest(m.number(0.1), m.by_grade(grade, {1: forgot}, stability * (gain + 1))), harder
 
 
 def review_state(ev: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,3 +102,16 @@ def leitner(box: Column, grade: Column, at: Column) -> tuple[Column, Column]:
     for b, days in BOX_DAYS.items():
         minutes = minutes.when(new == b, days * 1440)
     return new, at + F.make_dt_interval(mins=minutes)
+
+
+def crowd_difficulty(percent: Column) -> Column:
+    """1 (easy) to 5 by the share of people who answered right; null where that isn't known."""
+    level = F.when(percent.isNull(), F.lit(None).cast("int"))
+    for least, grade in ((85, 1), (70, 2), (55, 3), (35, 4)):
+        level = level.when(percent >= least, grade)
+    return level.otherwise(5)
+
+
+def minutes_between(begin: Column, end: Column) -> Column:
+    """Minutes from one time to another, to one decimal."""
+    return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(begin.cast("timestamp"))) / 60e6, 1)

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a block in blocked similarity; a pair of blocks is a task's work.
 BLOCK_ROWS = 2048
+#: Queries that go to every task at once, and vectors that meet them at once there.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 4096, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -52,7 +54,30 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
     return tiles.groupBy("i", "j").applyInPandas(pairs, "a long, b long, cosine double")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", queries_at_once: int = 4096) -> DataFrame:
+def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the ``k`` highest scores, ties to the least id."""
+    if ids.shape[1] <= k:
+        return ids, scores
+    least = np.partition(scores, -k, axis=1)[:, [-k]]  # all above it stay; of those that equal it the least ids
+    order = np.where(scores > least, -1, np.where(scores == least, ids.argsort(axis=1).argsort(axis=1), ids.shape[1] + 1))
+    keep = np.argpartition(order, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(ids, keep, 1), np.take_along_axis(scores, keep, 1)
+
+
+def nearest_within(queries: DataFrame, vectors: DataFrame, k: int, group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """As ``nearest``, but each query, of a stated set, sees only the vectors of its ``group``; they meet by it, the queries broadcast in blocks."""
+    total, out = queries.count(), None
+    parts = max(1, -(-total // QUERIES_AT_ONCE))
+    for part in range(parts):
+        some = queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part) if parts > 1 else queries
+        q = F.broadcast(some.select(F.col(key).alias("query"), F.col(vector).alias("_q"), group))  # at most QUERIES_AT_ONCE
+        rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("_v"), group).join(q, group).select("query", "id", F.round(dot(F.col("_q"), F.col("_v")), 12).alias("cosine"))
+        out = rows if out is None else out.unionByName(rows)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", queries_at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """For each query the ``k`` vectors of highest product, ties by key: (query, id, cosine, rank).
 
     The stated queries go in blocks of ``queries_at_once`` against all vectors: each task keeps its best ``k`` a query,
@@ -66,23 +91,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id",
         ids, matrix = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
         def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            held = None
+            held_id, held_s = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
             for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                s = np.round(matrix @ np.stack(batch["v"].to_list()).astype(np.float64).T, 12)
-                found = batch["id"].to_numpy()
-                rows_ = np.repeat(np.arange(len(ids)), len(found))
-                new = np.stack([rows_, np.tile(found, len(ids))], 1), s.ravel()
-                if held is not None:
-                    new = np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]])
-                order = np.lexsort((new[0][:, 1], -new[1], new[0][:, 0]))
-                first = np.searchsorted(new[0][order, 0], np.arange(len(ids)))
-                place = np.arange(len(order)) - first[new[0][order, 0]]
-                order = order[place < k]
-                held = new[0][order], new[1][order]
-            if held is not None:
-                yield pd.DataFrame({"query": ids[held[0][:, 0]], "id": held[0][:, 1], "cosine": held[1]})
+                every, vectors_ = batch["id"].to_numpy(), np.stack(batch["v"].to_list()).astype(np.float64) if len(batch) else None
+                for lo in range(0, len(batch) if len(ids) else 0, VECTORS_AT_ONCE):
+                    s = np.round(matrix @ vectors_[lo : lo + VECTORS_AT_ONCE].T, 12)
+                    names = np.broadcast_to(every[lo : lo + VECTORS_AT_ONCE], s.shape)
+                    held_id, held_s = _best_of(np.hstack([held_id, names]), np.hstack([held_s, s]), k)
+            if held_id.size:
+                yield pd.DataFrame({"query": np.repeat(ids, held_id.shape[1]), "id": held_id.ravel(), "cosine": held_s.ravel()})
 
         found = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(best, "query long, id long, cosine double")
         out = found if out is None else out.unionByName(found)

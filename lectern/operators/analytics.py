@@ -98,18 +98,22 @@ def forecast(ev: DataFrame) -> DataFrame:
     )
 
 
-def peer_standing(scores: DataFrame, least: int = PEERS) -> DataFrame:
+def peer_standing(scores: DataFrame, least: int = PEERS, among: DataFrame | None = None) -> DataFrame:
     """Mid-rank percentile of each score among the others: 100 (below + ties / 2) / others, null with fewer than ``least`` others.
 
-    Ranks come from one row a distinct score, so no window holds all users.
+    ``among`` (user_id) names the peers; others stand among them without counting. Ranks come from one row a distinct score, so no window holds all users.
     """
-    by = scores.filter("score is not null").groupBy("score").agg(F.count(F.lit(1)).alias("same"))
+    scores = scores.filter("score is not null").withColumn("peer", F.lit(1))
+    if among is not None:
+        scores = scores.drop("peer").join(among.select("user_id", F.lit(1).alias("peer")), "user_id", "left").fillna(0, ["peer"])
+    by = scores.groupBy("score").agg(F.sum("peer").alias("same"))
     below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranks = by.withColumn("below", F.coalesce(F.sum("same").over(below), F.lit(0)))
     n = by.agg(F.sum("same").alias("n"))
     out = scores.join(ranks, "score").join(F.broadcast(n))
-    others = F.col("n") - 1
-    return out.select("user_id", "score", others.alias("others"), F.when(others >= least, F.rint(F.lit(100.0) * (F.col("below") + F.lit(0.5) * (F.col("same") - 1)) / others)).alias("ahead_of"))
+    others = F.col("n") - F.col("peer")
+    ahead = F.rint(F.lit(100.0) * (F.col("below") + F.lit(0.5) * (F.col("same") - F.col("peer"))) / others)
+    return out.select("user_id", "score", others.alias("others"), F.when(others >= least, ahead).alias("ahead_of"))
 
 
 def mistakes(ev: DataFrame) -> DataFrame:
@@ -150,3 +154,73 @@ def retrieval_metrics(ranked: DataFrame, k: int = 5) -> DataFrame:
         F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
         F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias("hit_at_k"),
     )
+
+
+def peers(ev: DataFrame, days: int = 60, least: int = PEER_ANSWERS) -> DataFrame:
+    """Users with at least ``least`` answers in the last ``days`` days."""
+    return recent(ev, days).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("user_id")
+
+
+def daily_target(bank: Column, answered: Column, due_week: Column, days_left: Column) -> Column:
+    """Questions a day until the exam: what is left of the bank and of the week's reviews, from 15 to 80; null without days left."""
+    new = F.ceil(F.greatest(F.lit(0), bank - answered) / days_left) + F.ceil(due_week / 7)
+    return F.when(days_left > 0, F.least(F.lit(80), F.greatest(F.lit(15), new)).cast("int"))
+
+
+def folded(rows: DataFrame, column: str, aliases: dict[str, str], unnamed: str = "Unlabelled") -> DataFrame:
+    """``column`` with aliases, by lower case, as one name, and null as ``unnamed``."""
+    name = F.trim(F.coalesce(column, F.lit(unnamed)))
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+    return rows.withColumn(column, F.coalesce(known[F.lower(name)], name) if known is not None else name)
+
+
+def frequency(recalls: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Per chapter: recalls, headlines, disputed ones and the chapter's share of all."""
+    by = folded(recalls, "chapter", aliases).groupBy("chapter").agg(
+        F.count(F.lit(1)).alias("recalls"), F.sum(F.when(F.col("kind") == "headline", 1).otherwise(0)).alias("headlines"), F.count_if(F.col("verdict").isin("contradicted", "books_conflict")).alias("disputed")
+    )
+    total = by.agg(F.sum("recalls").alias("total"))
+    return by.join(F.broadcast(total)).select("chapter", "recalls", "headlines", "disputed", F.round(F.col("recalls") / F.col("total"), 4).alias("share"))
+
+
+def times_asked(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, times): one for the question itself and one for each neighbour of ``pairs`` (a, b)."""
+    both = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return ids.join(both, "id", "left").select("id", (1 + F.coalesce("n", F.lit(0))).alias("times"))
+
+
+def fact_recall(answers_: DataFrame) -> DataFrame:
+    """``answers_`` (query_id, text, facts: groups of phrases) with the share of groups of which any phrase stands in the text, and the first phrases of the others."""
+    low = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
+    missed = F.filter("facts", lambda g: ~F.exists(g, lambda phrase: F.contains(low, phrase)))
+    share = F.when(F.size("facts") > 0, 1 - F.size(missed) / F.size("facts"))
+    return answers_.select("query_id", share.alias("recall"), F.transform(missed, lambda g: F.get(g, F.lit(0))).alias("missing"))
+
+
+def compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row on (id, hit) of both runs: common questions, hits before and after, gained and lost."""
+    both = before.select("id", F.col("hit").alias("was")).join(after.select("id", F.col("hit").alias("now")), "id")
+    return both.agg(
+        F.count(F.lit(1)).alias("common"), F.count_if("was").alias("before"), F.count_if("now").alias("after"), F.count_if(F.col("now") & ~F.col("was")).alias("gained"), F.count_if(F.col("was") & ~F.col("now")).alias("lost")
+    )
+
+
+def best_of(scores: DataFrame, *keys: str) -> DataFrame:
+    """The best score of each key over several queries."""
+    return scores.groupBy(*keys).agg(F.max("score").alias("score"))
+
+
+def attempt_trend(attempts: DataFrame, last: int = 15) -> DataFrame:
+    """The last ``last`` attempts (user_id, attempt_id, at, score, total) of each user with their accuracy."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("attempt_id")))
+    return attempts.withColumn("_n", n).filter(F.col("_n") <= last).drop("_n").withColumn("accuracy", F.coalesce(percent(F.col("score"), F.col("total")), F.lit(0.0)))
+
+
+def set_history(questions: DataFrame) -> DataFrame:
+    """Per quiz set: questions, greatest topic and difficulty, and the newest question's id, by which sets are shown."""
+    return questions.filter("quiz_set_id is not null").groupBy("quiz_set_id").agg(F.count(F.lit(1)).alias("n"), F.max("topic").alias("topic"), F.max("difficulty").alias("difficulty"), F.max("id").alias("newest"))
+
+
+def attention(topics: DataFrame, pass_line: float = 75.0) -> Column:
+    """The tier of a topic: 0 begun, 1 weak, 2 untouched, 3 the rest."""
+    return F.when(topics["answered"].between(1, 3), 0).when((topics["answered"] >= 4) & (F.coalesce(topics["accuracy"], F.lit(0.0)) < pass_line), 1).when(topics["answered"] == 0, 2).otherwise(3)

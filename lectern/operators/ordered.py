@@ -5,16 +5,19 @@ All windows are partitioned; a global order is used only with a limit, which Spa
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def leaderboard(entries: DataFrame, board: str, score: str, at: str, top: int = 10) -> DataFrame:
-    """The ``top`` rows of each board with competition ranks (1, 1, 3); ties show by time."""
+def leaderboard(entries: DataFrame, board: str, score: str, at: str, top: int = 10, own: Column | None = None) -> DataFrame:
+    """The ``top`` rows of each board, and those that are the viewer's ``own``, with competition ranks (1, 1, 3); ties show by time."""
     by_score = Window.partitionBy(board).orderBy(F.desc(score))
     shown = Window.partitionBy(board).orderBy(F.desc(score), at, *[c for c in entries.columns if c not in (board, score, at)])
-    return entries.withColumn("rank", F.rank().over(by_score)).withColumn("place", F.row_number().over(shown)).filter(F.col("place") <= top)
+    return entries.withColumn("rank", F.rank().over(by_score)).withColumn("place", F.row_number().over(shown)).filter((F.col("place") <= top) | (F.lit(False) if own is None else own))
 
 
 def masked(name: Column) -> Column:
@@ -31,9 +34,12 @@ def mid_rank(entries: DataFrame, board: str, score: str, least: int = 3) -> Data
     return entries.withColumn("rank", F.rank().over(w.orderBy(F.desc(score)))).withColumn("candidates", n).withColumn("percentile", F.when(n >= least, F.rint(F.lit(100.0) * (below + F.lit(0.5) * ties) / n)))
 
 
-def streaks(days: DataFrame) -> DataFrame:
-    """Best and current streak from kept (user_id, day): the current one ends on the last day of all data or the day before."""
-    days = days.distinct()
+def streaks(days: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
+    """Best and current streak from kept (user_id, day): the current one ends on the last day of all data or the day before.
+
+    Days that a freeze repaired (``frozen``) keep a streak as practised ones do.
+    """
+    days = days.distinct() if frozen is None else days.unionByName(frozen).distinct()
     island = F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day")).cast("int"))
     runs = days.withColumn("island", island).groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("run"), F.max("day").alias("ends"))
     today = days.agg(F.max("day").alias("today"))
@@ -109,3 +115,43 @@ def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: str = "7
     """``n`` rows without replacement, likelier with higher weight: the least -ln(u) / max(weight, 1)."""
     u = (F.conv(F.substring(hash_order(key, seed=seed), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
     return df.withColumn("draw", F.round(-F.ln(u) / F.greatest(F.col(weight).cast("double"), F.lit(1.0)), 9)).orderBy("draw", key).limit(n)
+
+
+def distinct_by_group(df: DataFrame, key: Column, order: list[Column | str], n: int) -> DataFrame:
+    """The first row of each group, the groups in order of that row, ``n`` of them."""
+    return first_of_group(df, key, *order).orderBy(*order).limit(n)
+
+
+def rising(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Rows of the longest chain of strictly rising values in each group; of several such chains one whose values are least.
+
+    A group is one book's pages: its chain is found in a task by patience sorting.
+    """
+
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        values = part[value].tolist()
+        ends, last, before = [], [], []
+        for i, v in enumerate(values):
+            k = bisect.bisect_left(ends, v)
+            ends[k : k + 1], last[k : k + 1] = [v], [i]
+            before.append(last[k - 1] if k else -1)
+        keep, i = [], last[-1] if last else -1
+        while i >= 0:
+            keep.append(i)
+            i = before[i]
+        return part.iloc[keep[::-1]]
+
+    return rows.groupBy(group).applyInPandas(chain, rows.schema)
+
+
+def joined_boxes(boxes: DataFrame, same: float = 0.006, gap: float = 0.03) -> DataFrame:
+    """Boxes (page, x0, y0, x1, y1) of one line that touch or nearly touch as one: a row a line segment."""
+    line = Window.partitionBy("page").orderBy(F.round("y0", 2), "x0", "x1", "y0", "y1")
+    apart = (F.abs(F.col("y0") - F.lag("y0").over(line)) >= same) | (F.abs(F.col("y1") - F.lag("y1").over(line)) >= same)
+    rows = boxes.withColumn("_line", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(line))
+    inside = Window.partitionBy("page", "_line").orderBy("x0", "x1")
+    reach = F.max("x1").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(F.coalesce(F.col("x0") - reach >= gap, F.lit(True)), 1).otherwise(0)).withColumn("_segment", F.sum("_new").over(inside))
+    first = F.min_by("y0", "x0").alias("y0"), F.min_by("y1", "x0").alias("y1")
+    return rows.groupBy("page", "_line", "_segment").agg(F.min("x0").alias("x0"), first[0], F.max("x1").alias("x1"), first[1]).drop("_line", "_segment")

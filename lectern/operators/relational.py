@@ -106,3 +106,87 @@ def components(edges: DataFrame) -> DataFrame:
         a, b = moves.select(F.col("from").alias("a"), F.col("to").alias("x")), moves.select(F.col("from").alias("b"), F.col("to").alias("y"))
         edges = written(edges.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct(), "edges")
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def fetched_in_order(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is wanted, with the place (``ord``) that the caller gave each: sort by it to show them."""
+    return rows.join(wanted.select(key, "ord"), key)
+
+
+def id_clashes(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Keys of ``new`` that ``existing`` has: a load goes on only if there are none."""
+    return new.join(existing, key, "left_semi").select(key).distinct()
+
+
+def merged_database(target: DataFrame, source: DataFrame, key: list[str], foreign: dict[str, DataFrame]) -> DataFrame:
+    """``target`` and the rows of ``source`` that it lacks by natural ``key``, foreign keys renamed by (old, new) first; those that dangle become null."""
+    for column, mapping in foreign.items():
+        source = remapped(source, mapping, column)
+    return target.unionByName(source.join(target, key, "left_anti").select(*target.columns))
+
+
+def without_dependents(tables: dict[str, DataFrame], steps: list[tuple[str, str, str, str]], doomed: DataFrame, root: str, key: str = "id") -> dict[str, DataFrame]:
+    """``tables`` after rows of ``root`` by ``doomed`` (key) are deleted, with what depends on them: steps (child, column, parent, parent key) in order."""
+    gone = {root: tables[root].join(doomed, key, "left_semi")}
+    left = dict(tables)
+    for child, column, parent, parent_key in steps:
+        hit = tables[child].join(gone[parent].select(F.col(parent_key).alias(column)).distinct(), column, "left_semi")
+        gone[child] = gone[child].union(hit.select(*tables[child].columns)).distinct() if child in gone else hit
+        left[child] = left[child].join(gone[parent].select(F.col(parent_key).alias(column)).distinct(), column, "left_anti").select(*tables[child].columns)
+    left[root] = tables[root].join(doomed, key, "left_anti")
+    return left
+
+
+def remapped_ids(ids: Column, mapping: Column, old: Column) -> Column:
+    """A list of ids through a map; those that were renewed (``old``) but have no new one go, others stay."""
+    moved = F.transform(ids, lambda i: F.struct(F.try_element_at(mapping, i).alias("new"), F.array_contains(old, i).alias("old"), i.alias("id")))
+    kept = F.filter(moved, lambda m: m["new"].isNotNull() | ~m["old"])
+    return F.transform(kept, lambda m: F.coalesce(m["new"], m["id"]))
+
+
+def normal_options(options: Column, correct: Column) -> tuple[Column, Column]:
+    """(options, key) of a question: letters and texts trimmed, empty ones out; both null unless four are left and the key is one of them."""
+    told = F.map_filter(options, lambda k, v: F.trim(F.coalesce(v, F.lit(""))) != "")
+    clean = F.transform_values(F.transform_keys(told, lambda k, v: F.upper(F.trim(k))), lambda k, v: F.trim(v))
+    key = F.left(F.upper(F.trim(F.coalesce(correct, F.lit("")))), F.lit(1))
+    ok = (F.cardinality(clean) >= 4) & F.map_contains_key(clean, key)
+    return F.when(ok, clean), F.when(ok, key)
+
+
+#: Options that name others, and explanations that name options by letter; both keep the order of a file.
+NAMES_OPTIONS = r"(?i)\b(all|none|both|neither)\b|\b[a-e]\s*(?:and|&|,)\s*[a-e]\b|\bonly\s+[a-e]\b"
+NAMES_LETTERS = r"(?i)\b(?:option|choice|answer)s?\s*\(?[a-e]\)?\b|\([a-e]\)"
+
+
+def dealt_options(stem: Column, options: Column, correct: Column, explanation: Column) -> tuple[Column, Column]:
+    """(options, key) of a question with its options (array) in an order that a hash of the stem and each option gives; ``correct`` counts from 0.
+
+    Where options or the explanation name options, the order stays.
+    """
+    stays = F.exists(options, lambda o: o.rlike(NAMES_OPTIONS)) | F.coalesce(explanation, F.lit("")).rlike(NAMES_LETTERS)
+    keyed = F.array_sort(F.transform(options, lambda o, i: F.struct(F.md5(F.concat_ws("|", stem, o)).alias("h"), i.alias("i"), o.alias("o"))))
+    place = F.array_position(F.transform(keyed, lambda k: k["i"]), correct.cast("int")) - 1
+    return F.when(stays, options).otherwise(F.transform(keyed, lambda k: k["o"])), F.when(stays, correct.cast("long")).otherwise(place)
+
+
+def key_spread(before: DataFrame, after: DataFrame, key: str = "key") -> DataFrame:
+    """(key, before, after): how often each key occurs in both."""
+    one = before.groupBy(key).agg(F.count(F.lit(1)).alias("before"))
+    two = after.groupBy(key).agg(F.count(F.lit(1)).alias("after"))
+    return one.join(two, key, "full").fillna(0, ["before", "after"])
+
+
+def counted_and_latest(parents: DataFrame, children: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """``parents`` with how many children each has and the ``value`` of the latest, ties to the least value: aggregated first, then joined."""
+    by = children.groupBy(key).agg(F.count(F.lit(1)).alias("children"), F.max_by(value, F.struct(F.col(at), -F.col(value))).alias("latest"))
+    return parents.join(by, key, "left").fillna(0, ["children"])
+
+
+def job_grid(spark, **axes: list) -> DataFrame:
+    """Every combination of the given values: a stated, small grid."""
+    out = None
+    for name, values in axes.items():
+        kind = "long" if all(isinstance(v, int) for v in values) else "string"
+        one = spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
+        out = one if out is None else out.crossJoin(one)
+    return out

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,14 +24,23 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.select(key, "n_terms", F.explode("terms").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("n_terms").alias("n_terms"))
 
 
+#: Terms of all queries of a block, which goes to every task.
+BLOCK_TERMS = 200_000
+
+
 def keyword_hits(queries: DataFrame, index: DataFrame, n_docs: int, mean_terms: float, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of (query_id, terms) with how many of the query's terms each document has."""
+    """BM25 of (query_id, terms) with how many of the query's terms each document has. Queries, a stated set, go in blocks of BLOCK_TERMS terms."""
     q = queries.select("query_id", F.size("terms").alias("n_query"), F.explode("terms").alias("term"))
-    hits = index.join(F.broadcast(q), "term")  # the query set, in blocks if it is large
-    df = index.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.lit(mean_terms))
-    return hits.join(F.broadcast(df), "term").groupBy("query_id", key).agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_query").alias("n_query"))
+    blocks, out = max(1, -(-q.count() // BLOCK_TERMS)), None
+    for block in range(blocks):
+        some = F.broadcast(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else q)
+        df = index.join(F.broadcast(some.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # at most as many rows as the block has terms
+        idf = F.ln(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        norm = F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.lit(mean_terms))
+        hits = index.join(some, "term").join(F.broadcast(df), "term").groupBy("query_id", key)
+        hits = hits.agg(F.round(F.sum(idf * F.col("tf") * (k1 + 1) / norm), 6).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_query").alias("n_query"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def strict_then_any(hits: DataFrame, limit: int, least: int = 3, key: str = "doc_id") -> DataFrame:
@@ -69,3 +79,112 @@ def reranked(pool: DataFrame, scorer: Callable[[Column, Column], Column] = lexic
     """Pool rows (query_id, query, parent, text) with the scorer's score and rank; ties by parent."""
     scored = pool.withColumn("score", scorer(F.col("query"), F.col("text")))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "parent")))
+
+
+def best_child(lists: DataFrame) -> DataFrame:
+    """(query_id, parent, child) of lists with (list_no, rank, child): the child of the first list, then the best rank."""
+    return lists.groupBy("query_id", "parent").agg(F.min_by("child", F.struct("list_no", "rank", "child")).alias("child"))
+
+
+def reordered_head(ranked: DataFrame, second: str = "second", top: int = 8) -> DataFrame:
+    """The first ``top`` ranks of each query in order of a second scorer's ``second``; the score that thresholds read stays."""
+    head = F.col("rank") <= top
+    w = Window.partitionBy("query_id").orderBy(F.when(head, 0).otherwise(1), F.when(head, -F.col(second)).otherwise(F.col("rank").cast("double")), "rank")
+    return ranked.withColumn("rank", F.row_number().over(w))
+
+
+def fresh_first(ranked: DataFrame, used: DataFrame, limit: int) -> DataFrame:
+    """Passages already ``used`` (query_id, parent) after the others, in queries that have ``limit`` others or more."""
+    rows = ranked.join(used.select("query_id", "parent", F.lit(1).alias("_used")).distinct(), ["query_id", "parent"], "left").fillna(0, ["_used"])
+    enough = F.sum(1 - F.col("_used")).over(Window.partitionBy("query_id")) >= limit
+    w = Window.partitionBy("query_id").orderBy(F.when(enough, F.col("_used")).otherwise(0), "rank")
+    return rows.withColumn("rank", F.row_number().over(w)).drop("_used")
+
+
+def sources_panel(ranked: DataFrame, chosen: DataFrame, n: int = 8) -> DataFrame:
+    """(query_id, parent, place): the ``chosen`` (query_id, parent) first, then the rest, each in rank order."""
+    rows = ranked.join(chosen.select("query_id", "parent", F.lit(0).alias("_tier")).distinct(), ["query_id", "parent"], "left").fillna(1, ["_tier"])
+    w = Window.partitionBy("query_id").orderBy("_tier", "rank")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("query_id", "parent", "place")
+
+
+def grounding(has_passage: Column, has_citation: Column, has_supplement: Column, model_value: Column) -> Column:
+    """What an answer rests on: textbook, partial (textbook and model), ai_only, or none for talk without either."""
+    book = has_passage & has_citation
+    return F.when(book & has_supplement, "partial").when(book, "textbook").when(has_supplement, "ai_only").when(model_value == "none", "none").otherwise("ai_only")
+
+
+def also_in(sources: DataFrame, citations: DataFrame, least: float = 0.0, n: int = 4) -> DataFrame:
+    """Books (query_id, book, place) with a passage scoring ``least`` or more that no citation names: the first ``n`` by their best place."""
+    low = F.lower(F.trim("book"))
+    rows = sources.filter((F.col("score") >= least) & (F.trim(F.coalesce("book", F.lit(""))) != "")).withColumn("_book", low)
+    rows = rows.join(citations.select("query_id", low.alias("_book")).distinct(), ["query_id", "_book"], "left_anti")
+    first = rows.groupBy("query_id", "_book").agg(F.min_by("book", "rank").alias("book"), F.min("rank").alias("rank"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "_book"))).filter(F.col("place") <= n).select("query_id", "book", "place")
+
+
+def chosen_figures(figures: DataFrame, pages: DataFrame, least: float = 0.6, mentioned_least: float = 0.5, n: int = 4) -> DataFrame:
+    """Up to ``n`` figures (query_id, id, relevance, mentioned) for each query.
+
+    ``figures`` (id, book, page, label, caption_source, decorative, and sim by query_id) must be printed, not decorative and
+    on one of the query's context ``pages`` (query_id, book, page, text), and near the query; one that the context
+    names ("see Fig. 49-1") may be less near. Caption paragraphs don't count as context.
+    """
+    body = pages.withColumn("body", F.when(F.col("text").rlike(r"(?i)^\s*(?:Figure|Fig\.?)\s*\d"), "").otherwise(F.col("text")))
+    context = body.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("body")).alias("body"))  # a query's context is a handful of passages
+    rows = figures.filter((F.col("caption_source") == "printed") & ~F.col("decorative")).join(pages.select("query_id", "book", "page").distinct(), ["query_id", "book", "page"], "left_semi").join(context, "query_id")
+    number = F.trim(F.replace(F.coalesce("label", F.lit("")), F.lit("Figure"), F.lit("")))
+    # a dot of the number also stands for a dash; the number is looked for among those that the context names
+    named = F.transform(F.regexp_extract_all("body", F.lit(r"(?i)\bFig(?:ure|\.)?\s*(\d+(?:[.\-]\d+)*[A-Za-z]?)\b"), F.lit(1)), lambda x: F.replace(x, F.lit("-"), F.lit(".")))
+    rows = rows.withColumn("mentioned", (number != "") & F.array_contains(named, F.replace(number, F.lit("-"), F.lit(".")))).withColumn("relevance", F.round("sim", 3))
+    rows = rows.filter((F.col("sim") >= least) | (F.col("mentioned") & (F.col("sim") >= mentioned_least)))
+    w = Window.partitionBy("query_id").orderBy(F.desc("mentioned"), F.desc("relevance"), "id")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("query_id", "id", "relevance", "mentioned", "place")
+
+
+def neighbours(hits: DataFrame, passages: DataFrame, window: int = 3) -> DataFrame:
+    """(query_id, parent, rank, id, text, away) of the passages (id, book, page, text) within ``window`` ids of a hit on its page, itself included."""
+    near = hits.select("query_id", "rank", F.col("parent"), F.explode(F.sequence(F.col("parent") - window, F.col("parent") + window)).alias("id"))  # a range join as an equal one
+    own = passages.select(F.col("id").alias("parent"), F.col("book").alias("_book"), F.col("page").alias("_page"))
+    rows = near.join(own, "parent").join(passages, "id").filter((F.col("book") == F.col("_book")) & (F.col("page").eqNullSafe(F.col("_page")) & F.col("page").isNotNull() | (F.col("id") == F.col("parent"))))
+    return rows.select("query_id", "parent", "rank", "id", "book", "text", (F.col("id") - F.col("parent")).alias("away"))
+
+
+def expanded_blocks(near: DataFrame, budget: int = 3000, window: int = 3) -> DataFrame:
+    """Context blocks (query_id, block, ids): each hit with its neighbours, nearest first and the later of two first, within ``budget`` characters.
+
+    ``near`` is ``neighbours`` with ``joins``: whether a neighbour is relevant, or short and next to the hit. A block that
+    overlaps one of a better hit is merged into that one while this stays within twice the budget. A query is a task's
+    group: some hits with at most 2 ``window`` neighbours each.
+    """
+
+    def blocks(part: pd.DataFrame) -> pd.DataFrame:
+        made: list[dict] = []
+        owner: dict[int, dict] = {}
+        for _, hit in part.groupby("rank", sort=True):
+            parent = int(hit["parent"].iloc[0])
+            if parent in owner:
+                continue
+            size = dict(zip(hit["id"].astype(int), hit["text"].map(len), strict=True))
+            wanted = {int(i) for i, ok in zip(hit["id"], hit["joins"], strict=True) if ok}
+            chosen, used = [parent], size.get(parent, 0)
+            for away in range(1, window + 1):
+                for i in (parent + away, parent - away):
+                    if i in wanted and used + size[i] <= budget and size.get(parent, 0) < budget:
+                        chosen.append(i)
+                        used += size[i]
+            home = next((owner[i] for i in sorted(chosen) if i in owner), None)
+            if home is None:
+                home = {"ids": [], "chars": 0}
+                made.append(home)
+                fits = True
+            else:
+                chosen = [i for i in chosen if i not in home["ids"]]
+                fits = home["chars"] + sum(size[i] for i in chosen) <= 2 * budget
+            if fits:
+                home["ids"] += chosen
+                home["chars"] += sum(size[i] for i in chosen)
+                owner.update(dict.fromkeys(chosen, home))
+        return pd.DataFrame({"query_id": part["query_id"].iloc[0], "block": range(1, len(made) + 1), "ids": [sorted(b["ids"]) for b in made]})
+
+    return near.groupBy("query_id").applyInPandas(blocks, f"query_id {dict(near.dtypes)['query_id']}, block int, ids array<long>")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lectern.functions.scheduling import DECAY, FACTOR, W
+from lectern.functions.scheduling import Floats, first_step, next_step
 
 
 def event_time(answered: str, received: str, days: int = 30):
@@ -19,13 +20,24 @@ def event_time(answered: str, received: str, days: int = 30):
 
 
 def first_answers(stream: DataFrame, keys: list[str], days: int = 30) -> DataFrame:
-    """Answers re-dated before the watermark, so that none is dropped as late, and one of each key: works on streams and batches."""
+    """Answers re-dated before the watermark, so that none is dropped as late, and of each key the first.
+
+    In a batch that is the one of the earliest time, ties to the earlier arrival. In a stream the first to arrive stands,
+    as it does when a table takes the first insert of a key; a later arrival changes nothing that was already sent on.
+    """
     timed = stream.withColumn("at", event_time("answered_at", "received_at", days).cast("timestamp"))
     if not timed.isStreaming:
-        return timed.dropDuplicates(keys)
+        first = Window.partitionBy(*keys).orderBy("at", "received_at", *[c for c in stream.columns if c not in (*keys, "received_at")])
+        return timed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     return timed.withWatermark("at", f"{days} days").dropDuplicatesWithinWatermark(keys)
 
 
+def stalled(log: DataFrame, now: Column, minutes: int = 10) -> DataFrame:
+    """Per job of a log (job, at): its last line and whether it has been silent for ``minutes`` at ``now``."""
+    by = log.groupBy("job").agg(F.max("at").alias("last_at"), F.count(F.lit(1)).alias("lines"))
+    return by.withColumn("stalled", F.col("last_at") < now - F.expr(f"interval {minutes} minutes"))
+
+
 def weekly_counts(stream: DataFrame, late: str = "7 days") -> DataFrame:
     """Counts by Monday week and event type."""
     timed = stream.withColumn("at", F.col("ts").cast("timestamp"))
@@ -41,17 +53,6 @@ def gap_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day"
     return timed.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
 
 
-def _reviewed(s: float, d: float, days: float, g: int) -> tuple[float, float]:
-    import math
-
-    r = (1 + FACTOR * max(0.0, days) / max(s, 0.01)) ** DECAY
-    harder = min(10.0, max(1.0, W[7] * W[4] + (1 - W[7]) * (d - W[6] * (g - 3))))
-    if g == 1:
-        return max(0.1, min(s, W[11] * d ** -W[12] * ((s + 1) ** W[13] - 1) * math.exp(W[14] * (1 - r)))), harder
-    gain = math.exp(W[8]) * (11 - d) * s ** -W[9] * (math.exp(W[10] * (1 - r)) - 1) * {2: W[15], 4: W[16]}.get(g, 1.0)
-    return max(0.1, s * (gain + 1)), harder
-
-
 def review_stream(stream: DataFrame, key: str) -> DataFrame:
     """The review state of each key after each batch: (key, stability, difficulty, reviews). Input: key, ts, grade."""
 
@@ -60,10 +61,7 @@ def review_stream(stream: DataFrame, key: str) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["ts", "grade"], kind="stable")
         for ts, g in zip(rows["ts"], rows["grade"], strict=True):
             now = int(ts.value // 1000)
-            if n == 0:
-                s, d = W[g - 1], min(10.0, max(1.0, W[4] - (g - 3) * W[5]))
-            else:
-                s, d = _reviewed(s, d, (now - at) / 86_400e6, int(g))
+            s, d = first_step(int(g), Floats) if n == 0 else next_step(s, d, (now - at) / 86_400e6, int(g), Floats)
             at, n = now, n + 1
         state.update((s, d, at, n))
         yield pd.DataFrame({key: [name[0]], "stability": [s], "difficulty": [d], "reviews": [n]})

@@ -12,7 +12,7 @@ from lectern.functions import vectors as V
 from lectern.operators import books as B
 from lectern.operators import ordered as O
 from lectern.operators import relational as R
-from lectern.plans.queries import ORACLE_SQL, QUERIES
+from lectern.plans import ORACLE_SQL, QUERIES
 from lectern.sources import files
 from lectern.streaming import answers as G
 
@@ -45,15 +45,6 @@ def test_query_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_answers_agree():
-    assert T.agree("sitagliptin", "sitagliptin dpp 4 inhibitor")
-    assert T.agree("e coli", "escherichia coli")
-    assert not T.agree("hypokalemia", "hyperkalemia")
-    assert not T.agree("vitamin b12", "vitamin b1")
-    assert not T.agree("increased", "increased renin")
-    assert not T.agree("", None)
-
-
 def test_complete_linkage_does_not_chain(spark):
     edges = spark.createDataFrame([(0, 1, 2, 0.9), (0, 2, 3, 0.8)], "component int, a long, b long, weight double")
     assert {tuple(r) for r in V.complete_linkage(edges).collect()} == {(1, 1), (2, 1), (3, 3)}
