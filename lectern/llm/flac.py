@@ -37,7 +37,7 @@ SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, **{k: 1 << k for k in range(
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, media binary"
 READ = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, pcm binary, block_at array<long>"
+    "feature string, pcm binary, block_at array<long>, error string"
 )
 
 
@@ -237,6 +237,8 @@ def encode(payloads: list[bytes], width: int = 8) -> list[bytes]:
         first = int(begin[f]) if n else 0
         info = (BLOCK << 16 | BLOCK).to_bytes(4, "big") + int(sizes.min(initial=1 << 24) if n else 0).to_bytes(3, "big") + int(sizes.max(initial=0)).to_bytes(3, "big")
         info += (8000 << 44 | (width - 1) << 36 | len(s)).to_bytes(8, "big") + hashlib.md5(s.astype("<i1" if width == 8 else "<i2").tobytes()).digest()
+        if 18 * n >= 1 << 24:
+            raise ValueError(f"{18 * n} bytes of seek points are more than a stream can name; store this payload in parts")
         seek = np.zeros(n, [("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")])
         seek["sample"], seek["offset"], seek["count"] = np.arange(n) * BLOCK, begin[f : f + n] - first, size[f : f + n]
         points = seek.tobytes()
@@ -481,32 +483,51 @@ def encode_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(write, MEDIA)
 
 
+def _read_each(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | Corrupt]:
+    """``decode`` of each stream, or what is wrong with it: streams are read side by side, and one by one only where one is broken."""
+    try:
+        return list(decode(streams))
+    except (Corrupt, IndexError, ValueError) as wrong:
+        if len(streams) == 1:
+            return [wrong if isinstance(wrong, Corrupt) else Corrupt(f"broken stream: {wrong}")]
+        half = len(streams) // 2
+        return _read_each(streams[:half]) + _read_each(streams[half:])
+
+
 def read_media(media: DataFrame) -> DataFrame:
-    """Each stream read back: checksums, PCM (unsigned bytes as they were stored), first sample of each block, and a feature.
+    """Each stream read back: checksums, PCM (unsigned bytes, or little-endian pairs, as they were stored), first sample of each block, and a feature.
 
-    feature: samples, their sum and energy, sign changes and the largest step, all of the decoded signal.
+    feature: samples, their sum and energy, sign changes and the largest step, all of the decoded signal. A stream that
+    is null, broken or fails a checksum gives a row with ``error`` and nulls for what was to be read; others aren't touched by it.
     """
 
+    def told(stream: bytes, got) -> tuple:
+        about = len(stream), hashlib.sha256(stream).hexdigest()
+        if isinstance(got, Corrupt):
+            return None, None, *about, None, None, None, str(got)
+        samples, blocks = got
+        wide = _metadata(stream)["width"] == 16
+        pcm = (samples + (1 << 15)).astype("<u2").tobytes() if wide else (samples + 128).astype(np.uint8).tobytes()
+        turns = int(((samples[1:] < 0) != (samples[:-1] < 0)).sum())
+        step = int(np.abs(np.diff(samples)).max(initial=0))
+        feature = f"n={len(samples)};sum={int(samples.sum())};energy={int((samples * samples).sum())};turns={turns};step={step}"
+        return hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-UNIT:]), *about, feature, pcm, blocks, None
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            streams, lo = batch["media"].tolist(), 0
+            streams, lo = [m or b"" for m in batch["media"]], 0
             while lo < len(streams):
                 hi, held = lo, 0
                 while hi < len(streams) and (hi == lo or held + len(streams[hi]) <= ROUND_BYTES):
                     held += len(streams[hi])
                     hi += 1
-                rows = []
-                for stream, (samples, blocks) in zip(streams[lo:hi], decode(streams[lo:hi]), strict=True):
-                    pcm = (samples + 128).astype(np.uint8).tobytes()
-                    turns = int(((samples[1:] < 0) != (samples[:-1] < 0)).sum())
-                    step = int(np.abs(np.diff(samples)).max(initial=0))
-                    feature = f"n={len(samples)};sum={int(samples.sum())};energy={int((samples * samples).sum())};turns={turns};step={step}"
-                    rows.append((hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-UNIT:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, pcm, blocks))
-                got = pd.DataFrame(rows, columns=["payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm", "block_at"])
+                rows = [told(s, g) for s, g in zip(streams[lo:hi], _read_each(streams[lo:hi]), strict=True)]
+                got = pd.DataFrame(rows, columns=["payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm", "block_at", "error"])
+                got["tail_crc32"] = got["tail_crc32"].astype("Int64")
                 front = batch.iloc[lo:hi].reset_index(drop=True)
                 got.insert(0, "doc_id", front["doc_id"].astype("Int64").to_numpy(object, na_value=None))
                 got.insert(1, "n_bytes", front["n_bytes"])
-                got.insert(2, "payload_bytes", [len(r[5]) for r in rows])
+                got.insert(2, "payload_bytes", pd.array([None if r[5] is None else len(r[5]) for r in rows], dtype="Int64"))
                 yield got
                 lo = hi
 
@@ -514,12 +535,15 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """The PCM of each stream in blocks: doc_id, block, first_sample, pcm. A sample s lies in the last block with first_sample <= s."""
-    read = read_media(media).select("doc_id", "pcm", "block_at", F.posexplode("block_at").alias("block", "first_sample"))
+    """The PCM of each 8-bit stream in blocks: doc_id, block, first_sample, pcm. A sample s lies in the last block with first_sample <= s.
+
+    Broken streams have no blocks.
+    """
+    read = read_media(media).filter("error is null").select("doc_id", "pcm", "block_at", F.posexplode("block_at").alias("block", "first_sample"))
     end = F.coalesce(F.try_element_at("block_at", F.col("block") + 2), F.length("pcm").cast("long"))
     return read.select("doc_id", "block", "first_sample", F.substring("pcm", (F.col("first_sample") + 1).cast("int"), (end - F.col("first_sample")).cast("int")).alias("pcm"))
 
 
 def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text stored as a FLAC stream and read back."""
+    """Every whole text stored as a FLAC stream and read back: the streams, nearly as large as the texts, pass from writer to reader as a column."""
     return read_media(encode_texts(table(spark, sf_dir, "documents"))).drop("pcm", "block_at")
