@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a block in blocked similarity; a pair of blocks is a task's work.
 BLOCK_ROWS = 2048
+#: Centres of near vectors at most: the driver holds them, and each task.
+MOST_CENTRES = 2048
 #: Queries that go to every task at once, and vectors that meet them at once there.
 QUERIES_AT_ONCE, VECTORS_AT_ONCE = 4096, 512
 
@@ -26,30 +28,72 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / size)
 
 
+def _reach(vectors: DataFrame, vector: str, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, radii) of blocks of near vectors: the centres are vectors of a bounded sample, each vector is in the block of its nearest centre."""
+    centres = np.array([r[0] for r in vectors.select(vector).orderBy(F.xxhash64(vector)).limit(blocks).collect()], np.float64)
+    centres = np.unique(centres, axis=0)
+
+    def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = np.zeros(len(centres))
+        for batch in batches:
+            block, away = _block_of(batch["v"], centres)
+            np.maximum.at(most, block, away)
+        yield pd.DataFrame({"block": np.arange(len(centres)), "r": most})
+
+    rows = vectors.select(F.col(vector).alias("v")).mapInPandas(far, "block int, r double").groupBy("block").agg(F.max("r").alias("r")).collect()
+    radii = np.zeros(len(centres))
+    for r in rows:
+        radii[r["block"]] = r["r"]
+    return centres, radii
+
+
+def _block_of(vectors: pd.Series, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, distance to it) of each vector."""
+    v = np.stack(vectors.to_list()).astype(np.float64)
+    square = np.maximum((v * v).sum(1)[:, None] + (centres * centres).sum(1) - 2 * v @ centres.T, 0)
+    block = square.argmin(1)
+    return block, np.sqrt(square[np.arange(len(v)), block])
+
+
 def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All pairs a < b of unit vectors with cosine >= ``least``: (a, b, cosine).
 
-    Exact, by tiles: vectors are dealt to blocks, each pair of blocks meets in one task as a matrix product. Each
-    vector is sent once a block; only pairs over the threshold leave a task.
+    Exact, by tiles: near vectors share a block (at most MOST_CENTRES of them), and two blocks meet in a task as a matrix product only if their centres
+    and radii let a pair reach ``least``: unit vectors of cosine c are sqrt(2 - 2 c) apart. A large block is dealt to
+    parts of some ``block_rows``, which meet as blocks do. Only pairs over the threshold leave a task. Vectors that are
+    all alike, or a low ``least``, leave all tiles; the higher ``least``, the fewer.
     """
     n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    every = F.array(*[F.lit(i) for i in range(blocks)]) if blocks <= 1000 else F.sequence(F.lit(0), F.lit(blocks - 1))
-    tiles = rows.withColumn("other", F.explode(every)).select("id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    centres, radii = _reach(vectors, vector, min(MOST_CENTRES, max(1, -(-n // block_rows)))) if n else (np.zeros((1, 1)), np.zeros(1))
+    near = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-6  # stored vectors are unit ones but for rounding
+    apart = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(-1), 0)) if len(centres) <= 512 else np.stack([np.sqrt(((centres - c) ** 2).sum(1)) for c in centres])
+    meets = [np.flatnonzero(apart[i] - radii[i] - radii <= near).tolist() for i in range(len(centres))]
+
+    @F.pandas_udf("int")
+    def block(v: pd.Series) -> pd.Series:
+        return pd.Series(_block_of(v, centres)[0] if len(v) else [], dtype="int32")
+
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("home", block("v"))
+    parts = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    spark = vectors.sparkSession
+    links = spark.createDataFrame([(i, j) for i, some in enumerate(meets) for j in some], "home int, other int")
+    links = links.join(parts, "home").join(parts.select(F.col("home").alias("other"), F.col("parts").alias("other_parts")), "other")
+    rows = rows.join(F.broadcast(links), "home").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))  # at most MOST_CENTRES squared small rows
+    rows = rows.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
+    mine, theirs = F.struct(F.col("home").alias("b"), F.col("part").alias("p")), F.struct(F.col("other").alias("b"), F.col("other_part").alias("p"))
+    tiles = rows.select("id", "v", mine.alias("block"), F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"))
+    tiles = tiles.select("id", "v", (F.col("block") == F.col("i")).alias("left"), (F.col("i") == F.col("j")).alias("same"), "i", "j")
 
     def pairs(tile: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(tile["i"].iloc[0]), int(tile["j"].iloc[0])
-        left, right = tile[tile["block"] == i], tile[tile["block"] == j]
-        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        same = bool(tile["same"].iloc[0])
+        left, right = tile[tile["left"]], tile if same else tile[~tile["left"]]
         if not len(left) or not len(right):
-            return empty
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
         x, y = np.stack(left["v"].to_list()).astype(np.float64), np.stack(right["v"].to_list()).astype(np.float64)
         a, b, s = left["id"].to_numpy(), right["id"].to_numpy(), x @ y.T
         r, c = np.nonzero(s >= least)
         found = pd.DataFrame({"a": np.minimum(a[r], b[c]), "b": np.maximum(a[r], b[c]), "cosine": s[r, c]})
-        keep = a[r] < b[c] if i == j else a[r] != b[c]
-        return found[keep]
+        return found[a[r] < b[c] if same else a[r] != b[c]]
 
     return tiles.groupBy("i", "j").applyInPandas(pairs, "a long, b long, cosine double")
 

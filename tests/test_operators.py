@@ -295,3 +295,16 @@ def test_text_helpers(spark):
     assert [tuple(x) for x in spark.createDataFrame([("x [Book A, Page 3] [bb, p.7]",)], "t string").select(T.cited(F.col("t"))).first()[0]] == [("book a", 3), ("bb", 7)]
     page = "<p>a <b>bold</b></p><script>x</script><ul><li>one</li></ul>&lt;tag&gt;"
     assert spark.createDataFrame([(page,)], "t string").select(T.html_markdown(F.col("t"))).first()[0] == "a **bold**\n- one\n\n&lt;tag&gt;"
+
+
+def test_pairs_of_clusters_against_all_products(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(9, 16))
+    v = centre[rng.integers(0, 9, 400)] + 0.25 * rng.normal(size=(400, 16))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("float32")
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    s = v.astype(np.float64) @ v.astype(np.float64).T
+    for least, rows in ((0.9, 30), (0.95, 2048), (0.2, 50)):
+        got = {(r["a"], r["b"]) for r in V.similar_pairs(e, least, block_rows=rows).collect()}
+        assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if s[i, j] >= least} and got
+    assert V.similar_pairs(e.limit(0), 0.9).count() == 0
