@@ -333,3 +333,19 @@ def disputed_report(spark, d):
     verdict = F.when(F.col("o_orderstatus") == "F", "contradicted").when(F.col("o_orderstatus") == "P", "books_conflict").otherwise("supported")
     rows = table(spark, d, "orders").join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return files.disputed_report(rows.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("question"), F.col("o_orderstatus").alias("answer"), verdict.alias("verdict"), evidence.alias("evidence")))
+
+
+@query("""select c_custkey, case c_custkey % 4 when 0 then 'Golden questions' when 1 then 'Acute ' || case when c_nationkey % 2 = 0 then 'GI' else 'Renal' end || ' CNS' when 2 then 'med' else 'Other Thing' end as topic from customer""")
+def topics_of_files(spark, d):
+    n, part = F.col("c_custkey") % 4, F.when(F.col("c_nationkey") % 2 == 0, "gi").otherwise("renal")
+    stem = F.when(n == 0, "med_golden_set").when(n == 1, F.concat(F.lit("med_p2_acute_"), part, F.lit("_cns"))).when(n == 2, "med_").otherwise("other_thing")
+    return table(spark, d, "customer").select("c_custkey", T.topic_of_file(stem, F.lit("med"), {"gi": "GI"}).alias("topic"))
+
+
+@query("""select doc_id, case when doc_id % 2 = 0 then '# A' || chr(10) || '- kept [Book A, Page 1]' || chr(10) || 'plain' || chr(10) || '# C' || chr(10) || '* rhyme (AI mnemonic)' else 'intro ' || doc_id end as sheet from documents""")
+def checked_sheets(spark, d):
+    """Bullets that cite nothing allowed go, and headings with nothing under them."""
+    full = F.lit("# A\n- kept [Book A, Page 1]\n- no source\n\n- wrong [Book B, Page 9]\nplain\n# B\n- none\n# C\n* rhyme (AI mnemonic)\n# D")
+    sheet = F.when(F.col("doc_id") % 2 == 0, full).otherwise(F.concat(F.lit("intro "), F.col("doc_id").cast("string"), F.lit("\n\n# bare")))
+    allowed = F.array(F.struct(F.lit("book a").alias("title"), F.lit(1).alias("page")))
+    return table(spark, d, "documents").select("doc_id", T.kept_lines(sheet, allowed).alias("sheet"))

@@ -626,3 +626,82 @@ def category_coverage(spark, d):
     a = ans(spark, d).filter("user_id % 5 = 0").select("id", F.lit(1).alias("hit")).distinct()
     by = bank(spark, d).join(a, "id", "left").groupBy("sub_category").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("answered"))
     return by.withColumn("pct", A.percent(F.col("answered"), F.col("n")))
+
+
+_UNSEEN = f"""seen as (select distinct id from ans where user_id = 5), weak as (select sub_category from ans join bank using (id) where user_id = 5 group by 1 having count(*) >= 2 order by count(*) filter (is_correct)::double / count(*), sub_category limit 1),
+  fresh as (select id, sub_category, recall_group, size from bank where status = 'ready' and access = 'open' and id not in (select id from seen))"""
+
+
+def _unseen(spark, d):
+    """(unseen open questions of user 5 with ``weak``: whether they are of the weakest subject, the user's answers)."""
+    b, a = bank(spark, d), ans(spark, d).filter("user_id = 5")
+    by = a.join(b.select("id", "sub_category"), "id").groupBy("sub_category").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("right")).filter("n >= 2")
+    weak = by.orderBy(F.col("right") / F.col("n"), "sub_category").limit(1).select("sub_category", F.lit(True).alias("weak"))
+    fresh = b.filter("status = 'ready' and access = 'open'").join(a.select("id").distinct(), "id", "left_anti").join(F.broadcast(weak), "sub_category", "left")
+    return fresh.select("id", "sub_category", "recall_group", "size", F.coalesce("weak", F.lit(False)).alias("weak")), a
+
+
+@query(f"""with {ANS_SQL}, {BANK_SQL}, {_UNSEEN}, due as (select size, max(ts) as at_ from ans join bank using (id) where user_id = 5 and not is_correct group by 1 order by at_, size limit 5),
+  review as (select id, 'review' as kind from (select fresh.id, row_number() over (partition by size order by md5('7:' || fresh.id), fresh.id) as r from fresh join due using (size)) where r = 1),
+  o as (select *, row_number() over (order by case when sub_category = (select sub_category from weak) then 0 else 1 end, md5('7:' || id), id) as place from fresh where id not in (select id from review)),
+  n as (select id, 'new' as kind from (select id, place, row_number() over (partition by coalesce(recall_group, -id) order by place) as r from o) where r = 1 order by place limit 10) select * from review union all select * from n""")
+def daily_dose(spark, d):
+    """User 5's day: a new question on each of the five concepts longest missed, then ten new ones, the weakest subject first."""
+    fresh, a = _unseen(spark, d)
+    due = a.filter(~F.col("is_correct")).join(bank(spark, d).select("id", "size"), "id").groupBy("size").agg(F.max("ts").alias("at")).orderBy("at", "size").limit(5).select("size")
+    review = O.first_of_group(fresh.join(F.broadcast(due), "size"), F.col("size"), O.hash_order("id"), "id").select("id", F.lit("review").alias("kind"))
+    rest = fresh.join(review, "id", "left_anti").withColumn("tier", F.when(F.col("weak"), 0).otherwise(1))
+    key = F.coalesce(F.col("recall_group").cast("long"), -F.col("id"))
+    return review.unionByName(O.distinct_by_group(rest, key, ["tier", O.hash_order("id"), "id"], 10).select("id", F.lit("new").alias("kind")))
+
+
+@query(f"""with {ANS_SQL}, {BANK_SQL}, {_UNSEEN}, c as (select size, count(*) filter (not is_correct) as lapses, count(*) filter (is_correct) as box, max(ts) as due from ans join bank using (id) where user_id = 5 group by 1 order by lapses desc, box, due, size limit 10),
+  v as (select c.size, fresh.id, row_number() over (partition by c.size order by md5('7:' || fresh.id), fresh.id) as r from c left join fresh using (size)) select size as concept, id from v where r = 1""")
+def sprint_set(spark, d):
+    """User 5's ten weakest concepts, each with a new question where there is one."""
+    fresh, a = _unseen(spark, d)
+    c = a.join(bank(spark, d).select("id", "size"), "id").groupBy("size").agg(F.count_if(~F.col("is_correct")).alias("lapses"), F.count_if("is_correct").alias("box"), F.max("ts").alias("due"))
+    c = c.orderBy(F.desc("lapses"), "box", "due", "size").limit(10).select("size")
+    rows = F.broadcast(c).join(fresh.select("size", "id"), "size", "left")
+    return O.first_of_group(rows, F.col("size"), O.hash_order("id"), "id").select(F.col("size").alias("concept"), "id")
+
+
+@query(f"""with {ANS_SQL}, {BANK_SQL}, s as (select distinct id from ans where user_id = 7), v as (select distinct id from ans where user_id in (8, 9)),
+  o as (select id, recall_group, row_number() over (order by case when id in (select id from s) then 2 when id in (select id from v) then 1 else 0 end, md5('7:' || id), id) as place from bank where status = 'ready' and main_category = 'Past papers')
+  select id from (select id, place, row_number() over (partition by coalesce(recall_group, -id) order by place) as r from o) where r = 1 order by place limit 40""")
+def quiz_start(spark, d):
+    """A quiz of forty past-paper questions: new ones first, then those shown, then those answered; one version of each."""
+    a = ans(spark, d)
+    b = bank(spark, d).filter("status = 'ready' and main_category = 'Past papers'").select("id", "recall_group")
+    ranked = P.seen_rank(b, a.filter("user_id = 7").select("id"), a.filter("user_id in (8, 9)").select("id"))
+    return O.distinct_by_group(ranked, F.coalesce(F.col("recall_group").cast("long"), -F.col("id")), ["rank", O.hash_order("id"), "id"], 40).select("id")
+
+
+@query(f"""with {ANS_SQL}, {BANK_SQL}, u as (select id, id % 500 as seed, sub_category from bank where main_category = 'Other' and status = 'ready' and id not in (select id from ans where user_id = 3)),
+  f as (select * from (select *, row_number() over (partition by seed order by md5('7:' || id), id) as r from u) where r = 1), o as (select id, seed, sub_category, row_number() over (partition by sub_category order by md5('7:' || id), id) as turn from f)
+  select id, seed from o where turn <= 30 order by turn, sub_category limit 30""")
+def ready_made(spark, d):
+    """Harder versions that user 3 hasn't met, one of each original, in turn over the subjects."""
+    u = bank(spark, d).filter("main_category = 'Other' and status = 'ready'").join(ans(spark, d).filter("user_id = 3").select("id").distinct(), "id", "left_anti")
+    once = O.first_of_group(u.select("id", (F.col("id") % 500).alias("seed"), "sub_category"), F.col("seed"), O.hash_order("id"), "id")
+    return O.round_robin(once, "sub_category", [O.hash_order("id"), "id"], 30).select("id", "seed")
+
+
+@query(f"""with {BANK_SQL}, {PAPERS_SQL}, y as (select recall_group, year from papers join bank using (id) where recall_group is not null),
+  o as (select id, year from papers union select id, year from bank join y using (recall_group)) select id, array_to_string(list(distinct year order by year), ',') as years from o group by 1""")
+def paper_years(spark, d):
+    """The years in which each question, or another version of it, was asked."""
+    b, p = bank(spark, d).select("id", "recall_group"), papers(spark, d)
+    groups = p.join(b.filter("recall_group is not null"), "id").select("recall_group", "year").distinct()
+    every = p.union(b.join(groups, "recall_group").select("id", "year")).distinct()
+    return every.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("year")), lambda y: y.cast("string")), ",").alias("years"))
+
+
+@query()
+def recall_versions(spark, d):
+    """Versions of a question in one group and whether their answers agree."""
+    from lectern.operators import compare as C
+
+    b = bank(spark, d).filter("recall_group is not null").select("id", "recall_group", "stem")
+    pairs = b.select("id", "recall_group", F.col("stem").alias("a")).join(b.select(F.col("id").alias("other"), "recall_group", F.col("stem").alias("b")), "recall_group").filter("id <> other")
+    return C.agreement(pairs).select("id", "other", "agrees")

@@ -308,3 +308,24 @@ def test_pairs_of_clusters_against_all_products(spark):
         got = {(r["a"], r["b"]) for r in V.similar_pairs(e, least, block_rows=rows).collect()}
         assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if s[i, j] >= least} and got
     assert V.similar_pairs(e.limit(0), 0.9).count() == 0
+
+
+def test_models_are_given_by_the_caller(spark):
+    from lectern.functions import models as M
+
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "abc")], "id int, text string")
+    make = lambda: lambda texts: np.array([[len(t), 1.0] for t in texts])
+    assert {r["id"]: r["embedding"] for r in M.encoded(df, make, prefix="__").collect()} == {1: [4.0, 1.0], 2: None, 3: [5.0, 1.0]}
+    score = lambda: lambda q, p: [len(set(a) & set(b)) for a, b in zip(q, p, strict=True)]
+    pairs = spark.createDataFrame([(1, "abc", 7, "a"), (1, "xyz", 7, "xyz"), (1, "abc", 8, "ab"), (1, "xyz", 8, None)], "query_id int, query string, parent int, text string")
+    assert sorted((r["parent"], r["score"], r["rank"]) for r in M.reranked_best(pairs, score).collect()) == [(7, 3.0, 1), (8, 2.0, 2)]
+
+
+def test_functions_in_sql(spark):
+    from lectern.functions import sql
+
+    sql.register(spark)
+    text = "one two. three four five. six."
+    assert [r["text"] for r in spark.sql(f"select * from child_passages('{text}', 4) order by child").collect()] == ["one two.", "three four five. six."]
+    assert spark.sql("select word from near_words('kidny', 'liver kidney', 1)").first()[0] == "kidney"
+    assert spark.sql("select spelling_ratio('abcd', 'abcd') as r").first()[0] == 1.0
