@@ -93,11 +93,22 @@ def forecast_ci(spark, d):
     return A.forecast(ev(spark, d))
 
 
-@query(f"""with {_EV}, {_FORECAST}, s as (select user_id, score from f where score is not null)
-  select a.user_id, a.score, count(*) - 1 as others, case when count(*) - 1 >= 4 then round_even(100.0::double * (count(*) filter (b.score < a.score) + 0.5::double * (count(*) filter (b.score = a.score) - 1)) / (count(*) - 1), 0) end as ahead_of
-  from s a, s b group by 1, 2""")
+_STANDING = """s as (select user_id, score, user_id in (select user_id from p) as peer from f where score is not null),
+  c as (select a.user_id, a.score, count(*) filter (b.peer and b.user_id <> a.user_id) as others, count(*) filter (b.peer and b.user_id <> a.user_id and b.score < a.score) as below, count(*) filter (b.peer and b.user_id <> a.user_id and b.score = a.score) as ties from s a, s b group by 1, 2)
+  select user_id, score, others, case when others >= 4 then round_even(100.0::double * (below + 0.5::double * ties) / others, 0) end as ahead_of from c"""
+
+
+@query(f"with {_EV}, {_FORECAST}, p as (select user_id from ev where ts >= (select max(ts) from ev) - interval 60 days group by 1 having count(*) >= 30), {_STANDING}")
 def peer_midrank(spark, d):
-    return A.peer_standing(A.forecast(ev(spark, d)).select("user_id", "score"))
+    e = ev(spark, d)
+    return A.peer_standing(A.forecast(e).select("user_id", "score"), among=A.peers(e))
+
+
+@query(f"with {_EV}, {_FORECAST}, p as (select user_id from ev where ts >= (select max(ts) from ev) - interval 60 days group by 1 having count(*) >= 66), {_STANDING}")
+def peer_set(spark, d):
+    """Standing among users with 66 recent answers or more: a bar that some users here miss."""
+    e = ev(spark, d)
+    return A.peer_standing(A.forecast(e).select("user_id", "score"), among=A.peers(e, least=66))
 
 
 @query(f"""with {_EV} select user_id, case when confidence = 'sure' then 'misconception' else 'gap' end as kind, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (partition by user_id), 1) as pct

@@ -15,7 +15,6 @@ from lectern.operators import analytics as A
 from lectern.operators import ordered as O
 from lectern.operators import relational as R
 from lectern.plans.registry import EV_SQL as _EV
-from lectern.plans.registry import FORECAST_SQL as _FORECAST
 from lectern.plans.registry import ev, query
 from lectern.sources.tables import table
 
@@ -286,17 +285,6 @@ def session_count(spark, d):
     return ev(spark, d).groupBy("user_id", "session").count().groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
-@query(f"""with {_EV}, {_FORECAST}, p as (select user_id from ev where ts >= (select max(ts) from ev) - interval 60 days group by 1 having count(*) >= 60),
-  s as (select user_id, score, user_id in (select user_id from p) as peer from f where score is not null)
-  select a.user_id, a.score, count(*) filter (b.peer and b.user_id <> a.user_id) as others,
-    case when count(*) filter (b.peer and b.user_id <> a.user_id) >= 4 then round_even(100.0::double * (count(*) filter (b.peer and b.user_id <> a.user_id and b.score < a.score) + 0.5::double * count(*) filter (b.peer and b.user_id <> a.user_id and b.score = a.score)) / count(*) filter (b.peer and b.user_id <> a.user_id), 0) end as ahead_of
-  from s a, s b group by 1, 2""")
-def peer_set(spark, d):
-    """Standing among users with 60 recent answers or more (30 in the reference's setting, which all users here have)."""
-    e = ev(spark, d)
-    return A.peer_standing(A.forecast(e).select("user_id", "score"), among=A.peers(e, least=60))
-
-
 @query(f"""with {_EV}, u as (select user_id, count(*) as answered, count(*) filter (event_type = 'view' and k % 4 = 1) as due_week, 1 + user_id % 40 as days_left from ev group by 1)
   select user_id, case when days_left > 0 then least(80, greatest(15, ceil(greatest(0, 2000 - answered)::double / days_left) + ceil(due_week::double / 7)))::int end as target from u""")
 def daily_target(spark, d):
