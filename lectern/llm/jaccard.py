@@ -27,7 +27,7 @@ from lectern.llm.common import small_batches, table, written
 from lectern.llm.words import NOT_BLANK, Words, mixed, rounds
 
 #: Text bytes of a chunk (documents whose n-grams travel together) and n-grams of a bucket (those whose frequencies one task counts).
-CHUNK_BYTES, BUCKET_GRAMS = 12_000_000, 2_000_000
+CHUNK_BYTES, BUCKET_GRAMS = 8_000_000, 2_000_000
 #: Bits by which a chunk's n-grams are dealt to buckets at most; more bits deal what a bucket has of many chunks once more.
 FAN_BITS = 12
 #: Bits of an n-gram's hash below those that name its bucket (more while there are few buckets: see ``gram_bits``), and
