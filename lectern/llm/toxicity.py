@@ -20,9 +20,9 @@ from lectern.llm.words import ALNUM, Words, mixed, rounds
 #: Clusters of toxic documents, the larger first, and the label: the order of the chain.
 KINDS = 2
 CATEGORIES = (*(f"kind_{k}" for k in range(1, KINDS + 1)), "toxic")
-#: At most so many labelled documents of either label, and so many features, are learned from.
+#: At most so many labelled documents of either label, and so many features but no more than documents, are learned from.
 MOST_LABELLED, MOST_FEATURES = 3000, 4000
-FOLDS, STEPS, RATE, PENALTY = 4, 300, 0.2, 1e-4
+FOLDS, STEPS, RATE, PENALTY = 4, 300, 0.2, 1e-3
 STEM_BYTES = 5
 
 
@@ -158,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_fe
         return Chain(np.zeros(0, np.uint64), [np.array([-20.0]) if k == 0 else np.append(np.zeros(k), -20.0) for k in range(len(CATEGORIES))])
     gap = F.abs(F.col("pos") / sizes["pos"] - F.col("neg") / sizes["neg"])
     noise = F.sqrt((F.col("pos") + F.col("neg") + 1.0) / (sizes["pos"] + sizes["neg"]))
+    most_features = min(most_features, sizes["pos"] + sizes["neg"])  # more features than documents would be learned by heart
     best = df.filter("pos + neg >= 3").select("feature", (gap / noise).alias("weight")).orderBy(F.desc("weight"), "feature").limit(most_features)
     columns = np.sort(best.toPandas()["feature"].to_numpy(np.int64).astype(np.uint64))
     held = docs.sparkSession.sparkContext.broadcast(columns)
