@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.fim import op11_fill_in_middle
 from lectern.llm.flac import op1_flac_media
 from lectern.llm.fmindex import op10_fm_index_decontamination
 from lectern.llm.huffman import op9_token_id_output
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_token_id_output": op9_token_id_output,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "pipeline": pipeline,
 }
 
@@ -66,4 +68,12 @@ ORACLE_SQL = {
         select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
                sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join k using (doc_id) left join t using (doc_id)""",
+    "op11_fill_in_middle": r"""
+        with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+        r as (select *, len(u) as n, cast('0x' || h[1:8] as ubigint) as a, cast('0x' || h[9:16] as ubigint) as b, cast('0x' || h[17:24] as ubigint) as c, cast('0x' || h[25:32] as ubigint) as e from d),
+        f as (select *, least(a % (n + 1), b % (n + 1))::bigint as lo, greatest(a % (n + 1), b % (n + 1))::bigint as hi,
+              case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or c % 100 >= 100 then 'plain' when e % 100 < 50 then 'spm' else 'psm' end as form from r),
+        p as (select *, array_to_string(u[1:lo], '') as x, array_to_string(u[lo + 1:hi], '') as y, array_to_string(u[hi + 1:], '') as z from f)
+        select doc_id, n, form, case when form <> 'plain' then length(x) end as prefix_chars, case when form <> 'plain' then length(y) end as middle_chars,
+               sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256, sha256(t) as restored_sha256 from p""",
 }
