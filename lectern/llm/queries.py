@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.conversations import op13_conversation_repair
 from lectern.llm.fim import op11_fill_in_middle
 from lectern.llm.flac import op1_flac_media
 from lectern.llm.fmindex import op10_fm_index_decontamination
@@ -37,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_id_output": op9_token_id_output,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
 
@@ -76,4 +78,28 @@ ORACLE_SQL = {
         p as (select *, array_to_string(u[1:lo], '') as x, array_to_string(u[lo + 1:hi], '') as y, array_to_string(u[hi + 1:], '') as z from f)
         select doc_id, n, form, case when form <> 'plain' then length(x) end as prefix_chars, case when form <> 'plain' then length(y) end as middle_chars,
                sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256, sha256(t) as restored_sha256 from p""",
+    "op13_conversation_repair": rf"""
+        with recursive b as (select list(list_reduce([i::ubigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384::ubigint) else a >> 1 end) order by i) as t from range(256) r(i)),
+        g as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+        k as (select g.*, xor(list_reduce([4294967295::ubigint] || list_transform(string_split(key, ''), lambda c: ascii(c)::ubigint), lambda a, x: xor(a >> 8, t[((xor(a, x) & 255) + 1)::bigint])), 4294967295::ubigint) % 20 as code from g, b),
+        m as (select conv_id, turn, case code when 4 then 'user' else role end as role, case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case code when 3 then [0, 1] else [0] end) as copy from k where code > 0),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as said from m),
+        f as (select *, case when not regexp_matches(text, '{_BLANK}') then 'blank' when said > 1 then 'duplicate' when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault, strpos('sua', case when role = '' then '-' else role[1] end) as z from o),
+        n as (select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated from f group by 1),
+        j as (select a.conv_id, count(*) as illegal from f a join f b on a.conv_id is not distinct from b.conv_id and b.i = a.i + 1 where a.z * 10 + b.z not in (12, 32, 23) group by 1),
+        v as (select conv_id, 0::bigint as i, 0 as s, {{'c': 0, 'a': '', 't': []::varchar[]}} as v from n union all
+          select conv_id, i, s, min(v) from (
+            select conv_id, i + 1 as i, case e when 'D' then s when 'K' then (case z when 1 then 1 else nx end) else nx end as s,
+              {{'c': v.c + (case e when 'D' then 2 when 'R' then 1 else 0 end) + (case when e <> 'D' and fault = 'truncated' then 5 else 0 end), 'a': v.a || e,
+                't': case e when 'D' then v.t when 'K' then list_append(v.t, role || ':' || text) else list_append(v.t, (case nx when 2 then 'user:' else 'assistant:' end) || text) end}} as v
+            from (select y.conv_id, y.i, y.s, y.v, case y.s when 2 then 3 else 2 end as nx, f.role, f.text, f.fault, f.z, unnest(['D', 'K', 'R']) as e from (
+                select conv_id, i, case when k = 0 then s when (k = 1) = (s = 2) then 3 else 2 end as s,
+                  {{'c': v.c + 5 * k, 'a': v.a || repeat('I', k), 't': v.t || (case k when 0 then []::varchar[] when 1 then [case s when 2 then 'assistant:' else 'user:' end] else (case s when 2 then ['assistant:', 'user:'] else ['user:', 'assistant:'] end) end)}} as v
+                from (select conv_id, i, s, v, unnest([0, 1, 2]) as k from v)) y join f on f.conv_id is not distinct from y.conv_id and f.i = y.i + 1)
+            where e = 'D' or (fault not in ('blank', 'duplicate') and (e = 'R' or (z = 1 and s = 0) or (z > 1 and z = nx)))) group by 1, 2, 3),
+        w as (select conv_id, min({{'c': v.c + 5 * k, 'a': v.a || repeat('I', k), 't': v.t || (case k when 0 then []::varchar[] when 1 then ['assistant:'] else ['user:', 'assistant:'] end)}}) as v
+          from (select v.*, case s when 1 then 2 when 2 then 1 else 0 end as k from v join n on n.conv_id is not distinct from v.conv_id and n.n = v.i) group by 1)
+        select d.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(w.v.c, 0) as cost,
+          coalesce(w.v.a, '') as audit, sha256(coalesce(array_to_string(w.v.t, chr(10)), '')) as repaired_sha256
+        from (select distinct conv_id from conversations) d left join n on n.conv_id is not distinct from d.conv_id left join j on j.conv_id is not distinct from d.conv_id left join w on w.conv_id is not distinct from d.conv_id""",
 }
