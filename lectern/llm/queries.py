@@ -13,6 +13,7 @@ from lectern.llm.fmindex import op10_fm_index_decontamination
 from lectern.llm.huffman import op9_token_id_output
 from lectern.llm.jaccard import op8_ngram_jaccard_join
 from lectern.llm.licenses import op7_license_rules
+from lectern.llm.minhash import op12_minhash_tensored
 from lectern.llm.mixing import op6_hypergeometric_mix
 from lectern.llm.quality import op4_crf_quality
 from lectern.llm.separators import op3_separator_scan
@@ -38,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_id_output": op9_token_id_output,
     "op10_fm_index_decontamination": op10_fm_index_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_minhash_tensored": op12_minhash_tensored,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
@@ -78,6 +80,16 @@ ORACLE_SQL = {
         p as (select *, array_to_string(u[1:lo], '') as x, array_to_string(u[lo + 1:hi], '') as y, array_to_string(u[hi + 1:], '') as z from f)
         select doc_id, n, form, case when form <> 'plain' then length(x) end as prefix_chars, case when form <> 'plain' then length(y) end as middle_chars,
                sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256, sha256(t) as restored_sha256 from p""",
+    "op12_minhash_tensored": rf"""
+        with recursive w as (select doc_id, regexp_extract_all({_LOW}, '{_BLANK}') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+              else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as g from w),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+        r(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from r join e on r.b = e.a)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, d.doc_id = m.c as kept
+        from documents d left join n using (doc_id) join (select a, min(b) as c from r group by a) m on m.a = d.doc_id""",
     "op13_conversation_repair": rf"""
         with recursive b as (select list(list_reduce([i::ubigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384::ubigint) else a >> 1 end) order by i) as t from range(256) r(i)),
         g as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
