@@ -66,37 +66,31 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:
-    """Distinct rows with how many there are of each, the fault of the first, ranged and sorted by conversation, turn (null first), role, text."""
+    """Rows with two hashes of role and text and the faults that a row has by itself, ranged and sorted by conversation, turn (null first), role, text."""
     blank = F.lit(" ")
     name = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
     rows = conversations.select(name.alias("name"), F.col("turn").isNotNull().alias("timed"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
-    rows = rows.groupBy("name", "timed", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
-    said = rows.groupBy("name", "role", "text").agg(F.min(F.struct("timed", "turn")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    rows = rows.join(said, ["name", "role", "text"], "left")
-    again = F.coalesce(F.struct("timed", "turn") != F.col("first"), F.lit(False))
-    fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), 1).when(again, 2).when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), 3).otherwise(0)
+    fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), 1).when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), 3).otherwise(0)
+    rows = rows.select("*", *_marks(F.col("role"), F.col("text")), fault.cast("int").alias("fault"))
     # beginnings of role and text part what shares a turn, in the order of the whole; the driver samples these keys
     within = (F.substring("role", 1, 64), F.when(F.length("role") <= 64, F.substring("text", 1, 64)).otherwise(""))
-    rows = rows.select("name", "timed", "turn", "role", "text", "n", fault.cast("int").alias("fault"))
     return rows.repartitionByRange("name", "timed", "turn", *within).sortWithinPartitions("name", "timed", "turn", "role", "text")
 
 
+def _marks(role: Column, text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(role, text).alias("h1"), F.xxhash64(text, role, F.lit(13)).alias("h2")
+
+
 def _piece(name: str, part: int, number: int, rows: list[tuple]) -> tuple:
-    """A row of PIECES from rows (timed, turn, role, text, n, fault)."""
+    """A row of PIECES from rows (timed, turn, role, text, fault)."""
     state = np.array(["sua".find(r[2][:1]) + 1 if r[2] else 0 for r in rows], np.uint8)
-    fault = np.array([r[5] for r in rows], np.uint8)
-    times = np.array([r[4] for r in rows], np.int64)
-    at = np.repeat(np.arange(len(rows)), times)
-    again = np.concatenate([[False], at[1:] == at[:-1]])
-    faults = np.where(again & (fault[at] != 1), 2, fault[at]).astype(np.uint8)
-    codes = state[at] | (faults << 2)
-    s = state[at]
+    fault = np.array([r[4] for r in rows], np.uint8)
     turns = [r[1] for r in rows if r[0]]
-    spoken = [r for r in rows if r[5] in (0, 3)]
+    spoken = [r for r in rows if r[4] in (0, 3)]
     return (
-        name, part, number, codes.tobytes(), [r[2] for r in spoken], [r[3] for r in spoken],
+        name, part, number, (state | (fault << 2)).tobytes(), [r[2] for r in spoken], [r[3] for r in spoken],
         turns[0] if turns else None, turns[-1] if turns else None, len(set(turns)),
-        int((faults == 1).sum()), int((faults == 2).sum()), int((faults == 3).sum()), _illegal(s),
+        int((fault == 1).sum()), int((fault == 2).sum()), int((fault == 3).sum()), _illegal(state),
     )
 
 
@@ -112,24 +106,23 @@ def _frame(pieces: list[tuple]) -> pd.DataFrame:
 
 
 def _cutter(piece_rows: int, piece_bytes: int):
-    """Cuts sorted rows into pieces, as they stream through a task."""
+    """Cuts sorted rows into pieces, as they stream through a task, and tells duplicates among a conversation's rows in the task."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number, held, size, volume, name = TaskContext.get().partitionId(), 0, [], 0, 0, None
+        part, number, held, volume, name, seen = TaskContext.get().partitionId(), 0, [], 0, None, set()
         for batch in batches:
             made = []
-            for own, *row in batch.itertuples(index=False, name=None):
-                # rows that are equal are dealt to pieces as one row is: n of them, at most piece_rows at once
-                rest, fault = row[4], row[5]
-                while rest:
-                    some = min(rest, piece_rows)
-                    if held and (own != name or size + some > piece_rows or volume + len(row[3]) > piece_bytes):
-                        made.append(_piece(name, part, number, held))
-                        number, held = number + 1, []
-                    if not held:
-                        size, volume, name = 0, 0, own
-                    held.append((*row[:4], some, fault))
-                    size, volume, rest, fault = size + some, volume + len(row[3]), rest - some, fault if fault == 1 else 2
+            for own, timed, turn, role, text, h1, h2, fault in batch.itertuples(index=False, name=None):
+                if held and (own != name or len(held) >= piece_rows or volume + len(text) > piece_bytes):
+                    made.append(_piece(name, part, number, held))
+                    number, held, volume = number + 1, [], 0
+                if own != name:
+                    name, seen = own, set()
+                if fault != 1 and (h1, h2) in seen:
+                    fault = 2
+                seen.add((h1, h2))
+                held.append((timed, turn, role, text, fault))
+                volume += len(text)
             yield _frame(made)
         if held:
             yield _frame([_piece(name, part, number, held)])
@@ -137,10 +130,33 @@ def _cutter(piece_rows: int, piece_bytes: int):
     return cut
 
 
+def _again_elsewhere(long: DataFrame) -> DataFrame:
+    """``long`` pieces, with rows that an earlier part of their conversation has marked as duplicates, too: a part knows its own only."""
+    key = ("name", "part", "number")
+    said = long.select(*key, F.posexplode(F.arrays_zip("roles", "texts")).alias("place", "r")).select(*key, "place", *_marks(F.col("r.roles"), F.col("r.texts")))
+    first = said.groupBy("name", "h1", "h2").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first < last").drop("last")
+    places = said.join(first, ["name", "h1", "h2"]).filter("part > first").groupBy(*key).agg(F.collect_list("place").alias("again"))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                codes, again = np.frombuffer(r.codes, np.uint8).copy(), np.array(r.again if r.again is not None else [], np.int64)
+                spoken = np.flatnonzero(~np.isin(codes >> 2, (1, 2)))
+                cut = int((codes[spoken[again]] >> 2 == 3).sum())
+                codes[spoken[again]] = (codes[spoken[again]] & 3) | 8
+                stay = np.setdiff1d(np.arange(len(spoken)), again)
+                rows.append((r.name, r.part, r.number, codes.tobytes(), [r.roles[k] for k in stay], [r.texts[k] for k in stay], int(r.first_turn) if r.first_turn else None, int(r.last_turn) if r.last_turn else None, r.n_turns, r.blank, r.duplicate + len(again), r.truncated - cut, r.illegal))
+            yield _frame(rows)
+
+    turns = {c: F.col(c).cast("string") for c in ("first_turn", "last_turn")}  # text keeps nulls and large numbers apart in pandas
+    return long.join(places, [*key], "left").withColumns(turns).mapInPandas(mark, PIECES)
+
+
 def pieces_of(conversations: DataFrame, piece_rows: int = PIECE_ROWS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Pieces of all conversations (see PIECES); those of a conversation come in order of part and number."""
     small_batches(conversations.sparkSession)
-    rows = _ordered(conversations).select("name", "timed", "turn", "role", "text", "n", "fault")
+    rows = _ordered(conversations)
     return written(rows.mapInPandas(_cutter(piece_rows, piece_bytes), PIECES), "conversation-pieces")
 
 
@@ -276,7 +292,7 @@ def repaired(conversations: DataFrame, piece_rows: int = PIECE_ROWS, piece_bytes
     """
     pieces = pieces_of(conversations, piece_rows, piece_bytes)
     many = written(pieces.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"), "long-conversations")
-    long = pieces.join(many, "name", "left_semi")
+    long = written(_again_elsewhere(pieces.join(many, "name", "left_semi")), "long-pieces")
     key = ("name", "part", "number")
     costs = long.select(*key, "codes").mapInPandas(_matrices, "name string, part int, number int, matrix array<long>")
     after = written(costs.groupBy("name").applyInPandas(_folded_back, "name string, part int, number int, after array<long>"), "costs-after")
@@ -297,7 +313,7 @@ def repaired(conversations: DataFrame, piece_rows: int = PIECE_ROWS, piece_bytes
             out["lines"] = [_lines(*x) for x in zip(audits, codes, batch["roles"], batch["texts"], entry.tolist(), strict=True)]
             yield out
 
-    turns = [F.col(c).cast("string").alias(c) if c in ("first_turn", "last_turn") else F.col(c) for c in fields]  # text keeps nulls and large numbers apart in pandas
+    turns = [F.col(c).cast("string").alias(c) if c in ("first_turn", "last_turn") else F.col(c) for c in fields]
     rows = rows.select(*turns, "codes", "roles", "texts", "after", "entry")
     schema = "name string, part int, number int, whole boolean, first_turn string, last_turn string, n_turns long, blank long, duplicate long, truncated long, illegal long, head int, tail int, cost long, audit string, lines " + LINES
     out = rows.mapInPandas(edit, schema)

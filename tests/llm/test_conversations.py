@@ -98,15 +98,19 @@ def test_pieces_of_any_size_give_the_cheapest_edits(spark, piece_rows, piece_byt
     assert got == want
 
 
-def test_a_long_conversation_of_many_pieces(spark):
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_a_long_conversation_of_many_pieces(spark, coalesced):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
     rows = [(7, i, random.Random(i).choice(["user", "assistant"]), f"t{i % 900}.") for i in range(3000)] + [(8, None, "user", "same.")] * 900
     want = plain([(*r[:3], r[3]) for r in rows], {7, 8})
     pieces = conversations.repaired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 64)
+    assert (pieces.filter("name = '=7'").select("part").distinct().count() > 1) == (coalesced == "false")
     assert pieces.filter("name = '=7'").count() > 40 and pieces.filter("name = '=8'").count() > 10
     got = {int(r["name"][1:]): tuple(r[c] for c in COLUMNS) for r in conversations.digests(pieces).collect()}
     assert got == want
     lines = [(r["role"], r["text"]) for r in conversations.turns(pieces).filter("name = '=7'").orderBy("part", "number", "place").collect()]
     assert hashlib.sha256("\n".join(f"{a}:{b}" for a, b in lines).encode()).hexdigest() == want[7][-1]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def test_no_rows(spark):
