@@ -1,4 +1,4 @@
-"""Vectors as arrays of float: products, exact neighbours by blocks, and linkage."""
+"""Vectors as arrays of float: products, pairs by tiles, exact neighbours by blocks."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 BLOCK_ROWS = 2048
 #: Centres of near vectors at most: the driver holds them, and each task.
 MOST_CENTRES = 2048
+#: Pairs of blocks up to which they are sent to every task.
+SENT_LINKS = 100_000
 #: Queries that go to every task at once, and vectors that meet them at once there.
 QUERIES_AT_ONCE, VECTORS_AT_ONCE = 4096, 512
 
@@ -76,9 +78,10 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector:
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("home", block("v"))
     parts = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
     spark = vectors.sparkSession
-    links = spark.createDataFrame([(i, j) for i, some in enumerate(meets) for j in some], "home int, other int")
+    links = spark.createDataFrame(list(enumerate(meets)), "home int, others array<int>").repartition(max(1, len(meets) // 64)).select("home", F.explode("others").alias("other"))
     links = links.join(parts, "home").join(parts.select(F.col("home").alias("other"), F.col("parts").alias("other_parts")), "other")
-    rows = rows.join(F.broadcast(links), "home").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))  # at most MOST_CENTRES squared small rows
+    few = sum(map(len, meets)) <= SENT_LINKS
+    rows = rows.join(F.broadcast(links) if few else links, "home").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
     mine, theirs = F.struct(F.col("home").alias("b"), F.col("part").alias("p")), F.struct(F.col("other").alias("b"), F.col("other_part").alias("p"))
     tiles = rows.select("id", "v", mine.alias("block"), F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"))
@@ -108,19 +111,6 @@ def _best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.take_along_axis(ids, keep, 1), np.take_along_axis(scores, keep, 1)
 
 
-def nearest_within(queries: DataFrame, vectors: DataFrame, k: int, group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """As ``nearest``, but each query, of a stated set, sees only the vectors of its ``group``; they meet by it, the queries broadcast in blocks."""
-    total, out = queries.count(), None
-    parts = max(1, -(-total // QUERIES_AT_ONCE))
-    for part in range(parts):
-        some = queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part) if parts > 1 else queries
-        q = F.broadcast(some.select(F.col(key).alias("query"), F.col(vector).alias("_q"), group))  # at most QUERIES_AT_ONCE
-        rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("_v"), group).join(q, group).select("query", "id", F.round(dot(F.col("_q"), F.col("_v")), 12).alias("cosine"))
-        out = rows if out is None else out.unionByName(rows)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", queries_at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """For each query the ``k`` vectors of highest product, ties by key: (query, id, cosine, rank).
 
@@ -157,26 +147,3 @@ def voted(neighbours: DataFrame, labels: DataFrame, least: float = 0.5) -> DataF
     total = by.groupBy("query").agg(F.sum("votes").alias("all"), F.max(F.struct("votes", (-F.col("label")).alias("m")))["m"].alias("m"), F.max("votes").alias("votes"))
     share = F.col("votes") / F.col("all")
     return total.select("query", F.when(share >= least, -F.col("m")).alias("label"), F.round(share, 4).alias("share"))
-
-
-def complete_linkage(edges: DataFrame, component: str = "component", most: int = 8) -> DataFrame:
-    """Groups in which every pair is an edge, strongest edges first, at most ``most`` members: (member, group).
-
-    ``edges`` (component, a, b, weight) holds a connected component's edges together; ties go to lower a, then b.
-    A group's name is its least member.
-    """
-
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["weight", "a", "b"], ascending=[False, True, True])
-        joined = set(zip(part["a"], part["b"], strict=True))
-        team = {m: frozenset([m]) for m in {*part["a"], *part["b"]}}
-        for a, b in zip(part["a"], part["b"], strict=True):
-            x, y = team[a], team[b]
-            if x is y or len(x) + len(y) > most:
-                continue
-            if all((min(p, q), max(p, q)) in joined for p in x for q in y):
-                both = x | y
-                team.update(dict.fromkeys(both, both))
-        return pd.DataFrame([(m, min(t)) for m, t in team.items()], columns=["member", "group"])
-
-    return edges.groupBy(component).applyInPandas(link, "member long, group long")

@@ -152,6 +152,6 @@ def due(rows: DataFrame, at: str, as_of: Column, limit: int = 50, *ties: str) ->
 
 
 def page(rows: DataFrame, order: list[Column | str], offset: int, limit: int) -> DataFrame:
-    """One page in a total order, with how many rows there are in all."""
+    """One page in a total order, with how many rows there are in all; a page past the end is one row with the total alone."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return rows.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))
+    return total.join(rows.orderBy(*order).offset(offset).limit(limit), F.lit(True), "left").select(*rows.columns, "total")

@@ -147,12 +147,14 @@ def activity(ev: DataFrame) -> DataFrame:
 
 
 def retrieval_metrics(ranked: DataFrame, k: int = 5) -> DataFrame:
-    """MRR and hit rate at ``k`` of (query_id, rank, relevant): one row. A query without a relevant row counts as a miss."""
-    first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
+    """MRR, and hit rate and recall at ``k``, of (query_id, rank, relevant): one row. A query without a relevant row counts as a miss."""
+    hits = F.count_if(F.col("relevant") & (F.col("rank") <= k)) / F.nullif(F.count_if("relevant"), F.lit(0))
+    first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"), F.coalesce(hits, F.lit(0.0)).alias("recall"))
     return first.agg(
         F.count(F.lit(1)).alias("queries"),
         F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
         F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias("hit_at_k"),
+        F.round(F.avg("recall"), 6).alias("recall_at_k"),
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.relational import written
+
 #: Cosines above which two questions are the same, the same with an equal answer, of one concept; of look-alikes and variants.
 SAME, SAME_ANSWER, SAME_CONCEPT, LOOK_ALIKE, VARIANT, REWORDED = 0.90, 0.80, 0.88, 0.82, 0.80, 0.89
 #: Fixed values: (groups of so many questions at most, the cosine they need); the cosine and option overlap of a conflict.
@@ -85,3 +87,38 @@ def mistake(cosine: Column, selected: Column, correct: Column, is_correct: Colum
     bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[\d.,%/:+\-−×]+", " "), r"\s+", " "))
     alike = ~generic(selected) & ~generic(correct) & (bare(selected) != bare(correct)) & (cosine >= least)
     return F.when(is_correct, F.lit(None).cast("string")).when(F.coalesce(alike, F.lit(False)), "confusion").when(confidence == "sure", "misconception").otherwise("gap")
+
+
+def complete_linkage(edges: DataFrame, most: int = 8) -> DataFrame:
+    """Groups in which every pair is an edge, strongest edges first, at most ``most`` members: (member, group).
+
+    ``edges`` (a, b, weight) hold each pair once, a < b; ties go to lower a, then b; a group's name is its least member.
+    In rounds: two groups can merge if all their pairs are edges and their size allows it, and they do when the
+    strongest edge between them is the strongest of either. Merging never makes an edge between groups stronger, so the
+    result is that of taking one edge after another. A round joins and aggregates; no component is gathered anywhere.
+    """
+    order = F.struct("weight", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb")).alias("top")
+    start = edges.filter(F.col("a") < F.col("b"))
+    members = written(start.select(F.explode(F.array("a", "b")).alias("member")).distinct().withColumn("group", F.col("member")), "linkage-groups")
+    pairs = start.select(F.col("a").alias("g"), F.col("b").alias("h"), order, F.lit(1).alias("n"), F.lit(1).alias("n_g"), F.lit(1).alias("n_h"))
+    pairs = written(pairs.filter(F.lit(most) >= 2), "linkage-pairs")
+    while not pairs.isEmpty():
+        ends = pairs.select(F.col("g").alias("v"), "top").unionByName(pairs.select(F.col("h").alias("v"), "top"))
+        best = ends.groupBy("v").agg(F.max("top").alias("best"))
+        mutual = pairs.join(best.select(F.col("v").alias("g"), F.col("best").alias("best_g")), "g").join(best.select(F.col("v").alias("h"), F.col("best").alias("best_h")), "h")
+        merges = mutual.filter((F.col("top") == F.col("best_g")) & (F.col("top") == F.col("best_h"))).select("g", "h", (F.col("n_g") + F.col("n_h")).alias("size"))
+        renamed = merges.select(F.col("g").alias("old"), F.col("g").alias("new"), "size").unionByName(merges.select(F.col("h").alias("old"), F.col("g").alias("new"), "size"))
+        renamed = written(renamed, "linkage-merges")
+        members = members.join(renamed.select(F.col("old").alias("group"), "new"), "group", "left").select("member", F.coalesce("new", "group").alias("group"))
+        members = written(members, "linkage-groups")
+        for side in ("g", "h"):
+            to = renamed.select(F.col("old").alias(side), F.col("new").alias(f"new_{side}"), F.col("size").alias(f"size_{side}"))
+            pairs = pairs.join(to, side, "left").withColumns({f"new_{side}": F.coalesce(f"new_{side}", side), f"n_{side}": F.coalesce(f"size_{side}", f"n_{side}")})
+        turned = F.col("new_g") > F.col("new_h")
+        pairs = pairs.filter("new_g <> new_h").select(
+            F.least("new_g", "new_h").alias("g"), F.greatest("new_g", "new_h").alias("h"), "top", "n",
+            F.when(turned, F.col("n_h")).otherwise(F.col("n_g")).alias("n_g"), F.when(turned, F.col("n_g")).otherwise(F.col("n_h")).alias("n_h"),
+        )
+        pairs = pairs.groupBy("g", "h").agg(F.max("top").alias("top"), F.sum("n").cast("int").alias("n"), F.max("n_g").alias("n_g"), F.max("n_h").alias("n_h"))
+        pairs = written(pairs.filter((F.col("n") == F.col("n_g") * F.col("n_h")) & (F.col("n_g") + F.col("n_h") <= most)), "linkage-pairs")
+    return members

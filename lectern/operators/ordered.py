@@ -65,9 +65,21 @@ def round_robin(df: DataFrame, group: str, order: list[Column | str], n: int) ->
 
 
 def fair_split(buckets: DataFrame, n: int) -> DataFrame:
-    """``n`` shared out among (bucket, available), one at a time in turn: bucket, given."""
-    seats = buckets.select("bucket", "available", F.explode(F.sequence(F.lit(1), F.greatest(F.least("available", F.lit(n)), F.lit(1)))).alias("turn")).filter("turn <= available")
-    return seats.orderBy("turn", "bucket").limit(n).groupBy("bucket").agg(F.count(F.lit(1)).alias("given"))
+    """``n`` shared out among (bucket, available), one at a time in turn by name: bucket, given. Buckets that get nothing are left out.
+
+    Without a row for each seat: sums over the distinct capacities (``n`` at most) give the level to which all buckets
+    are filled, and the first buckets by name that have more take what is left.
+    """
+    caps = buckets.select("bucket", F.least(F.greatest(F.coalesce("available", F.lit(0)), F.lit(0)), F.lit(n)).cast("long").alias("c"))
+    w = Window.orderBy("c")
+    steps = caps.groupBy("c").agg(F.count(F.lit(1)).alias("m")).withColumn("below", F.sum(F.col("c") * F.col("m")).over(w)).withColumn("above", F.sum("m").over(Window.partitionBy()) - F.sum("m").over(w))
+    full = steps.withColumn("filled", F.col("below") + F.col("above") * F.col("c"))
+    row = full.filter(F.col("filled") <= n).orderBy(F.desc("c")).first()
+    level, spare, above = (row["c"], n - row["filled"], row["above"]) if row else (0, n, caps.count())
+    level, more = (level + spare // above, spare % above) if above else (level, 0)
+    extra = caps.filter(F.col("c") > level).orderBy("bucket").limit(more).select("bucket", F.lit(1).alias("extra"))
+    given = F.least(F.col("c"), F.lit(level)) + F.coalesce("extra", F.lit(0))
+    return caps.join(extra, "bucket", "left").select("bucket", given.alias("given")).filter("given > 0")
 
 
 def diverse(ranked: DataFrame, n: int, margin: float = 4.0, cap: int = 2, floor: float = -7.0) -> DataFrame:

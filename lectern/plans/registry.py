@@ -28,6 +28,10 @@ FORECAST_SQL = (
 )
 
 
+#: SQL of the text that ``files.natural_key`` hashes.
+NATURAL_SQL = r"trim(regexp_replace(lower(coalesce(text, '')), '[\s\x0B\x1C-\x1F\x{85}\pZ]+', ' ', 'g'))"
+
+
 def query(sql: str | None = None):
     """Register a function under its name, with SQL where it has an equivalent."""
 

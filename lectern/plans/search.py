@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import vectors as V
 from lectern.operators import analytics as A
+from lectern.operators import cells as N
 from lectern.operators import linkage as L
 from lectern.operators import ordered as O
+from lectern.operators import relational as R
 from lectern.operators import retrieval as H
 from lectern.plans.registry import query
 from lectern.sources.tables import table
@@ -101,12 +105,14 @@ def context_figures(spark, d):
 # Vectors
 
 
-@query(f"""with q as (select * from embeddings where vec_id % 50 = 0), n as (select b.vec_id as query, a.vec_id as id, round({_DOT}, 4) as cosine, row_number() over (partition by b.vec_id order by round({_DOT}, 12) desc, a.vec_id) as rank from embeddings a, q b where a.label = b.label and a.vec_id % 3 > 0)
+@query(f"""with q as (select * from embeddings where vec_id % 20 = 0), n as (select b.vec_id as query, a.vec_id as id, round({_DOT}, 4) as cosine, row_number() over (partition by b.vec_id order by round({_DOT}, 12) desc, a.vec_id) as rank from embeddings a, q b where a.label = b.label and a.vec_id % 3 > 0)
   select query, id, cosine, rank from n where rank <= 5""")
 def filtered_vector_search(spark, d):
     """The five nearest child passages of the query's own chapter, for a stated set of queries."""
     e = table(spark, d, "embeddings")
-    return V.nearest_within(e.filter("vec_id % 50 = 0"), e.filter("vec_id % 3 > 0"), 5, "label").select("query", "id", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+    cells = N.write_cells(e.filter("vec_id % 3 > 0"), f"{R.scratch(spark)}/cells-{uuid.uuid4().hex}", group="label")
+    found = N.nearest_in_cells(cells, e.filter("vec_id % 20 = 0"), 5, group="label").rows
+    return found.select("query", "id", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""with {_PAIRS} select a, b, round(cosine, 4) as cosine from p where cosine > 0.45 or (cosine > 0.38 and la = lb)""")
@@ -148,10 +154,11 @@ def variant_questions(spark, d):
     return L.variants(cards.select(F.col("vec_id").alias("card")), same, near, 0.3)
 
 
-@query(f"""select a.vec_id as query, b.vec_id as id, round({_DOT}, 4) as cosine from embeddings a join embeddings b on a.vec_id % 100 = 0 qualify row_number() over (partition by a.vec_id order by round({_DOT}, 12) desc, b.vec_id) <= 40""")
+@query(f"""select a.vec_id as query, b.vec_id as id, round({_DOT}, 4) as cosine from embeddings a join embeddings b on a.vec_id % 20 = 0 qualify row_number() over (partition by a.vec_id order by round({_DOT}, 12) desc, b.vec_id) <= 40""")
 def similar_existing(spark, d):
     e = table(spark, d, "embeddings")
-    return V.nearest(e.filter("vec_id % 100 = 0"), e, 40).select("query", "id", F.round("cosine", 4).alias("cosine"))
+    cells = N.write_cells(e, f"{R.scratch(spark)}/cells-{uuid.uuid4().hex}")
+    return N.nearest_in_cells(cells, e.filter("vec_id % 20 = 0"), 40).rows.select("query", "id", F.round("cosine", 4).alias("cosine"))
 
 
 @query(f"""with {_PAIRS}, o as (select a, b, cosine, case when a % 9 = 0 then 'All of them' else 'dose ' || a || ' mg' end as x, case when b % 4 = 0 then 'dose ' || b || ' mg' else 'drug ' || b end as y from p)

@@ -15,7 +15,7 @@ from lectern.operators import analytics as A
 from lectern.operators import ordered as O
 from lectern.operators import relational as R
 from lectern.plans.registry import EV_SQL as _EV
-from lectern.plans.registry import ev, query
+from lectern.plans.registry import NATURAL_SQL, ev, query
 from lectern.sources.tables import table
 
 BANK_SQL = """bank as (select p_partkey as id, p_name as stem, p_brand as sub_category,
@@ -248,14 +248,15 @@ def job_grid(spark, d):
     return R.job_grid(spark, level=[1, 2, 3], subject=["Anatomy", "Pathology"], topic=["a", "b"]).withColumn("level", F.col("level").cast("int"))
 
 
-@query("""with n as (select doc_id, case when doc_id % 3 = 0 then 'ref' || doc_id end as ref, 'sha1:' || sha1(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) as h from documents),
-  a as (select doc_id, coalesce(ref, h) as key from n where doc_id % 2 = 0), b as (select doc_id as other, coalesce(ref, h) as key from n) select doc_id, other from a join b using (key) where doc_id <> other""")
+@query(f"""with n as (select doc_id, coalesce(case when doc_id % 3 = 0 then 'ref' || doc_id end, 'sha1:' || sha1({NATURAL_SQL})) as key from documents)
+  select doc_id, min(doc_id) over (partition by key) as first, count(*) over (partition by key) as n from n""")
 def natural_key_join(spark, d):
+    """Each document with the class of its natural key: the least document of it, and how many there are."""
     from lectern.sources import files
 
     n = table(spark, d, "documents").withColumn("ref", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ref"), F.col("doc_id").cast("string"))))
     n = n.select("doc_id", files.natural_key("ref", "text").alias("key"))
-    return n.filter("doc_id % 2 = 0").join(n.withColumnRenamed("doc_id", "other"), "key").filter("doc_id <> other").select("doc_id", "other")
+    return n.join(n.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "key").select("doc_id", "first", "n")
 
 
 @query("""select l_orderkey, l_linenumber, p_name, p_brand from lineitem left join part on p_partkey = l_partkey where l_quantity >= 49""")

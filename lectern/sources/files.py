@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lectern.functions.text import alnum
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -67,9 +66,14 @@ def card_lines(cards: DataFrame) -> DataFrame:
     return cards.select(F.concat_ws("\t", escaped("front"), F.concat_ws("<br><br>", escaped("back"), escaped("note")), F.replace("tag", F.lit(" "), F.lit("_"))).alias("value"))
 
 
+#: White space of any script.
+SPACES = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+
+
 def natural_key(ref: str = "source_ref", stem: str = "stem") -> Column:
-    """The row's reference, else a hash of its normalised stem."""
-    return F.coalesce(F.col(ref), F.concat(F.lit("sha1:"), F.sha1(alnum(F.col(stem)))))
+    """The row's reference, else a hash of its stem in lower case with runs of white space as one blank; marks stay. An empty reference is none, a null stem empty."""
+    flat = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.col(stem), F.lit(""))), SPACES, " "), "^ | $", "")
+    return F.coalesce(F.nullif(F.col(ref), F.lit("")), F.concat(F.lit("sha1:"), F.sha1(F.encode(flat, "UTF-8"))))
 
 
 def imported(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

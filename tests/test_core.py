@@ -10,6 +10,7 @@ import pytest
 from lectern.functions import text as T
 from lectern.functions import vectors as V
 from lectern.operators import books as B
+from lectern.operators import linkage as L
 from lectern.operators import ordered as O
 from lectern.operators import relational as R
 from lectern.plans import ORACLE_SQL, QUERIES
@@ -46,8 +47,8 @@ def test_query_has_rows(spark, name):
 
 
 def test_complete_linkage_does_not_chain(spark):
-    edges = spark.createDataFrame([(0, 1, 2, 0.9), (0, 2, 3, 0.8)], "component int, a long, b long, weight double")
-    assert {tuple(r) for r in V.complete_linkage(edges).collect()} == {(1, 1), (2, 1), (3, 3)}
+    edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8)], "a long, b long, weight double")
+    assert {tuple(r) for r in L.complete_linkage(edges).collect()} == {(1, 1), (2, 1), (3, 3)}
 
 
 def brute_linkage(rows, least, most=8):
