@@ -51,20 +51,6 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def key_cuts(df: DataFrame, key: str, rows_per_range: int, most: int = 20_000) -> list[int]:
-    """Ascending cut points that deal the values of the long column ``key`` into ranges of about ``rows_per_range``.
-
-    At most ``most`` ranges; what reads a range must therefore stream it. Empty for an empty table.
-    """
-    n = df.count()
-    ranges = min(most, -(-n // rows_per_range))
-    if ranges <= 1:
-        return []
-    shares = [i / ranges for i in range(1, ranges)]
-    got = df.agg(F.percentile_approx(F.col(key), shares, max(10_000, 20 * ranges)).alias("cuts")).first()["cuts"]
-    return sorted(set(got or []))
-
-
 def text_bytes(col: str = "text") -> Column:
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")
@@ -79,12 +65,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     """(doc_id, ``label``, text) to learn from: documents that aren't held out, in the order of a hash of their id.
 
     Of each label (0 and 1) at most ``most`` documents, as far as their texts have ``most_bytes`` together. A document
-    with several labels counts as 1; of rows that share a doc_id the least text counts; null texts are empty.
+    with several labels counts as 1; of rows that share a doc_id the least text counts; null texts are empty; a text
+    above ``most_bytes`` is passed over.
     """
     known = labels.filter(F.col(label).isin(0, 1)).filter(~is_held_out()).groupBy("doc_id").agg(F.max(label).alias(label))
     known = known.withColumn("_turn", F.xxhash64("doc_id"))
     first = [known.filter(F.col(label) == k).orderBy("_turn", "doc_id").limit(most) for k in (0, 1)]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
-    rows = rows.groupBy("doc_id", label, "_turn").agg(F.min("text").alias("text"))
+    rows = rows.groupBy("doc_id", label, "_turn").agg(F.min("text").alias("text")).filter(F.octet_length("text") <= most_bytes)
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy(label).orderBy("_turn", "doc_id"))
     return rows.withColumn("_bytes", so_far).filter(F.col("_bytes") <= most_bytes).select("doc_id", label, "text")

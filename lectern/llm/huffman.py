@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.llm import bits
-from lectern.llm.common import key_cuts, small_batches, table, written
+from lectern.llm.common import small_batches, table, written
 from lectern.llm.tokens import ROUND_BYTES, TextEncoder, vocabulary
 from lectern.llm.words import rounds
 
@@ -27,6 +29,8 @@ from lectern.llm.words import rounds
 STRIDE = 256
 #: Longest code in bits; a decoding table has 2 ** LIMIT entries.
 LIMIT = 18
+#: Bits of codes that a document may have: its offsets are 32-bit numbers.
+MOST_BITS = (1 << 31) - 1
 #: Bytes of codes after which a block is full; a longer document is a block of its own.
 BLOCK_BYTES = 256 * 1024
 #: Ids that one round of the coder takes, so that memory doesn't follow the batch.
@@ -120,6 +124,8 @@ class Coder:
         out = []
         for k, size in enumerate(sizes):
             lo = int(doc_end[k] - size)
+            if bits_of[k] > MOST_BITS:
+                raise ValueError("a document's codes exceed the 32 bits of an offset")
             out.append((packed[byte_at[k] : byte_at[k + 1]], (at[lo : lo + size : STRIDE] - byte_at[k] * 8).astype(np.int32)))
         return out
 
@@ -142,7 +148,10 @@ class Coder:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids, wide): each text's ids and the end id as little-endian bytes, 16-bit where the vocabulary allows."""
+    """(doc_id, ids, wide): each text's ids and the end id as little-endian bytes, 16-bit where the vocabulary allows.
+
+    Null texts are the end id alone, null ids stay null, rows that repeat each get a row.
+    """
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +207,40 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def encode_documents(ids: DataFrame, lengths: np.ndarray, cuts: list[int]) -> DataFrame:
-    """Each document's ids as codes; ``part`` is the range of its doc_id among ``cuts``."""
+class Parts(NamedTuple):
+    """How documents are dealt to parts, which ascend with doc_id: null ids first, then ids up to each of ``edges``, then the rest.
+
+    ``first`` is the number of each range's first part and ``spread`` how many parts it has: more than one only where
+    all of its rows share an id (or have none), so that their order is free.
+    """
+
+    edges: np.ndarray
+    first: np.ndarray
+    spread: np.ndarray
+
+
+def part_plan(ids: DataFrame, rows_per_part: int, most: int = 20_000) -> Parts:
+    """Parts of about ``rows_per_part`` rows, at most ``most`` ranges. An id that many rows share is a range of its own, dealt to as many parts as it fills."""
+    counts = ids.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    n, none = counts["n"], counts["none"]
+    ranges, cuts = min(most, -(-(n - none) // rows_per_part)), []
+    if ranges > 1:
+        shares = [i / ranges for i in range(1, ranges)]
+        cuts = ids.agg(F.percentile_approx(F.col("doc_id"), shares, max(10_000, 20 * ranges)).alias("cuts")).first()["cuts"] or []
+    values, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+    hot = values[times > 1]
+    edges = np.unique(np.concatenate([values, hot - 1]))
+    share = dict(zip(values.tolist(), times.tolist(), strict=True))
+    spread = np.array([max(1, -(-none // rows_per_part)), *[share[e] + 1 if share.get(e, 1) > 1 else 1 for e in edges.tolist()], 1], np.int64)
+    return Parts(edges, np.cumsum(spread) - spread, spread)
+
+
+def encode_documents(ids: DataFrame, lengths: np.ndarray, parts: Parts) -> DataFrame:
+    """Each document's ids as codes; ``part`` is where ``parts`` puts it. Rows that repeat each have their codes."""
     lengths_b = ids.sparkSession.sparkContext.broadcast(lengths)  # a byte an id of the vocabulary
-    edges = np.array(cuts, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(lengths_b.value)
+        coder, turn = Coder(lengths_b.value), TaskContext.get().partitionId()
         for batch in batches:
             for wide, some in _by_width(batch):
                 ids, sizes = _flat(some["ids"], wide)
@@ -215,8 +251,10 @@ def encode_documents(ids: DataFrame, lengths: np.ndarray, cuts: list[int]) -> Da
                     done = coder.encode(mine, n)
                     raw, ends = memoryview(mine.astype("<u4").tobytes()), 4 * np.cumsum(n)
                     keys = some["doc_id"][lo:hi]
-                    part = np.searchsorted(edges, np.asarray(keys.fill_null(0), np.int64))
-                    part[np.asarray(keys.is_null())] = 0
+                    span = np.searchsorted(parts.edges, np.asarray(keys.fill_null(0), np.int64)) + 1
+                    span[np.asarray(keys.is_null())] = 0
+                    part = parts.first[span] + (turn + np.arange(len(n))) % parts.spread[span]
+                    turn += len(n)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(part, pa.int32()),
@@ -269,7 +307,10 @@ def file_blocks(coded: DataFrame, partitions: int) -> DataFrame:
 
 
 def decode_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """A row for each document of the blocks, with its first id's place in the block and the crc32 of its decoded ids."""
+    """A row for each document of the blocks, with its first id's place in the block and the crc32 of its decoded ids.
+
+    Documents without an id and those that repeat are in the blocks as often as they were written.
+    """
     lengths_b = blocks.sparkSession.sparkContext.broadcast(lengths)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,8 +349,8 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, rows_pe
     path = path or vocabulary()
     ids = written(tokenized(docs, path, end_id), "ids")
     lengths = code_lengths(id_counts(ids))
-    cuts = key_cuts(ids, "doc_id", rows_per_part)
-    blocks = file_blocks(encode_documents(ids, lengths, cuts), len(cuts) + 1)
+    parts = part_plan(ids, rows_per_part)
+    blocks = file_blocks(encode_documents(ids, lengths, parts), int(parts.spread.sum()))
     return written(blocks, "token-ids", compression="none"), lengths
 
 
