@@ -89,10 +89,18 @@ def clinical_stems(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.clinical(F.col("text")).alias("clinical"))
 
 
-@query("select event_id, case event_id % 3 when 0 then 'DKA with aki ' || user_id || ' diabetic ketoacidosis acute kidney injury' when 1 then 'MOA of drug ' || user_id || ' mechanism of action' else 'topic ' || user_id end as query from events")
+#: An abbreviation that each pattern of the synonyms matches, to be asked in turn.
+_ABBREVIATIONS = [p.replace("\\b", "").replace("?", "").strip("()").upper() for p in T.SYNONYMS]
+_EDGE = r"[^\pL\pN_]"
+_FOUND = ", ".join(f"case when regexp_matches(q, '(?i)(?:^|{_EDGE}){p.replace(chr(92) + 'b', '')}(?:$|{_EDGE})') then '{w}' end" for p, w in T.SYNONYMS.items())
+
+
+@query(f"""with c as (select conv_id, turn, text || ' ' || ({_ABBREVIATIONS})[((conv_id + turn) % {len(_ABBREVIATIONS)})::int + 1] as q from conversations)
+  select conv_id, turn, array_to_string([q] || list_filter([{_FOUND}], lambda x: x is not null), ' ') as query from c""")
 def expanded_queries(spark, d):
-    q = F.when(F.col("event_id") % 3 == 0, "DKA with aki ").when(F.col("event_id") % 3 == 1, "MOA of drug ").otherwise("topic ")
-    return table(spark, d, "events").select("event_id", T.expanded(F.concat(q, F.col("user_id").cast("string")), T.SYNONYMS).alias("query"))
+    """Every turn as a query that ends in one of the known abbreviations."""
+    asked = F.get(F.array(*map(F.lit, _ABBREVIATIONS)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_ABBREVIATIONS))).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.expanded(F.concat("text", F.lit(" "), asked), T.SYNONYMS).alias("query"))
 
 
 def _ways() -> str:
@@ -126,22 +134,28 @@ def refusals(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.is_refusal(t).alias("refusal"))
 
 
-@query("select c_custkey, case when c_custkey % 3 = 0 then null else '978' || lpad((c_custkey * 7919 % 10000000000)::varchar, 10, '0') end as isbn from customer where c_custkey % 3 <> 0")
+@query(f"""with t as (select doc_id, 'ISBN-13: 978-' || lpad((doc_id * 7919 % 1000)::varchar, 3, '0') || '-1234567 (print) isbn 978' || lpad((doc_id * 7919 % 10000000000)::varchar, 10, '0') || ' or ISBN 12345 ' || coalesce(text, '') as t from documents),
+  x as (select doc_id, list_filter(list_transform(regexp_extract_all(upper(t), '{T.ISBN}', 1), lambda x: regexp_replace(x, '[^0-9X]', '', 'g')), lambda x: length(x) in (10, 13)) as x from t)
+  select doc_id, array_to_string(list_filter(x, lambda y, i: list_position(x, y) = i), ',') as isbn from x""")
 def isbns(spark, d):
-    digits = F.lpad((F.col("c_custkey") * 7919 % 10000000000).cast("string"), 10, "0")
-    text = F.concat(F.lit("First published 1999. ISBN-13: 978-"), F.left(digits, F.lit(3)), F.lit("-"), F.substring(digits, 4, F.lit(7)), F.lit(" (print) isbn 978"), digits, F.lit(" or ISBN 12345"))
-    rows = table(spark, d, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", T.isbns(text).alias("found"))
-    return rows.select("c_custkey", F.array_join("found", ",").alias("isbn"))
+    """ISBNs of every document behind an imprint."""
+    last = lambda n: F.lpad((F.col("doc_id") * 7919 % 10**n).cast("string"), n, "0")
+    text = F.concat(F.lit("ISBN-13: 978-"), last(3), F.lit("-1234567 (print) isbn 978"), last(10), F.lit(" or ISBN 12345 "), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.isbns(text), ",").alias("isbn"))
+
+
+_MARK = T.CITATION.replace("'", "''")
 
 
-@query(f"""with t as (select conv_id, turn, case turn % 3 when 0 then 'See [Book A, Page ' || turn || '] and [Book B, p. 7].' when 1 then '[book a,Page ' || turn || '] then text' else text end as text from conversations)
-  select conv_id, turn, case turn % 3 when 0 then case when turn <= 3 then 'See [Book A, Page ' || turn || '] and.' else 'See and.' end when 1 then case when turn <= 3 then '[book a,Page ' || turn || '] then text' else 'then text' end else text end as kept from t where turn % 3 < 2""")
+@query(f"""with t as (select conv_id, turn, 'See [Book A, Page ' || turn || '] and[Book B, p. 7]. ' || text || ' [book a,Page ' || (turn + 2) || '] [Book A, Page ' || turn || ']' as t from conversations),
+  m as (select *, list_filter(regexp_extract_all(t, '{_MARK}', 0), lambda x: not (lower(trim(regexp_extract(x, '{_MARK}', 1))) = 'book a' and regexp_extract(x, '{_MARK}', 2)::int <= 3)) as bad from t)
+  select conv_id, turn, trim(list_reduce([t] || list_reverse_sort(list_transform(bad, lambda x: lpad(length(x)::varchar, 6, '0') || x)), lambda s, x: replace(s, x[7:], ''))) as kept from m""")
 def checked_citations(spark, d):
-    """References of answers, of which only Book A up to page 3 is allowed."""
-    turn = F.col("turn").cast("string")
-    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("See [Book A, Page "), turn, F.lit("] and [Book B, p. 7]."))).otherwise(F.concat(F.lit("[book a,Page "), turn, F.lit("] then text")))
+    """Every turn with references before and behind it, of which only Book A up to page 3 is allowed."""
+    page = lambda n: (F.col("turn") + n).cast("string")
+    t = F.concat(F.lit("See [Book A, Page "), page(0), F.lit("] and[Book B, p. 7]. "), "text", F.lit(" [book a,Page "), page(2), F.lit("] [Book A, Page "), page(0), F.lit("]"))
     allowed = F.array(*[F.struct(F.lit("book a").alias("title"), F.lit(p).alias("page")) for p in range(4)])
-    return table(spark, d, "conversations").filter("turn % 3 < 2").select("conv_id", "turn", T.kept_citations(t, allowed).alias("kept"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.kept_citations(t, allowed).alias("kept"))
 
 
 @query("""with p as (select doc_id, n_chars % 3 = 0 as book, n_chars % 2 = 0 as cited, n_chars % 5 < 2 as more, case when doc_id % 2 = 0 then 'none' else 'textbook' end as said from documents)
@@ -247,13 +261,13 @@ def decorative_figures(spark, d):
     return table(spark, d, "orders").select("o_orderkey", B.decorative(F.col("o_custkey") % 900, F.col("o_orderkey") % 1300, F.col("o_totalprice") / 10).alias("decorative"))
 
 
-@query("""with x as (select l_suppkey as book, (l_orderkey * 7 % 60) * 10 as lo, (l_orderkey * 7 % 60) * 10 + l_quantity::int as hi from lineitem where l_linenumber <= 3),
+@query("""with x as (select l_suppkey as book, (l_orderkey * 7 % 60) * 10 as lo, (l_orderkey * 7 % 60) * 10 + l_quantity::int as hi from lineitem),
   m as (select *, coalesce(max(hi) over (partition by book order by lo, hi rows between unbounded preceding and 1 preceding), -1) as reach from x), i as (select *, sum(case when lo > reach then 1 else 0 end) over (partition by book order by lo, hi) as g from m),
   u as (select book, min(lo) as lo, max(hi) as hi from i group by book, g), s as (select s_suppkey as book, unnest(range(0, 600, 25)) as lo from supplier)
   select book, s.lo, s.lo + 25 as hi from s join u using (book) where u.lo <= s.lo and s.lo + 25 <= u.hi""")
 def resumed_slices(spark, d):
     lo = (F.col("l_orderkey") * 7 % 60) * 10
-    done = table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_suppkey").alias("book"), lo.alias("lo"), (lo + F.col("l_quantity").cast("int")).alias("hi"))
+    done = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("book"), lo.alias("lo"), (lo + F.col("l_quantity").cast("int")).alias("hi"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("book"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(575).cast("long"), F.lit(25).cast("long"))).alias("lo"))
     return B.covered_slices(s.withColumn("hi", F.col("lo") + 25), done)
 
@@ -302,11 +316,11 @@ def checked_metadata(spark, d):
     return table(spark, d, "customer").select("c_custkey", *[c.alias(n) for n, c in B.metadata_checks(1900 + F.col("c_custkey") % 200, F.col("c_custkey") % 90, isbn, seen).items()])
 
 
-@query("""select 'concept' as type, replace(text, chr(10), ' ') as content, source as book_title, n_chars::varchar as page_number, '' as created_at from documents where doc_id % 9 = 0
+@query("""select 'concept' as type, replace(text, chr(10), ' ') as content, source as book_title, n_chars::varchar as page_number, '' as created_at from documents
   union all select 'mcq', replace(text, chr(10), ' '), '', '', '' from benchmark""")
 def bookmarks_table(spark, d):
     none = F.lit(None).cast("timestamp")
-    concepts = table(spark, d, "documents").filter("doc_id % 9 = 0").select(F.col("text").alias("content"), F.col("source").alias("book_title"), F.col("n_chars").alias("page_number"), none.alias("created_at"))
+    concepts = table(spark, d, "documents").select(F.col("text").alias("content"), F.col("source").alias("book_title"), F.col("n_chars").alias("page_number"), none.alias("created_at"))
     return files.bookmarks_csv(concepts, table(spark, d, "benchmark").select(F.col("text").alias("content"), none.alias("created_at")))
 
 

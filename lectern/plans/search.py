@@ -85,12 +85,12 @@ def context_blocks(spark, d):
     return H.expanded_blocks(near.withColumn("joins", (F.abs("away") == 1) | (F.col("id") % 2 == 0))).select("query_id", "block", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
-@query("""with p as (select l_orderkey as query_id, l_suppkey as book, l_linenumber as page, l_partkey, case when l_partkey % 3 = 0 then 'as shown in Fig. ' || l_suppkey || '-' || l_linenumber || ' here' when l_partkey % 3 = 1 then 'Figure ' || l_suppkey || '.' || l_linenumber || ' A caption' else 'plain' end as text from lineitem where l_orderkey % 10 = 0),
+@query("""with p as (select l_orderkey as query_id, l_suppkey as book, l_linenumber as page, l_partkey, case when l_partkey % 3 = 0 then 'as shown in Fig. ' || l_suppkey || '-' || l_linenumber || ' here' when l_partkey % 3 = 1 then 'Figure ' || l_suppkey || '.' || l_linenumber || ' A caption' else 'plain' end as text from lineitem),
   f as (select distinct query_id, book, page, book * 100 + page as id, ((book * 31 + page * 17 + query_id) % 100) / 100.0::double as sim from p), m as (select distinct query_id, book, page from p where l_partkey % 3 = 0),
   q as (select f.query_id, id, round(sim, 3) as relevance, m.query_id is not null as mentioned, sim from f left join m using (query_id, book, page) where (book + page) % 5 > 0)
   select query_id, id, relevance, mentioned, place from (select *, row_number() over (partition by query_id order by mentioned desc, relevance desc, id) as place from q where sim >= 0.6 or (mentioned and sim >= 0.5)) where place <= 4""")
 def context_figures(spark, d):
-    l = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0")
+    l = table(spark, d, "lineitem")
     n = [F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")]
     text = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("as shown in Fig. "), n[0], F.lit("-"), n[1], F.lit(" here"))).when(F.col("l_partkey") % 3 == 1, F.concat(F.lit("Figure "), n[0], F.lit("."), n[1], F.lit(" A caption"))).otherwise("plain")
     pages = l.select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("book"), F.col("l_linenumber").alias("page"), text.alias("text"))

@@ -221,11 +221,11 @@ def tag_pairs(spark, d):
     return b.filter("status = 'ready'").select("id").join(s, "id").join(t, "id", "left").groupBy("subject", "topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {ANS_SQL}, {BANK_SQL}, a as (select id, bool_or(is_correct) as ok from ans where user_id % 10 = 3 group by 1),
+@query(f"""with {ANS_SQL}, {BANK_SQL}, a as (select id, bool_or(is_correct) as ok from ans group by 1),
   r as (select bank.id, sub_category, case when ok then 0 when a.id is null then 1 else 2 end as rank from bank left join a using (id) where status = 'ready')
   select sub_category, id, rank from (select *, row_number() over (partition by sub_category order by rank, md5('7:' || id), id) as n from r) where n <= 12""")
 def hardening_seeds(spark, d):
-    rows = P.with_answered(bank(spark, d).filter("status = 'ready'"), ans(spark, d).filter("user_id % 10 = 3").select("id", "is_correct"))
+    rows = P.with_answered(bank(spark, d).filter("status = 'ready'"), ans(spark, d).select("id", "is_correct"))
     rows = rows.withColumn("rank", P.answered_rank(F.col("ever_right")))
     n = F.row_number().over(Window.partitionBy("sub_category").orderBy("rank", O.hash_order("id"), "id"))
     return rows.withColumn("n", n).filter("n <= 12").select("sub_category", "id", "rank")
@@ -259,10 +259,10 @@ def natural_key_join(spark, d):
     return n.join(n.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "key").select("doc_id", "first", "n")
 
 
-@query("""select l_orderkey, l_linenumber, p_name, p_brand from lineitem left join part on p_partkey = l_partkey where l_quantity >= 49""")
+@query("""select l_orderkey, l_linenumber, p_name, p_brand from lineitem left join part on p_partkey = l_partkey""")
 def chunk_with_book(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
-    return table(spark, d, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_linenumber", "l_partkey").join(p, "l_partkey", "left").drop("l_partkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(p, "l_partkey", "left").drop("l_partkey")
 
 
 @query("""with w as (select c_custkey, row_number() over (order by md5('7:' || c_custkey), c_custkey) as ord from customer where c_acctbal > 8000) select c_custkey, c_name, ord from customer join w using (c_custkey)""")
@@ -410,12 +410,12 @@ def heading_scores(spark, d):
     return h.select("name", T.heading_score(F.col("name")).alias("score"))
 
 
-@query(f"""with {_EV}, t as (select subject, k, count(*) as n, count(*) filter (is_correct) as correct from ev where user_id % 25 = 1 group by 1, 2), b as (select distinct k // 10 as subject, k from ev),
+@query(f"""with {_EV}, t as (select subject, k, count(*) as n, count(*) filter (is_correct) as correct from ev group by 1, 2), b as (select distinct k // 10 as subject, k from ev),
   m as (select b.subject, b.k, coalesce(n, 0) as answered, round(100.0::double * correct / n, 1) as accuracy from b left join t using (subject, k))
   select subject, k, answered, case when answered between 1 and 3 then 0 when answered >= 4 and coalesce(accuracy, 0) < 75 then 1 when answered = 0 then 2 else 3 end as tier from m""")
 def topic_attention(spark, d):
     e = ev(spark, d)
-    t = e.filter("user_id % 25 = 1").groupBy("subject", "k").agg(F.count(F.lit(1)).alias("answered"), F.count_if("is_correct").alias("correct"))
+    t = e.groupBy("subject", "k").agg(F.count(F.lit(1)).alias("answered"), F.count_if("is_correct").alias("correct"))
     m = e.select("subject", "k").distinct().join(t, ["subject", "k"], "left").fillna(0, ["answered", "correct"])
     m = m.withColumn("accuracy", A.percent(F.col("correct"), F.col("answered")))
     return m.select("subject", "k", "answered", A.attention(m).alias("tier"))
@@ -501,12 +501,12 @@ def crowd_difficulty(spark, d):
     return table(spark, d, "customer").select("c_custkey", level(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") / 100)).alias("difficulty"))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, round(date_diff('second', o_orderdate, l_shipdate) / 60.0::double, 1) as minutes from lineitem join orders on o_orderkey = l_orderkey where l_quantity > 45")
+@query("select l_orderkey, l_linenumber, l_partkey, round(date_diff('second', o_orderdate, l_shipdate) / 60.0::double, 1) as minutes from lineitem join orders on o_orderkey = l_orderkey")
 def duration_minutes(spark, d):
     from lectern.functions.scheduling import minutes_between
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    l = table(spark, d, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").join(o, "l_orderkey")
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").join(o, "l_orderkey")
     return l.select("l_orderkey", "l_linenumber", "l_partkey", minutes_between(F.col("o_orderdate"), F.col("l_shipdate")).alias("minutes"))
 
 
@@ -610,9 +610,9 @@ def offline_queue(spark, d):
     return first.join(server, ["user_id", "event_type"], "left_anti").select("user_id", "event_type", "value")
 
 
-@query(f"""with {ANS_SQL}, {BANK_SQL}, a as (select distinct id from ans where user_id % 5 = 0) select sub_category, count(*) as n, count(a.id) as answered, round(100.0::double * count(a.id) / count(*), 1) as pct from bank left join a using (id) group by 1""")
+@query(f"""with {ANS_SQL}, {BANK_SQL}, a as (select distinct id from ans) select sub_category, count(*) as n, count(a.id) as answered, round(100.0::double * count(a.id) / count(*), 1) as pct from bank left join a using (id) group by 1""")
 def category_coverage(spark, d):
-    a = ans(spark, d).filter("user_id % 5 = 0").select("id", F.lit(1).alias("hit")).distinct()
+    a = ans(spark, d).select("id", F.lit(1).alias("hit")).distinct()
     by = bank(spark, d).join(a, "id", "left").groupBy("sub_category").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("answered"))
     return by.withColumn("pct", A.percent(F.col("answered"), F.col("n")))
 
