@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +27,26 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def trim() -> None:
+    """Give memory that Python has freed back to the system.
+
+    An executor keeps more workers than it runs at once, for later tasks; what each of them holds on to adds up.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(batches: Iterable, most: int = 64) -> Iterator:
+    """``batches``, with memory given back after every ``most`` of them and at the end."""
+    for k, batch in enumerate(batches, 1):
+        yield batch
+        if k % most == 0:
+            del batch
+            trim()
+    trim()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 

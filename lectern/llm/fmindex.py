@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import small_batches, table, text_bytes, written
+from lectern.llm.common import small_batches, table, text_bytes, trimmed, written
 from lectern.llm.words import ALNUM, Words, rounds
 
 WINDOW = 10
@@ -257,13 +257,14 @@ def _cutter(held):
     """A function of texts that cuts out the words of hits; null where nothing else was left."""
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series) -> pd.Series:
-        values, done = text.tolist(), []
-        for lo, hi, raw in rounds(values, SHARD_BYTES):
-            hits = _shard_hits(held.value, np.arange(hi - lo), [None] * (hi - lo), raw)
-            words = Words(raw, ALNUM)
-            done += [_cut(values[lo + i], raw[i], words, i, [(s["begin"], s["end"]) for s in spans]) for i, spans in enumerate(hits["spans"])]
-        return pd.Series(done, dtype=object)
+    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in trimmed(texts):
+            values, done = text.tolist(), []
+            for lo, hi, raw in rounds(values, SHARD_BYTES):
+                hits = _shard_hits(held.value, np.arange(hi - lo), [None] * (hi - lo), raw)
+                words = Words(raw, ALNUM)
+                done += [_cut(values[lo + i], raw[i], words, i, [(s["begin"], s["end"]) for s in spans]) for i, spans in enumerate(hits["spans"])]
+            yield pd.Series(done, dtype=object)
 
     return cut
 

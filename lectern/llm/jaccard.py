@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import small_batches, table, written
+from lectern.llm.common import small_batches, table, trim, trimmed, written
 from lectern.llm.words import NOT_BLANK, Words, mixed, rounds
 
 #: Text bytes of a chunk (documents whose n-grams travel together) and n-grams of a bucket (those whose frequencies one task counts).
@@ -124,7 +124,7 @@ def gram_table(docs: DataFrame, n_words: int, bits: int, all_bits: int) -> DataF
                     rows.append((chunk, k, None, None, None, d[lo:hi].astype("<u2").tobytes(), _planes(g[lo:hi], _bytes(low)), b""))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in GRAMS.split(", ")])
 
-        for batch in batches:
+        for batch in trimmed(batches):
             keys = batch["doc_id"].tolist()
             for lo, hi, raw in rounds(batch["text"].tolist()):
                 doc, gram = _sets(Words(raw, NOT_BLANK), n_words)
@@ -172,6 +172,8 @@ def _frequencies(low: int):
             lo, hi = edges[k], edges[k + 1]
             if hi > lo:
                 rows.append((chunk, name, None, None, None, doc[keep[lo:hi]].tobytes(), _planes(gram[lo:hi], _bytes(low)), df[lo:hi].astype("<u2").tobytes()))
+        del keep, gram, df, doc
+        trim()
         return pd.DataFrame(rows, columns=[c.split()[0] for c in GRAMS.split(", ")])
 
     return count
@@ -294,6 +296,8 @@ def _prefixes(percent: int, bits: int, fan: int):
                 )
             )
             rows[-1] = (*rows[-1][:-1], [int(tokens[k]) for k in rows[-1][-1]])
+        del doc, gram, df, order, rest
+        trim()
         return pd.DataFrame(rows, columns=columns)
 
     return survivors
@@ -322,12 +326,13 @@ def _verified(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link: intersections lie within the tokens that more than one document has."""
 
     @F.pandas_udf("boolean")
-    def links(a_n: pd.Series, a: pd.Series, b_n: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for n, x, m, y in zip(a_n, a, b_n, b, strict=True):
-            common = len(np.intersect1d(_unplaned(x, 8), _unplaned(y, 8), assume_unique=True))
-            out.append(100 * common >= percent * (n + m - common))
-        return pd.Series(out, dtype=bool)
+    def links(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a_n, a, b_n, b in trimmed(pairs):
+            out = []
+            for n, x, m, y in zip(a_n, a, b_n, b, strict=True):
+                common = len(np.intersect1d(_unplaned(x, 8), _unplaned(y, 8), assume_unique=True))
+                out.append(100 * common >= percent * (n + m - common))
+            yield pd.Series(out, dtype=bool)
 
     sets = found.select("class", "n", "shared")
     joined = pairs.join(_side(sets, "a", "class", "n", "shared"), F.col("a") == F.col("a_class")).join(_side(sets, "b", "class", "n", "shared"), F.col("b") == F.col("b_class"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import is_held_out, labelled_sample, small_batches, table
+from lectern.llm.common import is_held_out, labelled_sample, small_batches, table, trimmed
 from lectern.llm.words import NOT_BLANK, Words, rounds
 
 #: At most so many labelled documents of each label are learned from, chosen by a hash of doc_id.
@@ -205,8 +205,9 @@ def score_of(model: LineModel, docs: DataFrame) -> Column:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([held.value.scores(*line_features(raw)) for _, _, raw in rounds(text.tolist())] or [np.zeros(0)]))
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in trimmed(texts):
+            yield pd.Series(np.concatenate([held.value.scores(*line_features(raw)) for _, _, raw in rounds(text.tolist())] or [np.zeros(0)]))
 
     return score(F.col("text"))
 
