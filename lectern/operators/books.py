@@ -197,7 +197,7 @@ def covered_slices(slices: DataFrame, done: DataFrame) -> DataFrame:
 def canonical(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """``rows`` (subject, label) with the topic that the label means within its subject, by (subject, topic, alias); null if none."""
     names = taxonomy.select("subject", "topic", F.lower("alias").alias("_label")).union(taxonomy.select("subject", "topic", F.lower("topic"))).distinct()
-    return rows.withColumn("_label", F.lower(F.trim("label"))).join(F.broadcast(names), ["subject", "_label"], "left").drop("_label")  # a taxonomy is some hundred names
+    return rows.withColumn("_label", F.lower(F.trim("label"))).join(names, ["subject", "_label"], "left").drop("_label")  # Spark sends the names to all tasks if they are as few as they should be
 
 
 def metadata_checks(year: Column, edition: Column, isbn: Column, seen: Column) -> dict[str, Column]:

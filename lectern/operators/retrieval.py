@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as T
+from lectern.operators import cells as N
+from lectern.operators import index as X
 
 RRF_K = 60
 
@@ -52,6 +54,30 @@ def strict_then_any(hits: DataFrame, limit: int, least: int = 3, key: str = "doc
     return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", key, "score", "strict", "rank")
 
 
+def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dims: int = 64) -> DataFrame:
+    """(key, vector): a stand-in for an encoder, unit vectors of counted words that a hash deals to ``dims`` dimensions and two signs.
+
+    Texts without words of three letters, or whose words cancel out, have no vector.
+    """
+    h = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long")
+    words = X.words_of(docs, key, text).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf")).withColumn("h", h)
+    signed = F.when(F.floor(F.col("h") / dims) % 2 == 0, F.col("tf")).otherwise(-F.col("tf"))
+    parts = words.groupBy(key, (F.col("h") % dims).cast("int").alias("dim")).agg(F.sum(signed).cast("double").alias("v"))
+    rows = parts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm"))
+    return rows.filter("norm > 0").select(key, vector.alias("vector"))
+
+
+def keyword_and_vector_lists(index: X.Index, cells: N.Cells, terms: DataFrame, vectors: DataFrame, limit: int = 30) -> DataFrame:
+    """(query_id, list, parent, rank): of each query the best by keywords and the best by vector, each from its own index.
+
+    ``terms`` (query_id, terms) and ``vectors`` (query_id, vector) are the queries; one that has no vector, or no term, has one list.
+    """
+    words = strict_then_any(X.top_hits(index, terms, limit).withColumnRenamed("doc", "doc_id"), limit).select("query_id", F.lit("keyword").alias("list"), F.col("doc_id").alias("parent"), "rank")
+    near = N.nearest_in_cells(cells, vectors, limit, "query_id", "vector").rows
+    return words.unionByName(near.select(F.col("query").alias("query_id"), F.lit("vector").alias("list"), F.col("id").alias("parent"), "rank"))
+
+
 def fused(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (query_id, list, parent, rank): every row adds 1 / (k + rank) to its parent."""
     return lists.groupBy("query_id", "parent").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("rrf"))

@@ -11,7 +11,7 @@ from lectern.operators import cells as N
 from lectern.operators import index as X
 from lectern.operators import relational as R
 from lectern.operators import retrieval as H
-from lectern.plans.queries import QUERY_TERMS_SQL, document_index, keyword_queries
+from lectern.plans.queries import QUERY_TERMS_SQL, SEARCH_SQL, document_index, keyword_queries
 from lectern.plans.registry import query
 from lectern.sources.tables import table
 
@@ -54,3 +54,24 @@ def cell_neighbours(spark, d):
     cells = N.write_cells(e, f"{R.scratch(spark)}/cells-{uuid.uuid4().hex}")
     found = N.nearest_in_cells(cells, e.filter("vec_id % 20 = 0"), 10).rows
     return found.select("query", "id", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""with {SEARCH_SQL}, {_WORDS}, qtok as (select query_id, unnest(w) as word from (select item_id as query_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: regexp_replace(x, '^[0-9]+', '')) as w from benchmark)),
+  hw as (select 'd' as kind, doc_id as id, word, count(*) as tf from tok group by 2, 3 union all select 'q', query_id, word, count(*) from qtok where length(word) >= 3 group by 2, 3),
+  hd as (select kind, id, h % 64 as dim, sum(case when (h // 64) % 2 = 0 then tf else -tf end)::double as v from (select *, ('0x' || md5(word)[1:8])::ubigint as h from hw) group by 1, 2, 3),
+  hn as (select *, v / sqrt(sum(v * v) over (partition by kind, id)) as u, sum(v * v) over (partition by kind, id) as nn from hd),
+  vc as (select a.id as query_id, b.id as parent, round(sum(a.u * b.u), 12) as cosine from hn a join hn b on a.kind = 'q' and b.kind = 'd' and a.dim = b.dim where a.nn > 0 and b.nn > 0 group by 1, 2),
+  l as (select query_id, 'keyword' as list, doc_id as parent, rank from k union all select query_id, 'vector', parent, row_number() over (partition by query_id order by cosine desc, parent) as rank from vc qualify rank <= 30),
+  s as (select query_id, parent, row_number() over (partition by query_id order by round(sum(1.0::double / (60 + rank)), 12) desc, parent) as n from l group by 1, 2), hd2 as (select query_id, list, parent, row_number() over (partition by query_id, list order by rank) as n from l),
+  p2 as (select query_id, parent, 0 as tier, n as at_ from s where n <= 16 union all select query_id, parent, 1, case list when 'keyword' then 100 else 200 end + n from hd2 where n <= 3)
+  select query_id, parent as doc_id, row_number() over (partition by query_id order by min([tier, at_])) as place from p2 group by 1, 2""")
+def hybrid_vector_search(spark, d):
+    """Benchmark texts as queries: keyword hits from the stored index and neighbours from stored cells, fused into one pool.
+
+    Vectors are the stand-in's; an encoder of ``functions.models`` takes its place.
+    """
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    vectors = R.written(H.hashed_vectors(docs), "document-vectors")
+    cells = N.write_cells(vectors, f"{R.scratch(spark)}/cells-{uuid.uuid4().hex}", "doc_id", "vector")
+    lists = H.keyword_and_vector_lists(document_index(spark, d), cells, keyword_queries(spark, d), H.hashed_vectors(bench, "query_id"))
+    return H.candidate_pool(R.written(lists, "lists")).select("query_id", F.col("parent").alias("doc_id"), F.col("place").cast("long").alias("place"))

@@ -481,7 +481,7 @@ _RAW_TERMS = "list_filter(regexp_extract_all(regexp_replace(lower({}), '" + T.QU
 QUERY_TERMS_SQL = f"(select query_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:40] as terms from (select item_id as query_id, {_RAW_TERMS.format('text')} as w from benchmark))"
 
 
-_SEARCH = f"""t as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9]+'), lambda x: length(x) >= 3) as w from documents), st as (select count(*) as c, avg(len(w)) as m from t),
+SEARCH_SQL = f"""t as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9]+'), lambda x: length(x) >= 3) as w from documents), st as (select count(*) as c, avg(len(w)) as m from t),
   p as (select doc_id, term, n, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as term from t) group by 1, 2, 3), q0 as {QUERY_TERMS_SQL}, q as (select query_id, len(terms) as nq, unnest(terms) as term from q0),
   df as (select term, count(*) as df from p where term in (select term from q) group by 1),
   h as (select query_id, doc_id, nq, round(sum(ln(1 + (c - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * n / m))), 6) as score, count(*) as matched from q join p using (term) join df using (term), st group by 1, 2, 3),
@@ -489,12 +489,12 @@ _SEARCH = f"""t as (select doc_id, list_filter(regexp_extract_all(lower(coalesce
   k as (select query_id, doc_id, score, strict, row_number() over (partition by query_id order by strict desc, score desc, doc_id) as rank from a where strict or ns < 3 qualify rank <= 30)"""
 
 
-@query(f"with {_SEARCH} select * from k")
+@query(f"with {SEARCH_SQL} select * from k")
 def keyword_strict_or(spark, d):
     return _search(spark, d)
 
 
-@query(rf"""with {_SEARCH}, dt as (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents), bq as (select item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as qt from benchmark),
+@query(rf"""with {SEARCH_SQL}, dt as (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t from documents), bq as (select item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as qt from benchmark),
   qu as (select item_id as query_id, doc_id as parent, row_number() over (partition by item_id order by length(t), doc_id) as rank from dt join bq on contains(t, qt) where length(qt) >= 12 qualify rank <= 30),
   l as (select query_id, 'keyword' as list, doc_id as parent, rank from k union all select query_id, 'quote', parent, rank from qu),
   s as (select query_id, parent, row_number() over (partition by query_id order by round(sum(1.0::double / (60 + rank)), 12) desc, parent) as n from l group by 1, 2), hd as (select query_id, list, parent, row_number() over (partition by query_id, list order by rank) as n from l),

@@ -688,9 +688,9 @@ def paper_years(spark, d):
 
 @query()
 def recall_versions(spark, d):
-    """Versions of a question in one group and whether their answers agree."""
+    """Versions of a question in one group, a few dozen at most as in a bank, and whether their answers agree."""
     from lectern.operators import compare as C
 
-    b = bank(spark, d).filter("recall_group is not null").select("id", "recall_group", "stem")
+    b = bank(spark, d).filter("recall_group is not null").select("id", F.struct("recall_group", F.floor(F.col("id") / 40)).alias("recall_group"), "stem")
     pairs = b.select("id", "recall_group", F.col("stem").alias("a")).join(b.select(F.col("id").alias("other"), "recall_group", F.col("stem").alias("b")), "recall_group").filter("id <> other")
     return C.agreement(pairs).select("id", "other", "agrees")

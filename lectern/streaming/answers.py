@@ -22,8 +22,8 @@ def event_time(answered: str, received: str, days: int = 30):
 def first_answers(stream: DataFrame, keys: list[str], days: int = 30) -> DataFrame:
     """Answers re-dated before the watermark, so that none is dropped as late, and of each key the first.
 
-    In a batch that is the one of the earliest time, ties to the earlier arrival. In a stream the first to arrive stands,
-    as it does when a table takes the first insert of a key; a later arrival changes nothing that was already sent on.
+    In a batch that is the one of the earliest time, ties to the earlier arrival. In a stream the first to arrive stands
+    for ``days``, after which its key is forgotten; ``stateful.standing_answers`` keeps it for good, as a table's unique key does.
     """
     timed = stream.withColumn("at", event_time("answered_at", "received_at", days).cast("timestamp"))
     if not timed.isStreaming:
