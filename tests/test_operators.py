@@ -297,6 +297,12 @@ def test_text_helpers(spark):
     assert spark.createDataFrame([(page,)], "t string").select(T.html_markdown(F.col("t"))).first()[0] == "a **bold**\n- one\n\n&lt;tag&gt;"
 
 
+def test_entities_need_a_semicolon(spark):
+    rows = [("a &ampb &amp;lt; &am &amp", "a &ampb &lt; &am &amp"), ("&ampx; &copy &#39;&#x41; &eacute;", "&ampx; &copy 'A é"), (None, None)]
+    got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string").select("i", T.unescaped(F.col("t"))).collect()
+    assert dict(map(tuple, got)) == {i: r[1] for i, r in enumerate(rows)}
+
+
 def test_is_table_on_a_line_of_many_bars(spark):
     rows = [("| x " * 20000, False), ("| x " * 20000 + "|\n|-|", True), ("a\n|b|\r c\n| : |", True), ("|\n|--|", False), ("|a|\n||", False), ("|a|\n|||", True), ("|a|\n\n|-|", False)]
     t = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string").select("i", T.is_table(F.col("t"), F.lit(None).cast("string")))
