@@ -8,6 +8,7 @@ from lectern.functions import text as T
 from lectern.operators import books as B
 from lectern.operators import compare as C
 from lectern.operators import ordered as O
+from lectern.operators import relational as R
 from lectern.operators import retrieval as H
 from lectern.plans.registry import query
 from lectern.sources import files
@@ -290,7 +291,7 @@ def line_segments(spark, d):
     """Boxes of words joined to line segments."""
     x = (F.col("l_partkey") % 50) / 50
     boxes = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), x.alias("x0"), ((F.col("l_linenumber") % 7) / 10).alias("y0"), (x + 0.015).alias("x1"), ((F.col("l_linenumber") % 7) / 10 + 0.01).alias("y1"))
-    return O.joined_boxes(boxes)
+    return O.joined_boxes(R.dealt(boxes, "page"))
 
 
 @query("""with c as (select page_id, 'Figure ' || page_id || '.1 Front view. Fig. ' || page_id || '-2a Side view; see Figure 9.9 too' as t from pages)
