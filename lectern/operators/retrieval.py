@@ -157,8 +157,10 @@ def chosen_figures(figures: DataFrame, pages: DataFrame, least: float = 0.6, men
     names ("see Fig. 49-1") may be less near. Caption paragraphs don't count as context.
     """
     body = pages.withColumn("body", F.when(F.col("text").rlike(r"(?i)^\s*(?:Figure|Fig\.?)\s*\d"), "").otherwise(F.col("text")))
-    context = body.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("body")).alias("body"))  # a query's context is a handful of passages
-    rows = figures.filter((F.col("caption_source") == "printed") & ~F.col("decorative")).join(pages.select("query_id", "book", "page").distinct(), ["query_id", "book", "page"], "left_semi").join(context, "query_id")
+    # a query's context is a handful of passages
+    context = body.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("body")).alias("body"), F.collect_set(F.struct("book", "page")).alias("places"))
+    here = F.exists("places", lambda p: (p["book"] == F.col("book")) & (p["page"] == F.col("page")))
+    rows = figures.filter((F.col("caption_source") == "printed") & ~F.col("decorative")).join(context, "query_id").filter(here)
     number = F.trim(F.replace(F.coalesce("label", F.lit("")), F.lit("Figure"), F.lit("")))
     # a dot of the number also stands for a dash; the number is looked for among those that the context names
     named = F.transform(F.regexp_extract_all("body", F.lit(r"(?i)\bFig(?:ure|\.)?\s*(\d+(?:[.\-]\d+)*[A-Za-z]?)\b"), F.lit(1)), lambda x: F.replace(x, F.lit("-"), F.lit(".")))
