@@ -5,6 +5,7 @@ Queries are a stated set; ``query_id`` is a column everywhere, so a batch of que
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import pandas as pd
@@ -171,30 +172,35 @@ def chosen_figures(figures: DataFrame, pages: DataFrame, least: float = 0.6, men
 
 
 def neighbours(hits: DataFrame, passages: DataFrame, window: int = 3) -> DataFrame:
-    """(query_id, parent, rank, id, text, away) of the passages (id, book, page, text) within ``window`` ids of a hit on its page, itself included."""
+    """(query_id, parent, rank, id, book, text, chars, away) of the passages (id, book, page, text) within ``window`` ids of a hit on its page, itself included."""
     near = hits.select("query_id", "rank", F.col("parent"), F.explode(F.sequence(F.col("parent") - window, F.col("parent") + window)).alias("id"))  # a range join as an equal one
     own = passages.select(F.col("id").alias("parent"), F.col("book").alias("_book"), F.col("page").alias("_page"))
+    passages = passages.withColumn("chars", F.length("text"))  # who needs no more than that doesn't send texts about
     rows = near.join(own, "parent").join(passages, "id").filter((F.col("book") == F.col("_book")) & (F.col("page").eqNullSafe(F.col("_page")) & F.col("page").isNotNull() | (F.col("id") == F.col("parent"))))
-    return rows.select("query_id", "parent", "rank", "id", "book", "text", (F.col("id") - F.col("parent")).alias("away"))
+    return rows.select("query_id", "parent", "rank", "id", "book", "text", "chars", (F.col("id") - F.col("parent")).alias("away"))
 
 
 def expanded_blocks(near: DataFrame, budget: int = 3000, window: int = 3) -> DataFrame:
     """Context blocks (query_id, block, ids): each hit with its neighbours, nearest first and the later of two first, within ``budget`` characters.
 
     ``near`` is ``neighbours`` with ``joins``: whether a neighbour is relevant, or short and next to the hit. A block that
-    overlaps one of a better hit is merged into that one while this stays within twice the budget. A query is a task's
-    group: some hits with at most 2 ``window`` neighbours each.
+    overlaps one of a better hit is merged into that one while this stays within twice the budget. A query is a row of
+    arrays, some hits with at most 2 ``window`` neighbours each; many queries are a batch.
     """
+    chars = F.coalesce("chars" if "chars" in near.columns else F.length("text"), F.lit(0))
+    fields = {"rank": F.col("rank"), "parent": F.col("parent"), "id": F.col("id"), "chars": chars, "joins": F.coalesce("joins", F.lit(False))}
+    hits = near.filter("rank is not null").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*[c.cast("long").alias(n) for n, c in fields.items()]))).alias("hits"))
 
-    def blocks(part: pd.DataFrame) -> pd.DataFrame:
+    def blocks(rows: list[tuple]) -> list[list[int]]:
         made: list[dict] = []
         owner: dict[int, dict] = {}
-        for _, hit in part.groupby("rank", sort=True):
-            parent = int(hit["parent"].iloc[0])
+        for _, hit in itertools.groupby(rows, lambda r: r[0]):
+            hit = list(hit)
+            parent = hit[0][1]
             if parent in owner:
                 continue
-            size = dict(zip(hit["id"].astype(int), hit["text"].map(len), strict=True))
-            wanted = {int(i) for i, ok in zip(hit["id"], hit["joins"], strict=True) if ok}
+            size = {i: n for _, _, i, n, _ in hit}
+            wanted = {i for _, _, i, _, ok in hit if ok}
             chosen, used = [parent], size.get(parent, 0)
             for away in range(1, window + 1):
                 for i in (parent + away, parent - away):
@@ -213,6 +219,11 @@ def expanded_blocks(near: DataFrame, budget: int = 3000, window: int = 3) -> Dat
                 home["ids"] += chosen
                 home["chars"] += sum(size[i] for i in chosen)
                 owner.update(dict.fromkeys(chosen, home))
-        return pd.DataFrame({"query_id": part["query_id"].iloc[0], "block": range(1, len(made) + 1), "ids": [sorted(b["ids"]) for b in made]})
+        return [sorted(b["ids"]) for b in made]
 
-    return near.groupBy("query_id").applyInPandas(blocks, f"query_id {dict(near.dtypes)['query_id']}, block int, ids array<long>")
+    @F.pandas_udf("array<array<long>>")
+    def of_queries(*columns: pd.Series) -> pd.Series:
+        return pd.Series([blocks(list(zip(*(c.tolist() for c in row), strict=True))) for row in zip(*columns, strict=True)], dtype=object)
+
+    made = hits.select("query_id", F.posexplode(of_queries(*[F.col(f"hits.{n}") for n in fields])).alias("n", "ids"))
+    return made.select("query_id", (F.col("n") + 1).alias("block"), "ids")

@@ -350,3 +350,21 @@ def test_parts_grow_with_the_rows(spark):
     assert R.dealt(rows, "k", count=10).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     w = R.dealt(rows, "k", part_rows=50).withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")))
     assert w.rdd.getNumPartitions() == 20 and w.filter("n = 10").count() == 100
+
+
+def test_blocks_need_no_texts_and_no_group_a_query(spark):
+    passages = spark.createDataFrame([(i, "b", 1, "x" * (20 * i)) for i in range(1, 9)], "id long, book string, page int, text string")
+    hits = spark.createDataFrame([(q, 1, 2 + q % 5) for q in range(300)], "query_id long, rank int, parent long")
+    near = H.neighbours(hits, passages, 1).withColumn("joins", F.col("away") == 1)
+    blocks = H.expanded_blocks(near.drop("text"), 150)
+    assert "InPandas" not in blocks._jdf.queryExecution().toString()
+    assert {(r["query_id"], r["block"], tuple(r["ids"])) for r in blocks.collect()} == {(q, 1, (p, p + 1) if p < 4 else (p,)) for q in range(300) for p in [2 + q % 5]}
+
+
+def test_figures_of_other_pages_are_left_out(spark):
+    pages = spark.createDataFrame([(1, 1, 1, "see Fig. 1-1"), (1, None, 2, "x"), (2, 1, 2, "x")], "query_id int, book int, page int, text string")
+    f = [(1, 1, 1), (1, 1, 2), (1, None, 2), (2, 1, 2), (2, 1, 1), (3, 1, 1)]
+    figures = spark.createDataFrame([(q, b, p, i, f"Figure {b}.{p}", "printed", False, 0.7) for i, (q, b, p) in enumerate(f)], "query_id int, book long, page long, id int, label string, caption_source string, decorative boolean, sim double")
+    chosen = H.chosen_figures(figures, pages)
+    assert {(r["query_id"], r["id"], r["mentioned"]) for r in chosen.collect()} == {(1, 0, True), (2, 3, False)}
+    assert "LeftSemi" not in chosen._jdf.queryExecution().toString()
