@@ -187,7 +187,7 @@ def frequency(recalls: DataFrame, aliases: dict[str, str]) -> DataFrame:
 
 def times_asked(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, times): one for the question itself and one for each neighbour of ``pairs`` (a, b)."""
-    both = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return ids.join(both, "id", "left").select("id", (1 + F.coalesce("n", F.lit(0))).alias("times"))
 
 

@@ -368,3 +368,16 @@ def test_figures_of_other_pages_are_left_out(spark):
     chosen = H.chosen_figures(figures, pages)
     assert {(r["query_id"], r["id"], r["mentioned"]) for r in chosen.collect()} == {(1, 0, True), (2, 3, False)}
     assert "LeftSemi" not in chosen._jdf.queryExecution().toString()
+
+
+def test_pairs_by_stripes_against_all_products(spark):
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 120, 0) + 0.01 * rng.normal(size=(120, 8))])
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    s = v.astype(np.float64) @ v.astype(np.float64).T
+    for least, rows in ((0.5, 60), (0.95, 40), (0.95, 1000)):
+        want = {(i, j) for i, j in zip(*np.nonzero(s >= least)) if i < j}
+        got = [(r["a"], r["b"]) for r in V.similar_pairs(e, least, block_rows=20, stripe_rows=rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert V.similar_pairs(e.limit(0), 0.5).count() == 0
