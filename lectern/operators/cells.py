@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.vectors import MOST_CENTRES, QUERIES_AT_ONCE, _best_of, _block_of
+from lectern.functions.vectors import MOST_CENTRES, QUERIES_AT_ONCE, VECTORS_AT_ONCE, Best, _block_of
 from lectern.operators.relational import written
 
 #: Vectors of a cell, about; cells that a query reads first, and with each further wave so many times more.
@@ -72,20 +72,23 @@ def open_cells(spark: SparkSession, path: str) -> Cells:
     return Cells(vectors, *arrays)
 
 
-def _scan(cells: Cells, plan: np.ndarray, ids: np.ndarray, matrix: np.ndarray, groups: np.ndarray | None, k: int) -> DataFrame:
-    """The best ``k`` of each query in each task's part of the cells that ``plan`` (query, cell) tells it to read."""
+def _scan(cells: Cells, plan: np.ndarray, ids: np.ndarray, matrix: np.ndarray, groups: np.ndarray | None, k: int, least: np.ndarray) -> DataFrame:
+    """The best ``k`` of each query in each task's part of the cells that ``plan`` (query, cell) tells it to read, none below the query's ``least``."""
     meets = {int(name): np.flatnonzero(plan[:, j]) for j, name in enumerate(cells.names) if plan[:, j].any()}
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Best(len(ids), k)
+        held.least = least - 1e-11
         for batch in batches:
             for cell, rows in batch.groupby("cell", sort=False):
-                some, names = meets[int(cell)], rows["id"].to_numpy()
-                scores = np.round(matrix[some] @ np.stack(rows["v"].to_list()).astype(np.float64).T, 12)
-                if groups is not None:
-                    scores = np.where(groups[some][:, None] == rows["grp"].to_numpy()[None], scores, -np.inf)
-                found, top = _best_of(np.broadcast_to(names, scores.shape), scores, k)
-                out = pd.DataFrame({"query": np.repeat(ids[some], found.shape[1]), "id": found.ravel(), "cosine": top.ravel()})
-                yield out[np.isfinite(out["cosine"])]
+                some, names, v, grp = meets[int(cell)], rows["id"].to_numpy(), np.stack(rows["v"].to_list()).astype(np.float64), rows["grp"].to_numpy()
+                for lo in range(0, len(rows), VECTORS_AT_ONCE):
+                    scores = matrix[some] @ v[lo : lo + VECTORS_AT_ONCE].T
+                    if groups is not None:
+                        scores = np.where(groups[some][:, None] == grp[None, lo : lo + VECTORS_AT_ONCE], scores, -np.inf)
+                    held.see(some, names[lo : lo + VECTORS_AT_ONCE], scores)
+        number, found, scores = held.rows()
+        yield pd.DataFrame({"query": ids[number], "id": found, "cosine": scores})
 
     return cells.vectors.filter(F.col("cell").isin(list(meets))).select("cell", "id", "v", "grp").mapInPandas(best, "query long, id long, cosine double")
 
@@ -111,7 +114,7 @@ def nearest_in_cells(cells: Cells, queries: DataFrame, k: int, key: str = "vec_i
         while True:
             plan = ~done & (turn < limit) & (bound >= least[:, None])
             if plan.any():
-                here = written(_scan(cells, plan, ids, matrix, groups, k), "cell-hits")
+                here = written(_scan(cells, plan, ids, matrix, groups, k, least), "cell-hits")
                 found, done, read = here if found is None else found.unionByName(here), done | plan, read + int((plan @ cells.sizes).sum())
                 place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
                 kth = found.withColumn("p", place).filter(F.col("p") == k).select("query", "cosine").collect()  # a row a query of the block

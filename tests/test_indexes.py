@@ -206,3 +206,32 @@ def test_ten_million_seats_without_a_row_each(spark):
                 left[b], got[b], rest = left[b] - turns, got[b] + turns, rest - turns
         assert {r["bucket"]: r["given"] for r in O.fair_split(df, n).collect()} == {b: g for b, g in got.items() if g}
         assert V is not None
+
+
+def test_best_holds_few_and_equals_a_sort():
+    rng = np.random.default_rng(4)
+    scores, ids = np.round(rng.normal(size=(30, 4000)), 2), rng.permutation(4000)
+    held, yielded = V.Best(30, 7), 0
+    for lo in range(0, 4000, 250):
+        held.see(np.arange(30), ids[lo : lo + 250], scores[:, lo : lo + 250])
+        yielded = max(yielded, held.count)
+    row, found, top = held.rows()
+    for q in range(30):
+        want = sorted(zip(-scores[q], ids, strict=True))[:7]
+        assert [(-s, i) for s, i in zip(top[row == q], found[row == q], strict=True)] == want
+    assert yielded < 30 * 1000  # of 30 * 4000 scores
+
+
+def test_cells_keep_k_rows_a_task(spark, tmp_path):
+    """Rows written for a block of queries are those of a task, not of each cell."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    cells = N.write_cells(e, str(tmp_path / "cells"), cell_rows=10)
+    ids, plan = np.arange(20), np.ones((20, len(cells.names)), bool)
+    found = N._scan(cells, plan, ids, v[:20], None, 3, np.full(20, -np.inf))
+    assert found.count() <= found.rdd.getNumPartitions() * 20 * 3 < 20 * len(cells.names) * 3
+    near = N.nearest_in_cells(cells, e.filter("vec_id < 20"), 3).rows.collect()
+    want = {(q, int(i)) for q in range(20) for i in np.argsort(-np.round(v[:20] @ v.T, 12)[q], kind="stable")[:3]}
+    assert {(r["query"], r["id"]) for r in near} == want
