@@ -1,5 +1,6 @@
 """Stems, the inverted index with cover density, cells of vectors, linkage in rounds, and work in proportion to the text."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -235,3 +236,13 @@ def test_cells_keep_k_rows_a_task(spark, tmp_path):
     near = N.nearest_in_cells(cells, e.filter("vec_id < 20"), 3).rows.collect()
     want = {(q, int(i)) for q in range(20) for i in np.argsort(-np.round(v[:20] @ v.T, 12)[q], kind="stable")[:3]}
     assert {(r["query"], r["id"]) for r in near} == want
+
+
+def test_a_drawn_variant_is_that_of_all_pairs(spark):
+    rows = [(i, i % 3) for i in range(90)] + [(500, 9)]
+    q = spark.createDataFrame(rows, "id long, concept int")
+    cards = q.filter("id % 5 = 0").withColumnRenamed("id", "card")
+    got = {tuple(r) for r in L.drawn(cards, q, list_rows=20).collect()}
+    draw = lambda c, i: (hashlib.md5(f"7:{c}:{i}".encode()).hexdigest(), i)
+    want = {(c, min((i for i, y in rows if y == x and i != c), key=lambda i: draw(c, i))) for c, x in rows if c % 5 == 0 and c != 500}  # noqa: B023
+    assert got == want
