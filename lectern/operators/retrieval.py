@@ -74,7 +74,12 @@ def keyword_and_vector_lists(index: X.Index, cells: N.Cells, terms: DataFrame, v
 
     ``terms`` (query_id, terms) and ``vectors`` (query_id, vector) are the queries; one that has no vector, or no term, has one list.
     """
-    words = strict_then_any(X.top_hits(index, terms, limit).withColumnRenamed("doc", "doc_id"), limit).select("query_id", F.lit("keyword").alias("list"), F.col("doc_id").alias("parent"), "rank")
+    return both_lists(X.top_hits(index, terms, limit), cells, vectors, limit)
+
+
+def both_lists(hits: DataFrame, cells: N.Cells, vectors: DataFrame, limit: int = 30) -> DataFrame:
+    """``keyword_and_vector_lists`` of keyword ``hits`` (query_id, doc, score, matched, n_query), however they were found."""
+    words = strict_then_any(hits.withColumnRenamed("doc", "doc_id"), limit).select("query_id", F.lit("keyword").alias("list"), F.col("doc_id").alias("parent"), "rank")
     near = N.nearest_in_cells(cells, vectors, limit, "query_id", "vector").rows
     return words.unionByName(near.select(F.col("query").alias("query_id"), F.lit("vector").alias("list"), F.col("id").alias("parent"), "rank"))
 
