@@ -10,6 +10,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,61 @@ def test_linkage_writes_no_table_of_all_pairs(spark, tmp_path):
     assert pairs > 100 * 2600 and most <= 64 * 2600, (pairs, most)
 
 
+@pytest.mark.parametrize(("copies", "near"), [(0, 150), (150, 0), (90, 90)])
+def test_families_of_copies_take_few_passes(spark, copies, near):
+    rng = np.random.default_rng(copies + 2 * near)
+    vectors = rng.normal(size=(420, 16))
+    vectors[100 : 100 + copies] = vectors[100]
+    vectors[300 : 300 + near // 2] = vectors[300] + 0.02 * rng.normal(size=(near // 2, 16))
+    vectors[20 : 20 + near // 2] = vectors[20] + 0.02 * rng.normal(size=(near // 2, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[400:403] = vectors[399]
+    vectors[403:405] = vectors[399] + 1e-12  # as near to the copies of another vector as those are to one another
+    order = rng.permutation(len(vectors))
+    rows = spark.createDataFrame([(int(i), vectors[i].tolist()) for i in order], "vec_id long, embedding array<double>")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    got = L.linked_vectors(rows, 0.3, 8, few=0, block_rows=120, last_pairs=10_000)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(greedy(vectors, 0.3, 8))
+    passes = sum(x.startswith("linkage-best") for x in set(os.listdir(shared)) - before)
+    assert passes <= 5, passes
+
+
+def test_rounds_without_a_last_task(spark):
+    rng = random.Random(4)
+    edges = [(a, b, rng.choice([0.3, 0.5, rng.random()])) for a, b in itertools.combinations(range(40), 2) if rng.random() < 0.5]
+    rows = spark.createDataFrame(edges, "a long, b long, weight double")
+    one, all_ = (sorted(tuple(r) for r in L.complete_linkage(rows, 5, last_pairs=n).collect()) for n in (0, 1000))
+    assert one == all_ and len({g for _, g in one}) < 40
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_groups_meet_as_their_members_do(same):
+    rng = np.random.default_rng(3)
+    vectors = (rng.normal(size=(900, 12)) + 0.5 * rng.normal(size=12)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    g = np.sort(np.r_[np.arange(500), rng.integers(0, 150, 400)])
+    ids, size, cell = np.arange(900) * 7 + 5, np.bincount(g, minlength=500), np.arange(500) % 11
+    left = np.ones(500, bool) if same else np.arange(500) % 2 == 0
+    s = vectors.astype(np.float64) @ vectors.astype(np.float64).T
+    best, fitting = {}, set()
+    for p, q in itertools.combinations(range(500), 2):
+        x, y = np.flatnonzero(g == p), np.flatnonzero(g == q)
+        part = s[np.ix_(x, y)]
+        if part.min() >= 0.2 and size[p] + size[q] <= 8 and (same or left[p] != left[q]):
+            fitting.add((p, q))
+            top = min((-round(float(part[i, j]), 9), *sorted((int(ids[x[i]]), int(ids[y[j]])))) for i in range(len(x)) for j in range(len(y)))
+            if cell[p] != cell[q]:
+                for c in (p, q):
+                    best[c] = min(best.get(c, top), top)
+    order = rng.permutation(900)
+    args = [x[order] for x in (ids, vectors, g, size[g], cell[g], left[g])]
+    out = pd.concat(list(V._meet(*args, same, 0.2, 8, V._Strongest)))
+    assert {r.g: (-r.weight, r.a, r.b) for r in out.itertuples() if np.isfinite(r.weight)} == best
+    assert out["live"].sum() >= len(fitting)
+    assert {(r.g, r.h) for r in pd.concat(list(V._meet(*args, same, 0.2, 8, V._Every))).itertuples()} == fitting
+
+
 def test_time_follows_the_text(spark):
     one = lambda s: spark.createDataFrame([(s,)], "s string")
     text = " ".join(f"Sentence {i} has some words in it." for i in range(8000))
